@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.catalog.base import ORACLES, QUERIES, Query
 
-SECTIONS = ("market",)
+SECTIONS = ("market", "forward")
 
 
 def _load() -> None:

@@ -396,7 +396,7 @@ def crt(spark, sf):
     )
 
 
-STOPS = f"{PATTERNS}, s AS (SELECT * FROM pat WHERE seq >= 30)"
+STOPS = f"{PATTERNS}, s AS (SELECT * FROM pat WHERE seq >= 29)"
 
 
 @query(
@@ -406,7 +406,7 @@ STOPS = f"{PATTERNS}, s AS (SELECT * FROM pat WHERE seq >= 30)"
       {sql_rd('stop_low')} AS swing_low, {sql_rd('stop_high')} AS swing_high, {sql_rd('close - atr * 0.85')} AS zone_long FROM s""",
 )
 def structure_stop_q(spark, sf):
-    df = hourly_features(spark, sf).where(F.col("seq") >= 30)
+    df = hourly_features(spark, sf).where(F.col("seq") >= 29)
     args = (F.col("close"), F.col("atr"), F.col("stop_low"), F.col("stop_high"))
     swing = Geometry(stop_style="zone", min_stop_atr=0.60)
     return df.select(
@@ -419,13 +419,13 @@ def structure_stop_q(spark, sf):
 
 BIASED = f"{PATTERNS.replace(WALK_1H, WALK_PAIR)},{bos_sql('bias', 'biasx')}"
 JOINED = f"""{BIASED}, j AS (SELECT e.*, b.low20, b.high20, b.seq + 1 AS bias_rows, b.trend_bull, b.trend_bear FROM pat e ASOF LEFT JOIN biasx b
-  ON b.symbol = e.symbol AND e.t + 3600 >= b.t + 14400 WHERE e.seq >= 30)"""
+  ON b.symbol = e.symbol AND e.t + 3600 >= b.t + 14400 WHERE e.seq >= 29)"""
 
 
 def hourly_with_bias(spark, sf, align="close") -> DataFrame:
     entry, bias = data.bar_pair(spark, sf)
     return sig.with_bias(sig.entry_features(entry, "1h"), sig.bias_features(bias, "4h"), "1h", "4h", align).where(
-        F.col("seq") >= 30
+        F.col("seq") >= 29
     )
 
 
@@ -434,10 +434,10 @@ def hourly_with_bias(spark, sf, align="close") -> DataFrame:
     f"""{JOINED}, k AS (SELECT *, least(stop_low, CASE WHEN bias_rows >= 5 THEN low20 END) AS lo, greatest(stop_high, CASE WHEN bias_rows >= 5 THEN high20 END) AS hi FROM j)
     SELECT symbol, t, {sql_rd('least(lo - atr * 0.25, close - atr * 1.15, close - atr * 0.1)')} AS sl_long,
       {sql_rd('greatest(hi + atr * 0.25, close + atr * 1.15, close + atr * 0.1)')} AS sl_short,
-      {sql_rd('lo')} AS swing_long, {sql_rd('hi')} AS swing_short FROM k WHERE bias_rows IS NULL OR bias_rows NOT BETWEEN 5 AND 21""",
+      {sql_rd('lo')} AS swing_long, {sql_rd('hi')} AS swing_short FROM k""",
 )
 def structure_stop_htf(spark, sf):
-    df = hourly_with_bias(spark, sf).where(F.col("bias.rows").isNull() | ~F.col("bias.rows").between(5, 21))
+    df = hourly_with_bias(spark, sf)
     swings = ((F.col("stop_low"), F.col("stop_high")), (F.col("bias.low20"), F.col("bias.high20")), F.col("bias.rows"))
     long = structure_stop_wide(F.lit("LONG"), F.col("close"), F.col("atr"), *swings)
     short = structure_stop_wide(F.lit("SHORT"), F.col("close"), F.col("atr"), *swings)
@@ -449,10 +449,10 @@ def structure_stop_htf(spark, sf):
 
 @query(
     "asof_mtf",
-    f"SELECT symbol, t, bias_rows::DOUBLE AS bias_rows, coalesce(trend_bull, false)::INT AS bull, coalesce(trend_bear, false)::INT AS bear, {sql_rd('low20')} AS low20 FROM ({JOINED} SELECT * FROM j) WHERE bias_rows IS NULL OR bias_rows > 21",
+    f"SELECT symbol, t, bias_rows::DOUBLE AS bias_rows, coalesce(trend_bull, false)::INT AS bull, coalesce(trend_bear, false)::INT AS bear, {sql_rd('low20')} AS low20 FROM ({JOINED} SELECT * FROM j)",
 )
 def asof_mtf(spark, sf):
-    df = hourly_with_bias(spark, sf).where(F.col("bias.rows").isNull() | (F.col("bias.rows") > 21))
+    df = hourly_with_bias(spark, sf)
     return df.select(
         "symbol", t(), F.col("bias.rows").cast("double").alias("bias_rows"),
         flag(F.coalesce(F.col("bias.trend_bull"), F.lit(False))).alias("bull"),
@@ -487,7 +487,7 @@ LIMIT_SQL = f"""{STOPS}, d AS (SELECT *, unnest([1.0::DOUBLE, -1.0::DOUBLE]) AS
     {sql_rd("coalesce(best.p, CASE WHEN side > 0 THEN greatest(room, least(close, close - atr * 0.25)) ELSE least(room, greatest(close, close + atr * 0.25)) END)")} AS price FROM g""",
 )
 def limit_zone_q(spark, sf):
-    df = hourly_features(spark, sf).where(F.col("seq") >= 30)
+    df = hourly_features(spark, sf).where(F.col("seq") >= 29)
     df = df.select("*", F.explode(F.array(F.lit("LONG"), F.lit("SHORT"))).alias("direction"))
     long = F.col("direction") == "LONG"
     stop = structure_stop("direction", F.col("close"), F.col("atr"), F.col("stop_low"), F.col("stop_high"))

@@ -108,13 +108,14 @@ def bos_sql(src: str, out: str, lookback: int = 10, confirm: int = 2, need: int
     need = lookback + confirm + 2 if need is None else need
     closes = ["close"] + [f"lag(close, {i}) OVER w" for i in range(1, confirm)]
     frame = f"(w ROWS BETWEEN {lookback + confirm - 1} PRECEDING AND {confirm} PRECEDING)"
+    swing = "(w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
     up = " AND ".join(f"{c} > max(high) OVER {frame}" for c in closes)
     down = " AND ".join(f"{c} < min(low) OVER {frame}" for c in closes)
     return f"""
 {out} AS (
   SELECT *, coalesce(seq >= {need - 1} AND {up}, false) AS trend_bull, coalesce(seq >= {need - 1} AND {down}, false) AS trend_bear,
-         min(low) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS low20,
-         max(high) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS high20
+         coalesce(CASE WHEN seq BETWEEN 6 AND 20 THEN min(CASE WHEN seq > 0 THEN low END) OVER {swing} ELSE min(low) OVER {swing} END, low) AS low20,
+         coalesce(CASE WHEN seq BETWEEN 6 AND 20 THEN max(CASE WHEN seq > 0 THEN high END) OVER {swing} ELSE max(high) OVER {swing} END, high) AS high20
   FROM {src} WINDOW w AS (PARTITION BY symbol ORDER BY seq))"""
 
 

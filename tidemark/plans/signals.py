@@ -19,6 +19,7 @@ from tidemark.operators.bars import numbered
 from tidemark.operators.blocks import block_window, halo_blocks, own_rows
 from tidemark.operators.geometry import limit_zone, structure_stop_wide, target, zone_stop
 from tidemark.params import Gates, Geometry
+from tidemark.session import stage
 
 KEYS = ["symbol"]
 VWAP_ROWS = 251  # the look-back slice a replay hands to the engine
@@ -315,12 +316,14 @@ def signals(
 ) -> DataFrame:
     """All signals of all symbols.
 
+    The bias lookup runs on the narrow bars, before features widen them; the bias
+    table is read by the lookup and by its bucket seeds, so it is staged.
     ``enrich`` takes and returns the candidate rows; it is where context, ledger
     form and model scores are attached, after the cheap gates have run.
     """
-    features = entry_features(entry_bars, entry_tf, ai=gates.ai)
-    rows = with_bias(features, bias_features(bias_bars, bias_tf), entry_tf, bias_tf, align)
-    found = candidates(rows, gates, g)
+    bias = stage(bias_features(bias_bars, bias_tf), "bias")
+    seen = with_bias(entry_bars, bias, entry_tf, bias_tf, align)
+    found = candidates(entry_features(seen, entry_tf, ai=gates.ai), gates, g)
     if enrich is not None:
         found = enrich(found)
     return finish(found, gates)

@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.catalog.base import ORACLES, QUERIES, Query
 
-SECTIONS = ("market", "forward")
+SECTIONS = ("market", "forward", "replay")
 
 
 def _load() -> None:

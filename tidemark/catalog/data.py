@@ -70,11 +70,11 @@ def walk_bars(spark: SparkSession, sf: str, tf: str, staged: bool = True) -> Dat
     return stage(bars, f"bars-{tf}") if staged else bars
 
 
-def bar_pair(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def bar_pair(spark: SparkSession, sf: str, entry_tf: str = ENTRY_TF) -> tuple[DataFrame, DataFrame]:
     """Entry and bias bars; the bias bars are resampled from the staged entry bars."""
     from tidemark.operators.bars import resample
 
-    entry = walk_bars(spark, sf, ENTRY_TF)
+    entry = walk_bars(spark, sf, entry_tf)
     return entry, resample(entry, BIAS_TF)
 
 

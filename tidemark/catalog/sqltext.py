@@ -12,6 +12,7 @@ def rd(expr: str, digits: int = 6) -> str:
 
 WALK_1H = f"{WALK_SQL},{bars_sql('bars', 3600)}"
 WALK_PAIR = f"{WALK_1H},{bars_sql('bias', 14400)}"
+SWING_PAIR = f"{WALK_SQL},{bars_sql('bars', 1800)},{bars_sql('bias', 14400)}"
 
 
 def indicators_sql(bars: str = "bars", out: str = "ind", ai: bool = False, vwap_rows: int = 251) -> str:
@@ -119,11 +120,15 @@ def bos_sql(src: str, out: str, lookback: int = 10, confirm: int = 2, need: int
   FROM {src} WINDOW w AS (PARTITION BY symbol ORDER BY seq))"""
 
 
-def signals_sql(min_confidence: float = 0, src: str = "pat", out: str = "sig", mode: str = "limit") -> str:
-    """Structure stops, resting limits, score-only confidence."""
+def signals_sql(min_confidence: float = 0, src: str = "pat", out: str = "sig", mode: str = "limit", swing: bool = False) -> str:
+    """Score-only confidence; structure stops on 1h bars, or zone stops on 30m bars."""
+    width = 1800 if swing else 3600
+    tiers = (4.0, 3.5, 3.0) if swing else (2.0, 1.75, 1.5)
     side = "CASE WHEN trend_bull THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END"
 
     def stop(price: str) -> str:
+        if swing:
+            return f"{price} - {side} * (atr * (0.6::DOUBLE + 0.25::DOUBLE))"
         return (
             f"CASE WHEN trend_bull THEN least(least(stop_low, low20) - atr * 0.25, {price} - atr * 1.15, {price} - atr * 0.1)"
             f" ELSE greatest(greatest(stop_high, high20) + atr * 0.25, {price} + atr * 1.15, {price} + atr * 0.1) END"
@@ -132,7 +137,7 @@ def signals_sql(min_confidence: float = 0, src: str = "pat", out: str = "sig", m
     return f"""
 {out}_j AS (
   SELECT e.*, b.trend_bull, b.trend_bear, b.low20, b.high20, b.seq + 1 AS bias_rows
-  FROM {src} e ASOF LEFT JOIN biasx b ON b.symbol = e.symbol AND e.t + 3600 >= b.t + 14400),
+  FROM {src} e ASOF LEFT JOIN biasx b ON b.symbol = e.symbol AND e.t + {width} >= b.t + 14400),
 {out}_s AS (
   SELECT *, (now_bull OR recent_bull) AS bull_sweep, (now_bear OR recent_bear) AS bear_sweep, close AS entry,
     20 + CASE WHEN now_bull OR recent_bull OR now_bear OR recent_bear THEN 20 ELSE 0 END
@@ -141,7 +146,7 @@ def signals_sql(min_confidence: float = 0, src: str = "pat", out: str = "sig", m
     + CASE WHEN (trend_bull AND ob_long IS NOT NULL) OR (trend_bear AND ob_short IS NOT NULL) THEN 10 ELSE 0 END AS setup_score
   FROM {out}_j WHERE seq >= 60 AND atr > 0 AND bias_rows >= 30 AND (trend_bull OR trend_bear)),
 {out}_r AS (
-  SELECT *, CASE WHEN setup_score >= 70 THEN 2.0::DOUBLE WHEN setup_score >= 45 THEN 1.75::DOUBLE ELSE 1.5::DOUBLE END AS rr,
+  SELECT *, CASE WHEN setup_score >= 70 THEN {tiers[0]}::DOUBLE WHEN setup_score >= 45 THEN {tiers[1]}::DOUBLE ELSE {tiers[2]}::DOUBLE END AS rr,
     {stop('entry')} AS sl0, {side} AS side FROM {out}_s WHERE {'setup_score >= 20' if mode == 'limit' else 'true'}),
 {out}_z AS (
   SELECT *, sl0 + 0.3 * (entry - sl0) AS room, entry - side * atr * 0.45 AS pull,
@@ -158,9 +163,9 @@ def signals_sql(min_confidence: float = 0, src: str = "pat", out: str = "sig", m
     coalesce(best.z, 'atr_pullback') AS zone_type FROM {out}_c),
 {out}_t AS (
   SELECT *, {'limit_price' if mode == 'limit' else 'entry'} AS trade_entry,
-    {f'''CASE WHEN trend_bull THEN least({stop('limit_price')}, limit_price - atr * 1.15 * 0.85)
+    {stop('limit_price') if swing else f'''CASE WHEN trend_bull THEN least({stop('limit_price')}, limit_price - atr * 1.15 * 0.85)
          ELSE greatest({stop('limit_price')}, limit_price + atr * 1.15 * 0.85) END''' if mode == 'limit' else 'sl0'} AS sl,
-    CASE WHEN trend_bull THEN least(stop_low, low20) ELSE greatest(stop_high, high20) END AS structure_swing
+    {stop('limit_price') if swing else 'CASE WHEN trend_bull THEN least(stop_low, low20) ELSE greatest(stop_high, high20) END'} AS structure_swing
   FROM {out}_l),
 {out}_f AS (
   SELECT *, CASE WHEN trend_bull THEN 'LONG' ELSE 'SHORT' END AS direction,
@@ -173,10 +178,10 @@ def signals_sql(min_confidence: float = 0, src: str = "pat", out: str = "sig", m
 {out} AS (SELECT * FROM {out}_f WHERE confidence >= greatest({28 if mode == 'limit' else 40}, {min_confidence}))"""
 
 
-def full_signals(min_confidence: float = 0, mode: str = "limit") -> str:
+def full_signals(min_confidence: float = 0, mode: str = "limit", swing: bool = False) -> str:
     return (
-        f"WITH RECURSIVE {WALK_PAIR},{indicators_sql()},{patterns_sql()},{bos_sql('bias', 'biasx')},"
-        f"{signals_sql(min_confidence, mode=mode)}"
+        f"WITH RECURSIVE {SWING_PAIR if swing else WALK_PAIR},{indicators_sql()},{patterns_sql()},{bos_sql('bias', 'biasx')},"
+        f"{signals_sql(min_confidence, mode=mode, swing=swing)}"
     )
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.catalog.base import ORACLES, QUERIES, Query
 
-SECTIONS = ("market", "forward", "replay", "ledger")
+SECTIONS = ("market", "forward", "replay", "ledger", "learning")
 
 
 def _load() -> None:

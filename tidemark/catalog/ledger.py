@@ -215,9 +215,7 @@ def daily_breaker(spark, sf):
 )
 def trade_counts(spark, sf):
     whole = ledger(spark, sf)
-    history = whole.where(led.is_closed())
-    number = led.next_trade_number(history, whole.where(led.is_active()))
-    return number.join(led.source_mix(history))
+    return led.trade_counts(whole.where(led.is_closed()), whole.where(led.is_active()))
 
 
 # ------------------------------------------------------------------ joins

@@ -207,14 +207,17 @@ def symbols_with_open(names: DataFrame, trades: DataFrame) -> DataFrame:
     return names.join(trades.where(F.col("status") == "OPEN").select("symbol").distinct(), "symbol", "left_semi")
 
 
-def next_trade_number(history: DataFrame, open_trades: DataFrame) -> DataFrame:
-    real = history.where(F.coalesce(F.col("source"), F.lit("live")) != "backtest").select(F.lit(1).alias("one"))
-    return real.unionByName(open_trades.select(F.lit(1).alias("one"))).agg((F.count("one") + 1).alias("next_no"))
+def trade_counts(history: DataFrame, open_trades: DataFrame) -> DataFrame:
+    """Next trade number and the real / simulated mix, in one aggregate.
 
-
-def source_mix(closed: DataFrame) -> DataFrame:
+    Simulated rows never count towards the numbering.
+    """
     simulated = F.coalesce(F.col("source"), F.lit("live")) == "backtest"
-    return closed.agg(F.count_if(~simulated).alias("n_real"), F.count_if(simulated).alias("n_backtest"))
+    kinds = history.select(F.when(simulated, "backtest").otherwise("real").alias("kind")).unionByName(
+        open_trades.select(F.lit("open").alias("kind"))
+    )
+    n = lambda k: F.count_if(F.col("kind") == k)
+    return kinds.agg((n("real") + n("open") + 1).alias("next_no"), n("real").alias("n_real"), n("backtest").alias("n_backtest"))
 
 
 def reconcile(trades: DataFrame, positions: DataFrame, closed_records: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +44,14 @@ def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], seq: str
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    """Whether a readable table lies at ``path``."""
+    try:
+        spark.read.parquet(path).schema  # noqa: B018
+    except AnalysisException as err:
+        if err.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
 
 
 def migrate_json(spark: SparkSession, source: str, target: str, schema: str = TRADE_SCHEMA) -> bool:

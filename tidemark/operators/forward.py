@@ -19,7 +19,7 @@ from tidemark.operators.geometry import atr_barriers
 from tidemark.session import stage
 
 KEYS = ("symbol",)
-FIRST_BUCKET, BUCKET_GROWTH, LARGEST_BUCKET = 1024, 4, 16384
+SHORT_SERIES, FIRST_BUCKET, BUCKET_GROWTH, LARGEST_BUCKET = 2048, 128, 4, 16384
 
 # Reasons an exit search reports.
 STOP_HIT, TRAIL_HIT, DATA_END = "Stop Loss Hit", "Trailing Stop Hit", "Open at data end"
@@ -148,69 +148,141 @@ def _walk(bars: Column, state: Column, long: Column, stop: Column, act: Column,
     return F.aggregate(bars, state, step)
 
 
-def bar_arrays(bars: DataFrame, size: int) -> DataFrame:
-    """Bars of one (symbol, bucket of ``size`` rows) as one ordered array."""
+def bar_arrays(bars: DataFrame, size: int, wanted: DataFrame | None = None) -> DataFrame:
+    """Bars of one (symbol, bucket of ``size`` rows) as one ordered array.
+
+    With ``wanted`` buckets, other bars are dropped before they are shuffled; the
+    semi join becomes a broadcast only if its measured size is small.
+    """
     packed = F.struct(F.col("seq").cast("long").alias("s"), "high", "low", "close")
+    rows = bars.select(*KEYS, F.expr(f"seq div {size}").alias("_bk"), packed.alias("b"))
+    if wanted is not None:
+        rows = rows.join(wanted, [*KEYS, "_bk"], "left_semi")
+    return rows.groupBy(*KEYS, "_bk").agg(F.array_sort(F.collect_list("b")).alias("_bars"))
+
+
+def _walk_bucket(live: DataFrame, bars: DataFrame, size: int, *, filtered: bool) -> DataFrame:
+    """Walk every row of ``live`` from ``_pos`` to the end of its bucket."""
+    live = live.withColumn("_bk", F.expr(f"_pos div {size}"))
+    wanted = live.select(*KEYS, "_bk").distinct() if filtered else None
+    ahead = F.filter(F.coalesce("_bars", F.array()), lambda b: b["s"] >= F.col("_pos"))
+    walked = _walk(
+        F.col("_ahead"), F.col("_state"), F.col("_long"), F.col("_sl"), F.col("_act"), F.col("_pct"), F.col("_dist")
+    )
     return (
-        bars.select(*KEYS, F.expr(f"seq div {size}").alias("_bk"), packed.alias("b"))
-        .groupBy(*KEYS, "_bk")
-        .agg(F.array_sort(F.collect_list("b")).alias("_bars"))
+        live.join(bar_arrays(bars, size, wanted), [*KEYS, "_bk"], "left")
+        .withColumn("_ahead", ahead)
+        .withColumn("_state", walked)
+        .withColumn("_pos", (F.col("_bk") + 1) * size)
+        .drop("_bk", "_bars", "_ahead")
     )
 
 
+def _zones(bars: DataFrame, size: int, longest: int) -> tuple[DataFrame, int]:
+    """Lowest low and highest high per bucket, on levels of fourfold size."""
+    level, parts = 0, []
+    while True:
+        width = size * BUCKET_GROWTH**level
+        parts.append(
+            bars.groupBy(*KEYS, F.lit(level).alias("_lvl"), F.expr(f"seq div {width}").alias("_bk")).agg(
+                F.min("low").alias("_floor"), F.max("high").alias("_roof")
+            )
+        )
+        if width >= longest:
+            break
+        level += 1
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return stage(out, "zones"), level
+
+
 def trailing_exits(
-    signals: DataFrame, bars: DataFrame, longest: int, *, id_col: str = "sid", first_bucket: int = FIRST_BUCKET
+    signals: DataFrame, bars: DataFrame, longest: int, *, id_col: str = "sid", first_bucket: int | None = None,
+    largest_bucket: int = LARGEST_BUCKET,
 ) -> DataFrame:
     """(id, exit_price, exit_reason, bars_held) of every signal with a forward bar.
 
     Needs direction, entry, sl, tp, start, trail_pct, activation and trail_dist
-    (null = percent of the anchor). ``longest`` is the longest series in rows; it
-    bounds the rounds. A round walks each open signal to the end of its bucket;
-    buckets grow fourfold up to ``LARGEST_BUCKET`` rows, which bounds an array.
+    (null = percent of the anchor). ``longest`` is the longest series in rows.
+
+    A round walks each open signal to the end of its bucket of bars. Most exits
+    come soon, so long series start with small buckets that grow fourfold up to
+    ``largest_bucket`` rows, which bounds an array. Signals still open then skip
+    ahead over buckets whose range touches neither stop nor activation price, on
+    levels of ever wider buckets, so even an exit at the far end of a series is
+    found in a number of rounds that grows with the logarithm of its distance.
     """
+    if first_bucket is None:
+        first_bucket = SHORT_SERIES if longest <= SHORT_SERIES else FIRST_BUCKET
     long = is_long("direction")
     reach = F.when(long, F.col("entry") + (F.col("tp") - F.col("entry")) * F.col("activation")).otherwise(
         F.col("entry") - (F.col("entry") - F.col("tp")) * F.col("activation")
     )
     blank = F.expr(f"cast(named_struct('done', 0, 'k', -1L, 'armed', false, 'anchor', null, 'price', null) as {STATE})")
+    ends = bars.groupBy(*KEYS).agg(F.max("seq").alias("_last"), F.max_by("close", "seq").alias("_final"))
     live = signals.select(
         id_col, *KEYS, F.col("start").cast("long").alias("_start"), F.col("start").cast("long").alias("_pos"),
         long.alias("_long"), F.col("sl").alias("_sl"), reach.alias("_act"),
         F.col("trail_pct").cast("double").alias("_pct"), F.col("trail_dist").cast("double").alias("_dist"),
         blank.alias("_state"),
-    )
-    finished, size, covered = [], first_bucket, 0
+    ).join(ends, list(KEYS)).where(F.col("_start") <= F.col("_last"))
+    over = (F.col("_state.done") > 0) | (F.col("_pos") > F.col("_last"))
+    finished, size = [], first_bucket
     while True:
-        covered = -(-(covered + 1) // size) * size
-        walked = (
-            live.withColumn("_bk", F.expr(f"_pos div {size}"))
-            .join(bar_arrays(bars, size), [*KEYS, "_bk"], "left")
-            .withColumn("_ahead", F.filter(F.coalesce("_bars", F.array()), lambda b: b["s"] >= F.col("_pos")))
-            .withColumn(
-                "_state",
-                _walk(F.col("_ahead"), F.col("_state"), F.col("_long"), F.col("_sl"), F.col("_act"), F.col("_pct"), F.col("_dist")),
-            )
-            .withColumn("_pos", (F.col("_bk") + 1) * size)
-            .drop("_bk", "_bars", "_ahead")
-        )
-        if covered >= longest:
+        walked = _walk_bucket(live, bars, size, filtered=size > first_bucket)
+        if size >= longest:
             finished.append(walked)
-            break
+            return _exit_rows(finished, id_col)
         walked = stage(walked, "exits")
-        finished.append(walked.where("_state.done > 0"))
-        live = walked.where("_state.done = 0")
+        finished.append(walked.where(over))
+        live = walked.where(~over)
         if live.isEmpty():
+            return _exit_rows(finished, id_col)
+        if size >= largest_bucket:
             break
-        size = min(size * BUCKET_GROWTH, LARGEST_BUCKET)
-    out = finished[0]
-    for part in finished[1:]:
+        size = min(size * BUCKET_GROWTH, largest_bucket)
+    return _exit_rows(finished + _skip_ahead(live, bars, size, longest, over), id_col)
+
+
+def _skip_ahead(live: DataFrame, bars: DataFrame, size: int, longest: int, over: Column) -> list[DataFrame]:
+    zones, top = _zones(bars, size, longest)
+    width = F.lit(size).cast("long") * F.pow(F.lit(float(BUCKET_GROWTH)), F.col("_lvl")).cast("long")
+    wider = width * BUCKET_GROWTH
+    near = F.when(F.col("_long"), (F.col("_floor") <= F.col("_sl")) | (F.col("_roof") >= F.col("_act"))).otherwise(
+        (F.col("_roof") >= F.col("_sl")) | (F.col("_floor") <= F.col("_act"))
+    )
+    live, finished = live.withColumn("_lvl", F.lit(0)), []
+    while True:
+        seen = live.withColumn("_bk", F.floor(F.col("_pos") / width)).join(zones, [*KEYS, "_lvl", "_bk"], "left")
+        seen = stage(seen.withColumn("_near", F.col("_state.armed") | F.coalesce(near, F.lit(False))), "skip")
+        past = (F.col("_bk") + 1) * width
+        climbs = (F.col("_lvl") < top) & (past % wider == 0)
+        skipped = seen.where("not _near").withColumn("_to", past).withColumn(
+            "_lvl", F.when(climbs, F.col("_lvl") + 1).otherwise(F.col("_lvl"))
+        ).withColumn("_pos", F.col("_to")).drop("_to", "_bk", "_floor", "_roof", "_near")
+        closer = seen.where("_near and _lvl > 0").withColumn("_lvl", F.col("_lvl") - 1).drop("_bk", "_floor", "_roof", "_near")
+        here = seen.where("_near and _lvl = 0").drop("_bk", "_floor", "_roof", "_near")
+        moved = skipped.unionByName(closer).unionByName(_walk_bucket(here, bars, size, filtered=True))
+        moved = stage(moved, "exits")
+        finished.append(moved.where(over).drop("_lvl"))
+        live = moved.where(~over)
+        if live.isEmpty():
+            return finished
+
+
+def _exit_rows(parts: list[DataFrame], id_col: str) -> DataFrame:
+    """Exits of finished signals; the rest are still open at the last bar."""
+    out = parts[0]
+    for part in parts[1:]:
         out = out.unionByName(part)
     s = F.col("_state")
-    return out.where(s["k"] >= 0).select(
+    closed = s["done"] > 0
+    return out.select(
         id_col,
-        s["price"].alias("exit_price"),
+        F.when(closed, s["price"]).otherwise(F.col("_final")).alias("exit_price"),
         F.when(s["done"] == 1, STOP_HIT).when(s["done"] == 2, TRAIL_HIT).otherwise(DATA_END).alias("exit_reason"),
-        (s["k"] - F.col("_start") + 1).cast("int").alias("bars_held"),
+        (F.when(closed, s["k"]).otherwise(F.col("_last")) - F.col("_start") + 1).cast("int").alias("bars_held"),
     )
 
 

@@ -7,7 +7,7 @@ and one sort serve every feature.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.blocks import smoothed
@@ -54,9 +54,21 @@ def typical_value() -> Column:
     return (F.col("high") + F.col("low") + F.col("close")) / 3 * F.col("volume")
 
 
+def trailing_sum(value: Column, w, rows: int) -> Column:
+    """Sum over the last ``rows`` rows as the difference of two running sums.
+
+    A wide sliding frame would add its rows up anew for every row. The running
+    sums restart per block, so little precision is lost in the difference.
+    """
+    total = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    left_out = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -rows))
+    return total - F.coalesce(left_out, F.lit(0.0))
+
+
 def vwap(w, rows: int) -> Column:
-    frame = w.rowsBetween(1 - rows, 0)
-    return F.sum(typical_value()).over(frame) / F.nullif(F.sum("volume").over(frame), F.lit(0.0))
+    """Volume-weighted typical price of the last ``rows`` bars, null without volume."""
+    traded = trailing_sum(F.col("volume"), w, rows)
+    return trailing_sum(typical_value(), w, rows) / F.nullif(traded, F.lit(0.0))
 
 
 def atr_mean(w) -> Column:
@@ -92,9 +104,13 @@ def displacement(ai: bool = False) -> Column:
 
 
 def atr_percentile(w) -> Column:
-    """Share of the last 50 ATRs below the current one, 50 until there are 50."""
-    recent = F.collect_list("atr").over(w.rowsBetween(1 - ATR_RANK_ROWS, 0))
-    below = F.size(F.filter(recent, lambda a: a < F.col("atr")))
+    """Share of the last 50 ATRs below the current one, 50 until there are 50.
+
+    Written as lags, which stay in generated code, instead of one list per row.
+    """
+    below = F.lit(0)
+    for back in range(1, ATR_RANK_ROWS):
+        below = below + flag(F.lag("atr", back).over(w) < F.col("atr"))
     full = F.col("seq") >= ATR_PERIOD - 1 + ATR_RANK_ROWS - 1
     return F.when(full, below * (100.0 / ATR_RANK_ROWS)).otherwise(50.0)
 

@@ -87,7 +87,7 @@ def test_asof_equals_merge_asof_over_buckets(spark):
     got = asof_join(a, {"r": b}, ["k"], bucket_micros=3_600_000_000).select("id", F.col("r.v").alias("v")).toPandas().set_index("id").v
     want = pd.merge_asof(left, right, on="s", by="k").set_index("id").v
     assert np.allclose(got.sort_index().fillna(-99), want.sort_index().fillna(-99))
-    one = asof_global(a, "r", b.drop("k"), bucket_micros=3_600_000_000).select("id", F.col("r.v").alias("v")).toPandas().set_index("id").v
+    one = asof_global(a, {"r": b.drop("k")}, bucket_micros=3_600_000_000).select("id", F.col("r.v").alias("v")).toPandas().set_index("id").v
     want = pd.merge_asof(left, right.drop(columns="k"), on="s").set_index("id").v
     assert np.allclose(one.sort_index().fillna(-99), want.sort_index().fillna(-99))
 
@@ -95,5 +95,5 @@ def test_asof_equals_merge_asof_over_buckets(spark):
 def test_asof_edges(spark):
     series = spark.createDataFrame([(100, 1.0), (200, 2.0), (300, 3.0)], "ms bigint, v double").select(F.timestamp_millis("ms").alias("ts"), "v")
     asks = spark.createDataFrame([(99,), (100,), (250,), (999,)], "ms bigint").select("ms", F.timestamp_millis("ms").alias("ts"))
-    got = {r["ms"]: r["v"] for r in asof_global(asks, "s", series).select("ms", "s.v").collect()}
+    got = {r["ms"]: r["v"] for r in asof_global(asks, {"s": series}).select("ms", "s.v").collect()}
     assert got == {99: None, 100: 1.0, 250: 2.0, 999: 3.0}

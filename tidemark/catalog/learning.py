@@ -32,20 +32,20 @@ cx AS (SELECT f.*, fu.value AS funding, oi.value AS oi, bt.value AS btc, fg.valu
 CONTEXT_SQL = CONTEXT_SQL.replace("bt AS (SELECT t, CASE", bos_sql("(SELECT * FROM bars WHERE symbol = 'click')", "bt0", need=12).strip() + ",\nbt AS (SELECT t, CASE")
 
 
-def enricher(spark, sf):
+def enricher(spark, sf, bars):
     """Funding (8h), open-interest change (1h), reference trend and daily sentiment."""
     ticks = data.raw_ticks(spark, sf)
     at = lambda width: F.timestamp_seconds(F.floor(F.unix_seconds("ts") / width) * width).alias("ts")
     funding = ticks.groupBy("symbol", at(28800)).agg((F.avg("price") / 1000 - 0.01).alias("value"))
     hourly = ticks.groupBy("symbol", at(3600)).agg(F.sum(F.floor(F.col("price") * 100 + 0.5)).cast("double").alias("oi")).where("oi > 0")
     oi = open_interest_changes(hourly, "oi").select("symbol", "ts", F.col("step_pct").alias("value"))
-    trend = cp.trend_series(data.walk_bars(spark, sf, "30m"), "30m", "click")
+    trend = cp.trend_series(bars, "30m", "click")
     sentiment = ticks.groupBy(at(86400)).agg(F.floor(F.avg("price") * 5).cast("double").alias("value"))
     return cp.context_enricher(funding, oi, trend, sentiment)
 
 
 def corpus(spark, sf) -> DataFrame:
-    return stage(replayed(spark, sf, enrich=enricher(spark, sf)), "corpus")
+    return stage(replayed(spark, sf, context=enricher), "corpus")
 
 
 @query(
@@ -54,7 +54,7 @@ def corpus(spark, sf) -> DataFrame:
       {sql_rd('oi', 4)} AS oi, btc, fng FROM cx""",
 )
 def corpus_trades(spark, sf):
-    return replayed(spark, sf, enrich=enricher(spark, sf)).select(
+    return replayed(spark, sf, context=enricher).select(
         "symbol", t(), "direction", "source", rd("realized_r", 3).alias("realized_r"), rd("tb_realized_r", 3).alias("tb_r"),
         rd("funding_rate").alias("funding"), rd("oi_change_pct", 4).alias("oi"), F.col("btc_trend").alias("btc"), "fng",
     )
@@ -97,7 +97,7 @@ def feature_frame(spark, sf):
 
 @query("label_sources", f"{FILLED}, {BARRIER} SELECT 'triple_barrier' AS label_kind, count(*) AS n FROM fin HAVING count(*) > 0")
 def label_sources(spark, sf):
-    frame = tr.feature_frame(tr.in_ledger_order(replayed(spark, sf)), 30)
+    frame = tr.feature_frame(tr.in_ledger_order(stage(replayed(spark, sf), "trades")), 30)
     return frame.groupBy("label_kind").agg(F.count(F.lit(1)).alias("n"))
 
 

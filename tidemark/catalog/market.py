@@ -424,9 +424,8 @@ JOINED = f"""{BIASED}, j AS (SELECT e.*, b.low20, b.high20, b.seq + 1 AS bias_ro
 
 def hourly_with_bias(spark, sf, align="close") -> DataFrame:
     entry, bias = data.bar_pair(spark, sf)
-    return sig.with_bias(sig.entry_features(entry, "1h"), sig.bias_features(bias, "4h"), "1h", "4h", align).where(
-        F.col("seq") >= 29
-    )
+    states = stage(sig.bias_features(bias, "4h"), "bias")
+    return sig.entry_features(sig.with_bias(entry, states, "1h", "4h", align), "1h").where(F.col("seq") >= 29)
 
 
 @query(

@@ -66,17 +66,18 @@ tr AS (SELECT *, floor(equity / (1 + rho) * rho * 1e4 + 0.5) / 1e4 AS pnl,
 GEOMETRY, GATES, EXECUTION, _ = SWING
 
 
-def replay_inputs(spark, sf, min_confidence: float = 0.0, enrich=None) -> tuple[DataFrame, DataFrame]:
+def replay_inputs(spark, sf, min_confidence: float = 0.0, context=None) -> tuple[DataFrame, DataFrame]:
     """Signals of the swing preset (30m entries, 4h bias) and the numbered bars."""
     entry, bias = data.bar_pair(spark, sf, "30m")
+    enrich = None if context is None else context(spark, sf, entry)
     gates = dc.replace(GATES, min_confidence=min_confidence)
     found = stage(sig.signals(entry, bias, "30m", "4h", gates, GEOMETRY, enrich=enrich), "signals")
     bars = stage(replay.bar_clock(numbered(entry, "30m")), "clock")
     return found, bars
 
 
-def replayed(spark, sf, enrich=None) -> DataFrame:
-    found, bars = replay_inputs(spark, sf, enrich=enrich)
+def replayed(spark, sf, context=None) -> DataFrame:
+    found, bars = replay_inputs(spark, sf, context=context)
     return replay.simulate(found, bars, EXECUTION)
 
 

@@ -31,7 +31,8 @@ def asof_join(
     """Add one struct column per series: its last row with right_ts <= left_ts.
 
     Every series must hold ``by``, ``right_ts`` and its value columns. ``tie``
-    names a column of the series that orders rows of equal time.
+    names a column of the series that orders rows of equal time. Both sides are
+    read twice (rows, and buckets), so hand in stored tables, and narrow ones.
     """
     by = list(by)
     at = micros(F.col(left_ts))
@@ -83,22 +84,28 @@ def asof_join(
     )
 
 
-def asof_global(left: DataFrame, name: str, series: DataFrame, *, left_ts: str = "ts", right_ts: str = "ts",
-                bucket_micros: int = DAY) -> DataFrame:
-    """Lookup in a series that has no key.
+def asof_global(
+    left: DataFrame, series: dict[str, DataFrame], *, left_ts: str = "ts", right_ts: str = "ts", bucket_micros: int = DAY
+) -> DataFrame:
+    """Lookup in series that have no key.
 
-    The lookup runs on the distinct times of the left side and is joined back by
-    equality, so the left rows themselves are never gathered by time bucket.
+    The lookup runs once, for all series, on the distinct times of the left side
+    and is joined back by equality, so the left rows are never gathered by time.
     """
     times = left.select(F.col(left_ts)).distinct()
-    found = asof_join(times, {name: series}, [], left_ts=left_ts, right_ts=right_ts, bucket_micros=bucket_micros)
+    found = asof_join(times, series, [], left_ts=left_ts, right_ts=right_ts, bucket_micros=bucket_micros)
     return left.join(found, left_ts, "left")
 
 
 def multi_context(left: DataFrame, keyed: dict[str, DataFrame], unkeyed: dict[str, DataFrame], by: Sequence[str],
-                  **kw) -> DataFrame:
-    """Attach several series: keyed ones share one union and one window."""
-    out = asof_join(left, keyed, by, **kw) if keyed else left
-    for name, df in unkeyed.items():
-        out = asof_global(out, name, df, left_ts=kw.get("left_ts", "ts"))
+                  ts: str = "ts") -> DataFrame:
+    """Attach several series. Keyed ones share one union and one window over the
+    narrow (key, time) pairs of ``left``; the wide rows only meet the results."""
+    out = left
+    if keyed:
+        asked = left.select(*by, ts).distinct()
+        out = out.join(asof_join(asked, keyed, by, left_ts=ts), [*by, ts], "left")
+    if unkeyed:
+        found = asof_join(left.select(ts).distinct(), unkeyed, [], left_ts=ts)
+        out = out.join(found, ts, "left")
     return out

@@ -42,7 +42,8 @@ def running(
     ``chunk`` columns must not decrease along ``order``. ``carry`` maps an output
     name to (expression, kind), kind one of sum, max, min, last, count. A chunk
     contributes one row to the second level; only that small table is windowed
-    by the bare key. ``exclusive`` leaves the current row out.
+    by the bare key. ``exclusive`` leaves the current row out. ``df`` is read
+    twice, once pruned to what the chunk totals need: hand in a stored table.
     """
     names = list(chunk)
     tagged = df.select("*", *[c.alias(n) for n, c in chunk.items()])

@@ -17,6 +17,7 @@ from tidemark.functions.symbols import base_asset, exchange_symbol, is_major
 from tidemark.functions.times import micros, session_of
 from tidemark.operators.blocks import block_window, halo_blocks, own_rows, running, with_seq
 from tidemark.params import Portfolio
+from tidemark.session import stage
 
 # Look-backs of the ledger context and when it starts to count.
 RECENT, FORM, PNL_ROWS, DD_ROWS, MIN_HISTORY, MIN_FORM = 10, 20, 20, 50, 5, 3
@@ -61,7 +62,7 @@ def with_context(ledger: DataFrame, seq: str = "seq") -> DataFrame:
     )
     # Start of the run that ends at the previous row, carried across chunks.
     rows = running(
-        rows, [], {"_chunk": F.expr(f"n div {LEDGER_CHUNK}")}, ["n"],
+        stage(rows, "form"), [], {"_chunk": F.expr(f"n div {LEDGER_CHUNK}")}, ["n"],
         {"_since": (F.when(F.col("_turn"), F.col("n")), "max")}, exclusive=True,
     )
     run = (F.col("n") - F.col("_since")).cast("int")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import patterns as pat
-from tidemark.operators.asof import asof_global, asof_join
+from tidemark.operators.asof import multi_context
 from tidemark.operators.bars import numbered
 from tidemark.operators.blocks import block_window, halo_blocks, own_rows
 from tidemark.operators.ledger import tagged_backfill, with_backfill
@@ -32,8 +32,7 @@ def context_enricher(funding: DataFrame, oi: DataFrame, trend: DataFrame, sentim
 
     def attach(rows: DataFrame) -> DataFrame:
         keyed = {"_funding": funding, "_oi": oi} | ({"_form": form} if form is not None else {})
-        out = asof_join(rows, keyed, ["symbol"])
-        out = asof_global(asof_global(out, "_trend", trend), "_fng", sentiment)
+        out = multi_context(rows, keyed, {"_trend": trend, "_fng": sentiment}, ["symbol"])
         out = out.select(
             "*", F.col("_funding.value").alias("funding_rate"), F.col("_oi.value").alias("oi_change_pct"),
             F.col("_trend.value").alias("btc_trend"), F.col("_fng.value").alias("fng"),

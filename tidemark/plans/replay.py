@@ -99,6 +99,7 @@ def simulate(
         tb = first_touch(geometry, bars, x.label_bars)
         taken = taken.join(tb, "sid", "left")
         taken = with_label_end(taken, bars)
+    taken = stage(taken, "taken")
     trades = compounded(taken, TRADE_KEYS, "seq", "rho", x.start_balance)
     risk = F.abs(F.col("entry") - F.col("sl"))
     pnl = F.col("equity_before") * F.col("rho")

@@ -325,5 +325,5 @@ def signals(
     seen = with_bias(entry_bars, bias, entry_tf, bias_tf, align)
     found = candidates(entry_features(seen, entry_tf, ai=gates.ai), gates, g)
     if enrich is not None:
-        found = enrich(found)
+        found = enrich(stage(found, "candidates"))
     return finish(found, gates)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import patterns as pat
 from tidemark.operators.bars import numbered, rising
 from tidemark.operators.blocks import BLOCK, block_window, halo_blocks, own_rows, running, with_seq
+from tidemark.session import stage
 
 KEYS = ["symbol"]
 
@@ -29,7 +30,7 @@ def equal_levels(bars: DataFrame, tf: str) -> DataFrame:
     pivots = rows.select("symbol", "ts", F.col("seq").alias("bar"), sides.alias("p")).select(
         "symbol", "ts", "bar", "p.side", "p.level"
     ).where("level is not null")
-    keys = [*KEYS, "side"]
+    pivots, keys = stage(pivots, "pivots"), [*KEYS, "side"]
     ranked = with_seq(pivots, keys, ["bar"], {"_chunk": F.expr(f"bar div {BLOCK}")})
     wide = halo_blocks(ranked, keys, block=4096, halo=32)
     past = F.collect_list("level").over(block_window(keys).rowsBetween(1 - pat.PIVOT_MEMORY, -1))
@@ -45,7 +46,7 @@ def internal_structure(bars: DataFrame, tf: str) -> DataFrame:
     up, down = pat.break_of_structure(w, pat.INTERNAL_LOOKBACK, pat.INTERNAL_CONFIRM)
     df = halo_blocks(numbered(bars, tf), KEYS, block=4096, halo=64).select("*", up.alias("_up"), down.alias("_down"))
     df = df.select("*", rising(F.col("_up"), w).alias("new_bull"), rising(F.col("_down"), w).alias("new_bear"))
-    rows = own_rows(df)
+    rows = stage(own_rows(df), "breaks")
     mark = F.when(F.col("new_bear"), "BEARISH").when(F.col("new_bull"), "BULLISH")
     rows = running(rows, KEYS, {"_chunk": F.expr(f"seq div {BLOCK}")}, ["seq"], {"bias": (mark, "last")}, exclusive=True)
     bias = F.coalesce(F.col("bias"), F.lit("NEUTRAL"))

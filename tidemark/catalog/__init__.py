@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.catalog.base import ORACLES, QUERIES, Query
 
-SECTIONS = ("market", "forward", "replay", "ledger", "learning", "streams")
+SECTIONS = ("market", "forward", "replay", "ledger", "learning", "scans", "streams")
 
 
 def _load() -> None:

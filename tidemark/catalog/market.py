@@ -624,9 +624,9 @@ def shown(df: DataFrame) -> DataFrame:
     )
 
 
-def all_signals(spark, sf, min_confidence: float = 65.0, **kw) -> DataFrame:
+def all_signals(spark, sf, min_confidence: float = 65.0, enrich=None, **kw) -> DataFrame:
     entry, bias = data.bar_pair(spark, sf)
-    return sig.signals(entry, bias, "1h", "4h", Gates(min_confidence=min_confidence, **kw))
+    return sig.signals(entry, bias, "1h", "4h", Gates(min_confidence=min_confidence, **kw), enrich=enrich)
 
 
 @query("signals", f"{full_signals(65)} SELECT {SIGNAL_COLUMNS} FROM sig")
@@ -637,3 +637,18 @@ def signals_q(spark, sf):
 @query("signals_market", f"{full_signals(0, 'market')} SELECT {SIGNAL_COLUMNS} FROM sig")
 def signals_market(spark, sf):
     return shown(all_signals(spark, sf, 0.0, entry_mode="market"))
+
+
+@query("signals_ai", f"{full_signals(0, ai=True)} SELECT {SIGNAL_COLUMNS} FROM sig")
+def signals_ai(spark, sf):
+    """Model-blended confidence; a stand-in model scores the candidates."""
+    orders = data.table(spark, sf, "orders")
+    n_real = orders.where((F.col("o_orderstatus") != "O") & (F.col("o_orderkey") % 3 != 0)).count()
+
+    def enrich(df: DataFrame) -> DataFrame:
+        return df.select(
+            "*", F.lit(n_real).alias("n_real_closed"), (F.col("seq") * 7 % 91 + 5).cast("double").alias("ai_prob"),
+            ((F.col("seq") % 7 - 2) * 0.1).alias("expected_r"), F.lit(0.6).alias("recent_win_rate"),
+        )
+
+    return shown(all_signals(spark, sf, 0.0, enrich, ai=True))

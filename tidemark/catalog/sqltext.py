@@ -51,7 +51,7 @@ def indicators_sql(bars: str = "bars", out: str = "ind", ai: bool = False, vwap_
   FROM {out}_b)"""
 
 
-def patterns_sql(src: str = "ind", out: str = "pat") -> str:
+def patterns_sql(src: str = "ind", out: str = "pat", ai: bool = False) -> str:
     w = "PARTITION BY symbol ORDER BY seq"
 
     def lag(col, n):
@@ -94,8 +94,8 @@ def patterns_sql(src: str = "ind", out: str = "pat") -> str:
   WINDOW w AS (PARTITION BY b.symbol ORDER BY seq)),
 {out} AS (
   SELECT *,
-    coalesce(low <= swing_low * 1.0002 AND close > open, false) AS now_bull,
-    coalesce(high >= swing_high * 0.9998 AND close < open, false) AS now_bear,
+    coalesce({'low < swing_low' if ai else 'low <= swing_low * 1.0002'} AND close > open, false) AS now_bull,
+    coalesce({'high > swing_high' if ai else 'high >= swing_high * 0.9998'} AND close < open, false) AS now_bear,
     coalesce(seq >= 21 AND max(CASE WHEN low < low12 AND close > open THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) = 1, false) AS recent_bull,
     coalesce(seq >= 21 AND max(CASE WHEN high > high12 AND close < open THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) = 1, false) AS recent_bear,
     CASE WHEN seq >= 17 THEN last_value(mark_long IGNORE NULLS) OVER (w ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) END AS ob_long,
@@ -120,12 +120,29 @@ def bos_sql(src: str, out: str, lookback: int = 10, confirm: int = 2, need: int
   FROM {src} WINDOW w AS (PARTITION BY symbol ORDER BY seq))"""
 
 
-def signals_sql(min_confidence: float = 0, src: str = "pat", out: str = "sig", mode: str = "limit", swing: bool = False) -> str:
+# A stand-in model: probability and expected R from the bar's place, trades from the ledger.
+MODEL_SQL = """, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'O' AND o_orderkey % 3 <> 0) AS n_real,
+    CASE WHEN (SELECT count(*) FROM orders WHERE o_orderstatus <> 'O' AND o_orderkey % 3 <> 0) <= 30 THEN 0 ELSE floor(0.4::DOUBLE * least(1.0::DOUBLE,
+      ((SELECT count(*) FROM orders WHERE o_orderstatus <> 'O' AND o_orderkey % 3 <> 0) - 30) / 120.0::DOUBLE) * 1e4 + 0.5) / 1e4 END AS weight,
+    (seq * 7 % 91 + 5)::DOUBLE AS prob, (seq % 7 - 2) * 0.1::DOUBLE AS exp_r"""
+
+
+def signals_sql(min_confidence: float = 0, src: str = "pat", out: str = "sig", mode: str = "limit", swing: bool = False, ai: bool = False) -> str:
     """Score-only confidence; structure stops on 1h bars, or zone stops on 30m bars."""
     width = 1800 if swing else 3600
     tiers = (4.0, 3.5, 3.0) if swing else (2.0, 1.75, 1.5)
     side = "CASE WHEN trend_bull THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END"
 
+    rr = f"CASE WHEN setup_score >= 70 THEN {tiers[0]}::DOUBLE WHEN setup_score >= 45 THEN {tiers[1]}::DOUBLE ELSE {tiers[2]}::DOUBLE END"
+    base, required = "setup_score", "28" if mode == "limit" else "40"
+    if ai:
+        rr = "CASE WHEN atr > atr_avg * 1.3 THEN 2.0::DOUBLE WHEN atr < atr_avg * 0.7 THEN 1.5::DOUBLE ELSE 1.75::DOUBLE END"
+        base = "CAST(floor(setup_score * (1 - weight) + prob * weight) AS INT)"
+        required = (
+            "greatest(22, least(75, 32 + CASE market_regime WHEN 'trending' THEN -5 WHEN 'volatile' THEN 8 ELSE 4 END - 5"
+            " + CASE WHEN atr_percentile > 80 THEN 5 WHEN atr_percentile < 20 THEN -3 ELSE 0 END))"
+        )
+
     def stop(price: str) -> str:
         if swing:
             return f"{price} - {side} * (atr * (0.6::DOUBLE + 0.25::DOUBLE))"
@@ -146,8 +163,8 @@ def signals_sql(min_confidence: float = 0, src: str = "pat", out: str = "sig", m
     + CASE WHEN (trend_bull AND ob_long IS NOT NULL) OR (trend_bear AND ob_short IS NOT NULL) THEN 10 ELSE 0 END AS setup_score
   FROM {out}_j WHERE seq >= 60 AND atr > 0 AND bias_rows >= 30 AND (trend_bull OR trend_bear)),
 {out}_r AS (
-  SELECT *, CASE WHEN setup_score >= 70 THEN {tiers[0]}::DOUBLE WHEN setup_score >= 45 THEN {tiers[1]}::DOUBLE ELSE {tiers[2]}::DOUBLE END AS rr,
-    {stop('entry')} AS sl0, {side} AS side FROM {out}_s WHERE {'setup_score >= 20' if mode == 'limit' else 'true'}),
+  SELECT *, {rr} AS rr,
+    {stop('entry')} AS sl0, {side} AS side{MODEL_SQL if ai else ''} FROM {out}_s WHERE {'setup_score >= 20' if mode == 'limit' else 'true'}),
 {out}_z AS (
   SELECT *, sl0 + 0.3 * (entry - sl0) AS room, entry - side * atr * 0.45 AS pull,
     CASE WHEN trend_bull AND bull_fvg THEN gap_long WHEN trend_bear AND bear_fvg THEN gap_short END AS gap,
@@ -170,18 +187,18 @@ def signals_sql(min_confidence: float = 0, src: str = "pat", out: str = "sig", m
 {out}_f AS (
   SELECT *, CASE WHEN trend_bull THEN 'LONG' ELSE 'SHORT' END AS direction,
     CASE WHEN trend_bull THEN trade_entry + (trade_entry - sl) * rr ELSE trade_entry - (sl - trade_entry) * rr END AS tp,
-    least(100, setup_score + CASE WHEN (bull_sweep AND bull_fvg) OR (bear_sweep AND bear_fvg) THEN 5 ELSE 0 END
+    least(100, {base} + CASE WHEN (bull_sweep AND bull_fvg) OR (bear_sweep AND bear_fvg) THEN 5 ELSE 0 END
       + CASE WHEN volume_spike = 1 AND displacement = 1 THEN 5 ELSE 0 END
       + CASE WHEN (bull_crt AND bull_sweep) OR (bear_crt AND bear_sweep) THEN 4 ELSE 0 END
       + CASE WHEN zone_type IN ('order_block', 'fvg') THEN 3 ELSE 0 END) AS confidence
   FROM {out}_t),
-{out} AS (SELECT * FROM {out}_f WHERE confidence >= greatest({28 if mode == 'limit' else 40}, {min_confidence}))"""
+{out} AS (SELECT * FROM {out}_f WHERE confidence >= greatest({required}, {min_confidence}){' AND NOT (n_real >= 60 AND exp_r < 0)' if ai else ''})"""
 
 
-def full_signals(min_confidence: float = 0, mode: str = "limit", swing: bool = False) -> str:
+def full_signals(min_confidence: float = 0, mode: str = "limit", swing: bool = False, ai: bool = False) -> str:
     return (
-        f"WITH RECURSIVE {SWING_PAIR if swing else WALK_PAIR},{indicators_sql()},{patterns_sql()},{bos_sql('bias', 'biasx')},"
-        f"{signals_sql(min_confidence, mode=mode, swing=swing)}"
+        f"WITH RECURSIVE {SWING_PAIR if swing else WALK_PAIR},{indicators_sql(ai=ai)},{patterns_sql(ai=ai)},{bos_sql('bias', 'biasx')},"
+        f"{signals_sql(min_confidence, mode=mode, swing=swing, ai=ai)}"
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import data
@@ -15,12 +15,14 @@ from tidemark.functions import symbols as sym
 from tidemark.functions import times
 from tidemark.operators import indicators as ind
 from tidemark.operators import patterns as pat
-from tidemark.operators.asof import asof_global, asof_join, multi_context
+from tidemark.operators.asof import asof_join, multi_context
+from tidemark.operators.context import open_interest_changes, spread_ok, spread_pct
 from tidemark.operators.bars import closed_bars, merge_pages, numbered, resample, rising, to_bars
-from tidemark.operators.blocks import block_window, halo_blocks, own_rows, running, with_seq
+from tidemark.operators.blocks import block_window, halo_blocks, own_rows
 from tidemark.operators.geometry import limit_zone, structure_stop, structure_stop_wide, zone_stop
 from tidemark.params import Gates, Geometry
 from tidemark.plans import signals as sig
+from tidemark.plans.structure import equal_levels, internal_structure
 from tidemark.session import stage
 
 KEYS = ["symbol"]
@@ -147,7 +149,7 @@ SPREAD_SQL = "p_retailprice AS bid, p_retailprice * (1 + (p_size - 3) * 0.0001::
     f"""WITH {PAIR_SQL}, k AS (SELECT p_partkey, symbol, {SPREAD_SQL}, p_retailprice * 600 AS volume FROM pairs),
     s AS (SELECT *, CASE WHEN bid > 0 AND ask > 0 AND ask >= bid THEN (ask - bid) / ((bid + ask) / 2) * 100 END AS spread_pct FROM k)
     SELECT p_partkey, symbol, {sql_rd('spread_pct')} AS spread_pct,
-      CASE WHEN spread_pct IS NULL OR spread_pct / 100 * ask <= 0.15 * ask * 0.01 THEN 1 ELSE 0 END AS passes FROM s WHERE volume >= 500000""",
+      CASE WHEN spread_pct IS NULL OR spread_pct / 100 * ask <= 0.15::DOUBLE * abs(ask - ask * 0.99::DOUBLE) THEN 1 ELSE 0 END AS passes FROM s WHERE volume >= 500000""",
 )
 def ticker_spread(spark, sf):
     k = pair_names(spark, sf).select(
@@ -155,14 +157,9 @@ def ticker_spread(spark, sf):
         (F.col("p_retailprice") * (1 + (F.col("p_size") - 3) * 0.0001)).alias("ask"),
         (F.col("p_retailprice") * 600).alias("volume"),
     ).where(F.col("volume") >= sym.MIN_QUOTE_VOLUME)
-    from tidemark.operators.context import spread_ok, spread_pct
-
     k = k.select("*", spread_pct("bid", "ask").alias("spread_pct"))
     ok = spread_ok("spread_pct", "ask", F.col("ask") * 0.99)
-    return k.select("p_partkey", "symbol", rd("spread_pct").alias("spread_pct"), flag(
-        F.col("spread_pct").isNull() | (F.col("spread_pct") / 100 * F.col("ask") <= 0.15 * F.col("ask") * 0.01)
-    ).alias("passes")) if ok is None else k.select(
-        "p_partkey", "symbol", rd("spread_pct").alias("spread_pct"), flag(ok).alias("passes"))
+    return k.select("p_partkey", "symbol", rd("spread_pct").alias("spread_pct"), flag(ok).alias("passes"))
 
 
 @query(
@@ -511,8 +508,6 @@ def limit_zone_q(spark, sf):
     SELECT symbol, t, side, {sql_rd('level')} AS level, CAST(coalesce(len(list_filter(past, lambda x: abs(level - x) <= level * 0.0005)), 0) AS INT) AS touches FROM q""",
 )
 def pivots_eq_levels(spark, sf):
-    from tidemark.plans.structure import equal_levels
-
     df = equal_levels(data.walk_bars(spark, sf, "1h"), "1h")
     return df.select("symbol", t(), "side", rd("level").alias("level"), "touches")
 
@@ -545,8 +540,6 @@ CHOCH_SQL = f"""WITH {WALK_1H},{bos_sql('bars', 'x', 5, 1)},
     (nb AND bias <> 'BEARISH')::INT AS bos_bull, (ns AND bias <> 'BULLISH')::INT AS bos_bear FROM f""",
 )
 def choch(spark, sf):
-    from tidemark.plans.structure import internal_structure
-
     df = internal_structure(data.walk_bars(spark, sf, "1h"), "1h")
     return df.select("symbol", t(), "bias", *[flag(F.col(c)).alias(c) for c in ("choch_bull", "choch_bear", "bos_bull", "bos_bear")])
 
@@ -594,8 +587,6 @@ def asof_context(spark, sf):
       {sql_rd('CASE WHEN n >= 2 THEN (b - a) / a * 100 END', 4)} AS hour_pct FROM s""",
 )
 def oi_change(spark, sf):
-    from tidemark.operators.context import open_interest_changes
-
     ticks = data.raw_ticks(spark, sf).select(
         F.col("user_id").alias("symbol"), "ts", "id", F.when(F.col("price") > 2, F.col("price")).alias("oi")
     )

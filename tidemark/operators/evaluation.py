@@ -13,6 +13,7 @@ from tidemark.operators.blocks import running
 # Selection share, margins and decay settings.
 SELECT_FRACTION, MIN_SELECTED, EV_MARGIN, AUC_MARGIN, OVERFIT_GAP = 0.30, 5, 0.02, 0.01, 0.20
 LOG_EPS = 2.220446049250313e-16
+SCORE_BINS = 1_000_000  # chunks of the score axis; at most this many rows on the second level
 DECAY, DECAY_FLOOR, WEAK, KEEP_ABOVE, DECAY_RUNS = 0.85, 0.3, 0.01, 0.4, 10
 
 
@@ -25,7 +26,7 @@ def _by_score(pred: DataFrame, keys: list[str]) -> DataFrame:
     g = pred.groupBy(*keys, "p").agg(
         F.count(F.lit(1)).alias("m"), one(1).alias("pos"), one(0).alias("neg"), F.sum("r").alias("r")
     )
-    bins = {"_bin": F.floor(F.col("p") * 10_000)}
+    bins = {"_bin": F.floor(F.col("p") * SCORE_BINS)}
     up = running(g, keys, bins, ["p"], {"below": (F.col("m"), "sum"), "neg_below": (F.col("neg"), "sum")}, exclusive=True)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return up.withColumn("below", zero("below")).withColumn("neg_below", zero("neg_below"))
@@ -43,7 +44,7 @@ def top_fraction(pred: DataFrame, fraction: float = SELECT_FRACTION, least: int
     """Rows at or above the k-th highest score, ties included."""
     keyed = pred.withColumn("_k", F.lit(1))
     g = keyed.groupBy("_k", "p").agg(F.count(F.lit(1)).alias("m"))
-    up = running(g, ["_k"], {"_bin": F.floor(F.col("p") * 10_000)}, ["p"], {"below": (F.col("m"), "sum")}, exclusive=True)
+    up = running(g, ["_k"], {"_bin": F.floor(F.col("p") * SCORE_BINS)}, ["p"], {"below": (F.col("m"), "sum")}, exclusive=True)
     up = up.withColumn("below", F.coalesce(F.col("below"), F.lit(0)).cast("long"))
     cut = _with_cut(up, ["_k"], fraction, least).where("picked").select("p")
     return pred.join(cut, "p", "left_semi")

@@ -13,12 +13,16 @@ DAY_MS = 86_400_000
 
 
 def with_index(rows: DataFrame, order=("entry_ms", "id")) -> DataFrame:
-    """``idx``: chronological 0-based place, numbered by day and then within it.
+    """``idx``: chronological 0-based place.
 
-    Rows without a time go by the second order column alone and come first.
+    A chunk is one minute. Rows without a time go by the second order column, come
+    first, and are cut by that column's value.
     """
-    # Splitting a day by the tie column keeps one busy day from being one chunk.
-    chunk = {"_day": F.coalesce(F.floor(F.col(order[0]) / DAY_MS), F.lit(-1).cast("long")), "_ms": F.coalesce(F.floor(F.col(order[0]) / 60_000), F.lit(-1).cast("long"))}
+    at, tie = F.col(order[0]), F.col(order[1])
+    chunk = {
+        "_day": F.coalesce(F.floor(at / DAY_MS), F.lit(-1).cast("long")),
+        "_part": F.coalesce(F.floor(at / 60_000), F.floor(tie / 65_536)),
+    }
     return with_seq(rows, [], list(order), chunk, name="idx")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.catalog import data
 from tidemark.catalog.base import flag, query, rd, t
 from tidemark.catalog.market import PATTERNS, hourly_features
 from tidemark.catalog.sqltext import rd as sql_rd

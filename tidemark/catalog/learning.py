@@ -13,7 +13,6 @@ from tidemark.catalog.sqltext import bos_sql
 from tidemark.catalog.sqltext import rd as sql_rd
 from tidemark.operators import evaluation as ev
 from tidemark.operators import splits as sp
-from tidemark.operators.bars import to_bars
 from tidemark.operators.context import open_interest_changes
 from tidemark.plans import corpus as cp
 from tidemark.plans import training as tr
@@ -65,7 +64,7 @@ FRAME_SQL = f"""{CONTEXT_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY t, sy
     CASE WHEN n < 5 THEN 0.0::DOUBLE ELSE sum(pnl) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END AS cum,
     n - row_number() OVER (PARTITION BY won ORDER BY n) AS island FROM o WINDOW w AS (ORDER BY n)),
   g AS (SELECT *, row_number() OVER (PARTITION BY won, island ORDER BY n) * CASE WHEN won THEN 1 ELSE -1 END AS run FROM h),
-  z AS (SELECT *, CASE WHEN n < 5 THEN 0 ELSE lag(run) OVER (ORDER BY n) END AS streak, abs(entry - sl) AS risk, abs(tp - entry) AS reward, hour(to_timestamp(t)) AS hr, isodow(to_timestamp(t)) - 1 AS dow FROM g),
+  z AS (SELECT *, CASE WHEN n < 5 THEN 0 ELSE lag(run) OVER (ORDER BY n) END AS streak, abs(entry - sl) AS risk, abs(tp - entry) AS reward, (t // 3600) % 24 AS hr, (t // 86400 + 3) % 7 AS dow FROM g),
   m AS (SELECT z.*, p.volume_spike AS vs, p.displacement AS dp, p.body AS bd, p.volume AS vol, p.volume_ma AS vma, p.atr_percentile AS ap, p.market_regime AS mr,
       (CASE WHEN z.side > 0 THEN p.now_bull OR p.recent_bull ELSE p.now_bear OR p.recent_bear END)::INT AS sw, (CASE WHEN z.side > 0 THEN p.bull_fvg ELSE p.bear_fvg END)::INT AS fv,
       (CASE WHEN z.side > 0 THEN p.bull_crt ELSE p.bear_crt END)::INT AS cr FROM z JOIN pat p ON p.symbol = z.symbol AND p.seq = z.seq)"""

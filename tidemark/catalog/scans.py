@@ -2,21 +2,53 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog import data
 from tidemark.catalog.base import flag, query, rd, t
 from tidemark.catalog.learning import METRICS_SQL, predictions
-from tidemark.catalog.ledger import LEDGER_SQL, ledger
+from tidemark.catalog.ledger import CLOSED_SQL, LEDGER_SQL, ledger
 from tidemark.catalog.sqltext import rd as sql_rd
 from tidemark.functions import symbols as sym
 from tidemark.operators import context as cx
+from tidemark.operators.asof import asof_join
+from tidemark.operators.bars import bar_scan
 from tidemark.operators import evaluation as ev
 from tidemark.operators import ledger as led
+from tidemark.session import stage, staging_root
 from tidemark.sources import store
 from tidemark.streaming.bars import fresh_context
 
 
+@query(
+    "bars_scan",
+    """SELECT event_type AS symbol, CAST(floor(epoch(ts) / 900) AS BIGINT) * 900 AS t, min_by(value, event_id) AS close FROM events GROUP BY 1, 2""",
+)
+def bars_scan(spark, sf):
+    """Pages that overlap: several rows per bar, numbered by arrival."""
+    ms = (F.floor(F.unix_seconds("ts") / 900) * 900_000).alias("ms")
+    pages = data.raw_ticks(spark, sf).select("symbol", F.lit("15m").alias("tf"), ms, F.col("price").alias("close"), "id")
+    return bar_scan(pages, arrival="id").select("symbol", t(), "close")
+
+
+@query(
+    "form_as_of",
+    f"""WITH {CLOSED_SQL}, f AS (SELECT symbol, ts, seq, CASE WHEN count(*) OVER w >= 3 THEN avg(won::INT::DOUBLE) OVER w ELSE 0.5::DOUBLE END AS rate FROM cl
+        WINDOW w AS (PARTITION BY symbol ORDER BY seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+      u AS (SELECT symbol, ts, max_by(rate, seq) AS rate FROM f GROUP BY 1, 2)
+    SELECT o.seq, {sql_rd('coalesce(u.rate, 0.5::DOUBLE)')} AS win_rate FROM (SELECT * FROM led WHERE status = 'OPEN') o ASOF LEFT JOIN u ON u.symbol = o.symbol AND o.ts >= u.ts""",
+)
+def form_as_of(spark, sf):
+    """Symbol form known when an order is placed."""
+    rows = ledger(spark, sf)
+    series = stage(led.form_as_of(rows.where(led.is_closed())), "form")
+    asked = rows.where(led.is_active()).select("seq", "symbol", "ts")
+    out = asof_join(asked, {"form": series}, ["symbol"], tie="n", bucket_micros=90 * 86_400_000_000)
+    return out.select("seq", rd(F.coalesce("form.symbol_win_rate", F.lit(0.5))).alias("win_rate"))
+
+
 @query(
     "funding_scan",
     """SELECT event_type AS symbol, epoch_us(ts) AS us, value AS rate FROM events
@@ -81,9 +113,6 @@ def ticker_snapshot(spark, sf):
 )
 def ledger_documents(spark, sf):
     """The ledger written as JSON documents and read back with its typed core."""
-    from tidemark.session import staging_root
-    import uuid
-
     path = f"{staging_root(spark)}/documents-{uuid.uuid4().hex}"
     rows = ledger(spark, sf).select("seq", "symbol", "direction", "status", "entry", "qty", "pnl", "market_regime")
     store.write_ledger(store.to_documents(rows), path)
@@ -128,8 +157,6 @@ def context_freshness(spark, sf):
     SELECT a.model, {sql_rd('a.auc - b.auc')} AS gap, CASE WHEN a.auc - b.auc > 0.2 THEN 1 ELSE 0 END AS overfit FROM a JOIN a b ON b.model = 3 - a.model""",
 )
 def overfit_gap(spark, sf):
-    from tidemark.session import stage
-
     m = stage(ev.evaluate(predictions(spark, sf), ["model"]), "metrics")
     out = ev.overfit(m, m.withColumn("model", 3 - F.col("model")), ["model"])
     return out.select("model", rd("gap").alias("gap"), flag(F.col("overfit")).alias("overfit"))

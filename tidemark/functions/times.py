@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,5 +107,3 @@ def exit_millis(exit_ms: Column, entry_ms: Column, bars_held: Column, minutes: i
 def minutes_between(start: Column, end: Column) -> Column:
     return (micros(end) - micros(start)) / F.lit(60_000_000.0)
 
-
-EPOCH = dt.datetime(1970, 1, 1)

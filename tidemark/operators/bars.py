@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import bucket_micros, micros, tf_minutes
@@ -82,6 +82,12 @@ def merge_pages(pages: DataFrame, keys: Sequence[str], *, arrival: str, keep: st
     )
 
 
+def bar_scan(pages: DataFrame, *, arrival: str, ms: str = "ms", keys: Sequence[str] = ("symbol", "tf")) -> DataFrame:
+    """Fetched pages to bars: UTC times, one row per bar, the first arrival kept."""
+    timed = pages.withColumn("ts", F.timestamp_millis(ms)).drop(ms)
+    return merge_pages(timed, [*keys, "ts"], arrival=arrival, keep="first")
+
+
 def numbered(bars: DataFrame, tf: str, keys: Sequence[str] = ("symbol",), **extra) -> DataFrame:
     """``seq`` per series. A chunk is a fixed span of time, so it holds at most
     ``BARS_PER_CHUNK`` bars however long the series is."""
@@ -93,7 +99,3 @@ def numbered(bars: DataFrame, tf: str, keys: Sequence[str] = ("symbol",), **extr
 def rising(flag: Column, window) -> Column:
     """True on the first row of a run of true rows."""
     return flag & ~F.coalesce(F.lag(flag).over(window), F.lit(False))
-
-
-def ordered(keys: Sequence[str]):
-    return Window.partitionBy(*keys).orderBy("seq")

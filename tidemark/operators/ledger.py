@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.economics import approx_pnl, outcome, tidy
-from tidemark.functions.symbols import base_asset, exchange_symbol, is_major
+from tidemark.functions.symbols import exchange_symbol, is_major
 from tidemark.functions.times import micros, session_of
 from tidemark.operators.blocks import block_window, halo_blocks, own_rows, running, with_seq
 from tidemark.params import Portfolio
@@ -96,7 +96,10 @@ def with_symbol_form(closed: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 def form_as_of(closed: DataFrame, seq: str = "seq") -> DataFrame:
-    """Per symbol and closed trade: the win rate including that trade, for as-of use."""
+    """Per symbol and closed trade: the win rate including that trade, for as-of use.
+
+    ``n`` orders trades that closed at the same time.
+    """
     rows = halo_blocks(ledger_rank(closed, seq, ["symbol"]), ["symbol"], block=4096, halo=32, seq="n")
     frame = block_window(["symbol"], "n").rowsBetween(1 - FORM, 0)
     won = (F.col("status") == "WIN").cast("double")
@@ -277,7 +280,3 @@ def with_backfill(ledger: DataFrame, simulated: DataFrame, *, replace: bool = Fa
     return simulated.withColumn("place", F.lit(0)).unionByName(
         real.withColumn("place", F.lit(1)), allowMissingColumns=True
     )
-
-
-def base_symbols(df: DataFrame) -> DataFrame:
-    return df.withColumn("base", base_asset(F.col("symbol")))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.economics import label_r, realized_r, tidy
 from tidemark.functions.features import MODEL_FEATURES, with_features
-from tidemark.functions.times import exit_millis, micros
+from tidemark.functions.times import exit_millis
 from tidemark.operators.blocks import with_seq
 from tidemark.operators.evaluation import decay, evaluate, promotion
 from tidemark.operators.ledger import is_closed, last_rows, with_context
@@ -261,7 +261,3 @@ def retrain(ledger: DataFrame, tf_minutes: int, champion: Voter | None = None, p
 
 def diagnostics_due(closed: DataFrame, last_count: int, every: int = DIAGNOSE_EVERY) -> bool:
     return closed.count() - last_count >= every
-
-
-def entry_micros(ts: str = "entry_time"):
-    return micros(F.col(ts))

@@ -14,6 +14,20 @@ BAR_COLUMNS = ["open", "high", "low", "close", "volume"]
 BARS_PER_CHUNK = 4096
 
 
+def tick_order(ticks: DataFrame, ts: str, tie: Sequence[str]) -> Column:
+    """Orders ticks by time, then by the tie columns.
+
+    With one integral tie column the order is a single number (time in steps wider
+    than the tie's range), so open and close keep a hash aggregate; a struct would
+    make Spark sort all ticks first.
+    """
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    if len(tie) == 1 and dict(ticks.dtypes)[tie[0]] in whole:
+        steps = "cast(20000000000000000000 AS DECIMAL(20, 0))"
+        return F.expr(f"cast(unix_micros({ts}) AS DECIMAL(18, 0)) * {steps} + cast({tie[0]} AS DECIMAL(19, 0))")
+    return F.struct(F.col(ts), *[F.col(c) for c in tie])
+
+
 def to_bars(
     ticks: DataFrame, tf: str, *, key: str = "symbol", ts: str = "ts", price: str = "price",
     qty: Column | None = None, tie: Sequence[str] = ("id",),
@@ -23,7 +37,7 @@ def to_bars(
     ``tie`` columns order ticks that share a timestamp. Empty buckets give no bar.
     """
     minutes = tf_minutes(tf)
-    at = F.struct(F.col(ts), *[F.col(c) for c in tie])
+    at = tick_order(ticks, ts, tie)
     return (
         ticks.withColumn("_b", bucket_micros(F.col(ts), minutes))
         .groupBy(F.col(key).alias("symbol"), "_b")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import tf_minutes
+from tidemark.operators.bars import tick_order
 from tidemark.session import staging_root
 
 
@@ -18,7 +19,7 @@ def stream_bars(ticks: DataFrame, tf: str, delay: str, *, tie: str = "id") -> Da
     Needs symbol, ts (TIMESTAMP), price and ``tie``. Ticks later than ``delay``
     behind the newest one are dropped by the watermark.
     """
-    at = F.struct("ts", tie)
+    at = tick_order(ticks, "ts", [tie])
     return (
         ticks.withWatermark("ts", delay)
         .groupBy("symbol", F.window("ts", f"{tf_minutes(tf)} minutes").alias("w"))

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -57,6 +58,36 @@ def test_smoothing_across_blocks_matches_the_recurrence(spark):
         assert np.abs(pdf[n] - pdf.x.ewm(alpha=a, adjust=False).mean()).max() < 1e-11
 
 
+def test_means_of_any_span_equal_the_recurrence(spark):
+    df = frame(spark, 20_000, 4).where("k = 'a'").withColumn("x", F.abs("x") + 1)
+    df = with_seq(df, ["k"], ["i"], {"_c": F.expr("i div 512")})
+    spans = {f"e{s}": s for s in (2, 9, 20, 50, 200, 500)}
+    for block in (None, 900):
+        pdf = ind.with_emas(df, ["k"], spans, "x", block=block).orderBy("seq").toPandas()
+        for n, s in spans.items():
+            assert np.abs(pdf[n] - pdf.x.ewm(span=s, adjust=False).mean()).max() < 1e-9
+
+
+def test_requests_wider_than_a_block_are_refused(spark):
+    w = block_window(["k"])
+    for wide in (lambda: ind.ema(w, 10), lambda: ind.ema(w, 200), lambda: ind.vwap(w, 2000)):
+        with pytest.raises(ValueError):
+            wide()
+
+
+def test_lead_in_longer_than_a_block(spark):
+    df = with_seq(frame(spark, 900, 6), ["k"], ["i"], {"_c": F.expr("i div 64")})
+    got = own_rows(halo_blocks(df, ["k"], block=40, halo=130).select("*", F.lag("x", 125).over(block_window(["k"])).alias("g")))
+    both = got.select("*", F.lag("x", 125).over(Window.partitionBy("k").orderBy("i")).alias("wg"))
+    assert both.count() == df.count() and both.where("not (g <=> wg)").count() == 0
+
+
+def test_swing_look_back_is_followed(spark):
+    rows = walk(300, 7)
+    few, many = (entry_features(bar_frame(spark, rows), "5m", swing_rows=n).where("seq > 60").agg(F.sum("stop_low")).first()[0] for n in (5, 40))
+    assert many < few
+
+
 def test_true_range_and_atr_first_rows(spark):
     df = halo_blocks(numbered(bar_frame(spark, walk(40, 2)), "5m"), ["symbol"])
     w = block_window(["symbol"])

@@ -212,8 +212,8 @@ def news_window(spark, sf):
 # ---------------------------------------------------------------- indicators on daily bars
 
 
-def daily_blocks(spark, sf) -> DataFrame:
-    return halo_blocks(numbered(data.daily_bars(spark, sf), "1d"), KEYS)
+def daily_blocks(spark, sf, **size) -> DataFrame:
+    return halo_blocks(numbered(data.daily_bars(spark, sf), "1d"), KEYS, **size)
 
 
 def daily_features(spark, sf, **kw) -> DataFrame:
@@ -263,6 +263,40 @@ def ewm_atr(spark, sf):
     return own_rows(df).select("symbol", t(), rd("atr", 4).alias("atr"))
 
 
+@query("ewm_atr_blocks", f"{DAILY_IND} SELECT symbol, t, {sql_rd('atr', 4)} AS atr FROM ind_a")
+def ewm_atr_blocks(spark, sf):
+    """The same over blocks far shorter than a series."""
+    size = {"block": 300, "halo": 512}
+    df = daily_blocks(spark, sf, **size).select("*", ind.true_range(block_window(KEYS)).alias("tr"))
+    df = df.select("*", ind.wilder_atr(block_window(KEYS), halo=size["halo"], rows=sum(size.values())).alias("atr"))
+    return own_rows(df).select("symbol", t(), rd("atr", 4).alias("atr"))
+
+
+EMA_SPANS = (2, 9, 200, 500)
+
+
+@query(
+    "ema_spans",
+    f"WITH RECURSIVE {DAILY}, e AS (SELECT symbol, t, seq, close, {', '.join(f'close AS e{s}' for s in EMA_SPANS)} FROM bars WHERE seq = 0 UNION ALL "
+    f"SELECT b.symbol, b.t, b.seq, b.close, {', '.join(f'e.e{s} * (1 - 2.0::DOUBLE / {s + 1}) + b.close * (2.0::DOUBLE / {s + 1})' for s in EMA_SPANS)} FROM e JOIN bars b ON b.symbol = e.symbol AND b.seq = e.seq + 1) "
+    f"SELECT symbol, t, {', '.join(f'{sql_rd(f"e{s}", 4)} AS ema{s}' for s in EMA_SPANS)} FROM e",
+)
+def ema_spans(spark, sf):
+    """Spans below and above those of the signal engine, over blocks of some hundred rows."""
+    df = ind.with_emas(numbered(data.daily_bars(spark, sf), "1d"), KEYS, {f"ema{s}": s for s in EMA_SPANS}, block=700)
+    return df.select("symbol", t(), *[rd(f"ema{s}", 4).alias(f"ema{s}") for s in EMA_SPANS])
+
+
+@query(
+    "vwap_wide",
+    f"""WITH {DAILY} SELECT symbol, t, {sql_rd("sum((high + low + close) / 3 * volume) OVER w / nullif(sum(volume) OVER w, 0)", 4)} AS vwap
+    FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY seq ROWS BETWEEN 1999 PRECEDING AND CURRENT ROW)""",
+)
+def vwap_wide(spark, sf):
+    df = daily_blocks(spark, sf, block=400, halo=2000).select("*", ind.vwap(block_window(KEYS), 2000, halo=2000).alias("vwap"))
+    return own_rows(df).select("symbol", t(), rd("vwap", 4).alias("vwap"))
+
+
 @query(
     "range_sma",
     f"""WITH {DAILY} SELECT symbol, t, CASE WHEN seq >= 13 THEN {sql_rd("avg(high - low) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)", 4)} END AS atr FROM bars""",
@@ -383,8 +417,17 @@ CRT_5M = f"WITH RECURSIVE {data.WALK_SQL},{data.bars_sql('bars', 300)},{indicato
 
 @query("crt", f"{CRT_5M} SELECT symbol, t, bull_crt::INT AS bull, bear_crt::INT AS bear, {sql_rd('prev_low')} AS prev_low, {sql_rd('prev_high')} AS prev_high FROM pat")
 def crt(spark, sf):
+    return hour_sweeps(spark, sf, 4096)
+
+
+@query("crt_blocks", f"{CRT_5M} SELECT symbol, t, bull_crt::INT AS bull, bear_crt::INT AS bear, {sql_rd('prev_low')} AS prev_low, {sql_rd('prev_high')} AS prev_high FROM pat")
+def crt_blocks(spark, sf):
+    return hour_sweeps(spark, sf, 50)
+
+
+def hour_sweeps(spark, sf, block: int) -> DataFrame:
     w = block_window(KEYS)
-    df = halo_blocks(numbered(data.walk_bars(spark, sf, "5m"), "5m"), KEYS, block=4096, halo=64)
+    df = halo_blocks(numbered(data.walk_bars(spark, sf, "5m"), "5m"), KEYS, block=block, halo=pat.hour_rows("5m"))
     df = pat.with_hour_range(df, w, KEYS)
     up, down = pat.candle_range()
     return own_rows(df).select(

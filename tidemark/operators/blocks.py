@@ -7,12 +7,14 @@ Here every ordered operator runs on bounded pieces of a series instead:
   (one small row per chunk) and numbering inside each chunk;
 * ``halo_blocks`` cuts the numbered series into blocks and repeats the last
   ``halo`` rows of a block in front of the next one, so a window that looks
-  back at most ``halo`` rows is exact inside its own block;
+  look back at most ``halo`` rows is exact inside its own block, and the caller
+  derives ``halo`` from what its windows look back;
 * ``running`` carries sums, extremes or last values over chunks the same way.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 
 BLOCK = 5120
 HALO = 1024
+#: Powers up to e^POWER are summed in one running sum; a double ends at e^709.
+POWER = 620.0
 
 _INSIDE = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -118,17 +122,14 @@ def with_seq(
 def halo_blocks(
     df: DataFrame, keys: Sequence[str], *, block: int = BLOCK, halo: int = HALO, seq: str = "seq"
 ) -> DataFrame:
-    """Give each row its block, and repeat a block's tail as the next one's lead-in.
+    """Give each row its block, and repeat it in the lead-in of every later block within ``halo`` rows.
 
     Adds ``_blk`` (window partition), ``_pos`` (place inside the padded block)
     and ``_own`` (false on lead-in rows, which callers drop after the windows).
     """
-    if halo > block:
-        raise ValueError("halo must not exceed the block length")
-    home = F.expr(f"{seq} div {block}")
-    tail = (F.col(seq) % block) >= block - halo
+    blocks = F.sequence(F.expr(f"{seq} div {block}"), F.expr(f"({seq} + {halo}) div {block}"))
     return (
-        df.withColumn("_blk", F.explode(F.when(tail, F.array(home, home + 1)).otherwise(F.array(home))))
+        df.withColumn("_blk", F.explode(blocks))
         .withColumn("_pos", (F.col(seq) - F.col("_blk") * block + halo).cast("int"))
         .withColumn("_own", F.col("_pos") >= halo)
     )
@@ -142,17 +143,56 @@ def own_rows(df: DataFrame) -> DataFrame:
     return df.where("_own").drop("_own", "_blk", "_pos")
 
 
-def smoothed(x: Column, alpha: float, window, *, halo: int = HALO, seq: str = "seq") -> Column:
+def decay_rows(alpha: float) -> int:
+    """Rows after which a weight of (1-alpha)^n is lost in a double."""
+    return 1 if alpha >= 1 else math.ceil(53 * math.log(2) / -math.log1p(-alpha)) + 1
+
+
+def _fed(x: Column, alpha: float, seq: str) -> Column:
+    leads = F.col(seq) == F.greatest(F.col(seq) - F.col("_pos"), F.lit(0).cast("long"))
+    return F.when(leads, x).otherwise(x * alpha)
+
+
+def smoothed(x: Column, alpha: float, window, *, halo: int = HALO, rows: int = BLOCK + HALO, seq: str = "seq") -> Column:
     """Exponential smoothing y = (1-alpha)*y' + alpha*x, seeded with the first x.
 
-    Written as one running sum of x weighted by growing powers. A weight shrinks
-    by (1-alpha) per row, so the lead-in of a block carries everything a double
-    can hold: for spans up to 50 rows, (49/51)^1024 is below 2e-18.
+    Written as one running sum of x weighted by growing powers. It is exact while
+    the lead-in of ``halo`` rows carries all that a double can hold and the powers
+    over the ``rows`` of a padded block stay within one; other factors are refused
+    here and served by ``with_smoothed``.
     """
     keep = 1.0 - alpha
-    leads = F.col(seq) == F.greatest(F.col(seq) - F.col("_pos"), F.lit(0).cast("long"))
-    fed = F.when(leads, x).otherwise(x * alpha)
-    grown = F.sum(fed * F.pow(F.lit(keep), -F.col("_pos"))).over(
+    if decay_rows(alpha) > halo or rows * -math.log(keep or 1e-300) > POWER:
+        raise ValueError(f"smoothing with alpha {alpha:g} does not fit blocks of {rows} rows with {halo} lead-in rows: use with_smoothed")
+    grown = F.sum(_fed(x, alpha, seq) * F.pow(F.lit(keep), -F.col("_pos"))).over(
         window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return grown * F.pow(F.lit(keep), F.col("_pos"))
+
+
+def with_smoothed(
+    df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[Column, float]], *, block: int | None = None, seq: str = "seq"
+) -> DataFrame:
+    """Exponential smoothing of numbered rows with any factors, one column per name.
+
+    The lead-in follows from the slowest factor. Inside a block the running sums
+    restart before their powers leave a double, and the last value before a restart
+    decays into the rows after it, so fast factors are exact as well.
+    """
+    halo = max(decay_rows(alpha) for _, alpha in specs.values())
+    df = halo_blocks(df, keys, block=block or max(BLOCK, 2 * halo), halo=halo, seq=seq)
+    earlier = block_window(keys, seq).rowsBetween(Window.unboundedPreceding, -1)
+    for name, (x, alpha) in specs.items():
+        if alpha >= 1:
+            df = df.withColumn(name, x)
+            continue
+        keep = 1.0 - alpha
+        piece = max(1, int(POWER / -math.log(keep)))
+        df = df.withColumn("_piece", F.expr(f"_pos div {piece}")).withColumn("_at", F.col("_pos") % piece)
+        inside = Window.partitionBy(*keys, "_blk", "_piece").orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        own = F.sum(_fed(x, alpha, seq) * F.pow(F.lit(keep), -F.col("_at"))).over(inside) * F.pow(F.lit(keep), F.col("_at"))
+        df = df.withColumn("_own_part", own)
+        ends = F.when(F.col("_at") == piece - 1, F.col("_own_part"))
+        carried = F.coalesce(_last(ends).over(earlier), F.lit(0.0)) * F.pow(F.lit(keep), F.col("_at") + 1)
+        df = df.withColumn(name, F.col("_own_part") + carried).drop("_piece", "_at", "_own_part")
+    return own_rows(df)

@@ -51,7 +51,7 @@ def open_interest_changes(points: DataFrame, col: str, order=("ts",), rows: int
     """Change from the previous point and over the last ``rows`` points."""
     w = block_window(["symbol"])
     chunk = {"_chunk": F.floor(micros(F.col("ts")) / span)}
-    df = halo_blocks(with_seq(points, ["symbol"], list(order), chunk), ["symbol"], block=4096, halo=64)
+    df = halo_blocks(with_seq(points, ["symbol"], list(order), chunk), ["symbol"], block=4096, halo=max(64, rows))
     df = df.select("*", ind.pct_change(w, col).alias("step_pct"), ind.pct_change_rows(w, col, rows).alias("hour_pct"))
     return own_rows(df)
 

@@ -7,10 +7,12 @@ and one sort serve every feature.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.blocks import smoothed
+from tidemark.operators.blocks import BLOCK, HALO, smoothed, with_smoothed
 
 # Periods and multipliers of the feature definitions.
 ATR_PERIOD = 14
@@ -31,8 +33,8 @@ def true_range(w) -> Column:
     )
 
 
-def wilder_atr(w, tr: str = "tr") -> Column:
-    value = smoothed(F.col(tr), 1.0 / ATR_PERIOD, w)
+def wilder_atr(w, tr: str = "tr", *, halo: int = HALO, rows: int = BLOCK + HALO) -> Column:
+    value = smoothed(F.col(tr), 1.0 / ATR_PERIOD, w, halo=halo, rows=rows)
     return F.when(F.col("seq") >= ATR_PERIOD - 1, value)
 
 
@@ -42,8 +44,14 @@ def range_sma(w) -> Column:
     return F.when(F.col("seq") >= ATR_PERIOD - 1, F.avg(F.col("high") - F.col("low")).over(frame))
 
 
-def ema(w, span: int, col: str = "close") -> Column:
-    return smoothed(F.col(col), 2.0 / (span + 1), w)
+def ema(w, span: int, col: str = "close", *, halo: int = HALO, rows: int = BLOCK + HALO) -> Column:
+    """Over padded blocks; spans that do not fit them are refused, see ``with_emas``."""
+    return smoothed(F.col(col), 2.0 / (span + 1), w, halo=halo, rows=rows)
+
+
+def with_emas(df: DataFrame, keys: Sequence[str], spans: dict[str, int], col: str = "close", *, block: int | None = None) -> DataFrame:
+    """Exponential means of any spans over numbered bars, one column per name."""
+    return with_smoothed(df, keys, {n: (F.col(col), 2.0 / (s + 1)) for n, s in spans.items()}, block=block)
 
 
 def volume_mean(w) -> Column:
@@ -65,8 +73,13 @@ def trailing_sum(value: Column, w, rows: int) -> Column:
     return total - F.coalesce(left_out, F.lit(0.0))
 
 
-def vwap(w, rows: int) -> Column:
-    """Volume-weighted typical price of the last ``rows`` bars, null without volume."""
+def vwap(w, rows: int, *, halo: int = HALO) -> Column:
+    """Volume-weighted typical price of the last ``rows`` bars, null without volume.
+
+    ``halo`` says how far the window's blocks reach back; a wider request is refused.
+    """
+    if rows > halo:
+        raise ValueError(f"a mean of {rows} rows needs blocks with as many lead-in rows, these have {halo}")
     traded = trailing_sum(F.col("volume"), w, rows)
     return trailing_sum(typical_value(), w, rows) / F.nullif(traded, F.lit(0.0))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.times import tf_minutes
+
 # Look-backs, tolerances and tick rules of the pattern definitions.
 BOS_LOOKBACK, BOS_CONFIRM = 10, 2
 SWEEP_ROWS, SWEEP_SLACK = 9, 0.0002
@@ -122,11 +124,16 @@ def order_block(w, mark: str) -> Column:
     return F.when(F.col("seq") >= OB_LOOKBACK + 2, seen)
 
 
+def hour_rows(tf: str) -> int:
+    """Bars of two hours, which the hour ranges look back at most while the hour before has bars."""
+    return 2 * max(1, -(-60 // tf_minutes(tf))) + 1
+
+
 def with_hour_range(df, w, keys):
     """Hour-to-date range and the range of the previous hour that has bars.
 
     The previous hour is read from the row before the hour's first bar, so no
-    join is needed; the block lead-in must span two hours of bars.
+    join is needed; the block lead-in must span ``hour_rows`` bars.
     """
     from pyspark.sql import Window
 

@@ -19,7 +19,7 @@ def trend_series(bars: DataFrame, tf: str, symbol: str) -> DataFrame:
     """Structure trend of one reference symbol as a series without a key."""
     w = block_window(["symbol"])
     one = bars.where(F.col("symbol") == symbol)
-    df = halo_blocks(numbered(one, tf), ["symbol"], block=4096, halo=64).select("*", pat.structure_trend(w).alias("value"))
+    df = halo_blocks(numbered(one, tf), ["symbol"], block=4096, halo=pat.BOS_LOOKBACK + pat.BOS_CONFIRM + 2).select("*", pat.structure_trend(w).alias("value"))
     return own_rows(df).select("ts", F.col("value").cast("double").alias("value"))
 
 

@@ -16,7 +16,7 @@ from tidemark.operators import indicators as ind
 from tidemark.operators import patterns as pat
 from tidemark.operators.asof import asof_join
 from tidemark.operators.bars import numbered
-from tidemark.operators.blocks import block_window, halo_blocks, own_rows
+from tidemark.operators.blocks import BLOCK, HALO, block_window, halo_blocks, own_rows
 from tidemark.operators.geometry import limit_zone, structure_stop_wide, target, zone_stop
 from tidemark.params import Gates, Geometry
 from tidemark.session import stage
@@ -30,24 +30,31 @@ BONUS = {"sweep_fvg": 5, "volume_displacement": 5, "crt_sweep": 4, "zone": 3}
 TIER_SCORES = (70, 45)
 TIER_ATR = (1.30, 0.70)
 CONTEXT_MIN_SCORE = 30
+CONTEXT_COLUMNS = ("funding_rate", "oi_change_pct", "btc_trend", "spread_pct", "fng")
 
 
-def bar_features(bars: DataFrame, tf: str, *, ai: bool = False, vwap_rows: int = VWAP_ROWS) -> DataFrame:
+def feature_blocks(look_back: int, block: int | None = None) -> dict[str, int]:
+    """Block and lead-in for windows of ``look_back`` rows next to the fixed indicators; wide look-backs get shorter blocks."""
+    halo = max(HALO, look_back)
+    return {"block": block or max(HALO, BLOCK + HALO - halo), "halo": halo}
+
+
+def bar_features(bars: DataFrame, tf: str, *, ai: bool = False, vwap_rows: int = VWAP_ROWS, block: int | None = None) -> DataFrame:
     """Indicator columns for every bar, exact from the first bar of a series."""
-    df = halo_blocks(numbered(bars, tf), KEYS)
-    return own_rows(_indicators(df, ai, vwap_rows))
+    size = feature_blocks(vwap_rows, block)
+    return own_rows(_indicators(halo_blocks(numbered(bars, tf), KEYS, **size), ai, vwap_rows, size))
 
 
-def _indicators(df: DataFrame, ai: bool, vwap_rows: int) -> DataFrame:
-    w = block_window(KEYS)
+def _indicators(df: DataFrame, ai: bool, vwap_rows: int, size: dict[str, int]) -> DataFrame:
+    w, fit = block_window(KEYS), {"halo": size["halo"], "rows": size["block"] + size["halo"]}
     df = df.select("*", ind.true_range(w).alias("tr"))
     df = df.select(
         "*",
-        ind.wilder_atr(w).alias("atr"),
+        ind.wilder_atr(w, **fit).alias("atr"),
         ind.volume_mean(w).alias("volume_ma"),
-        ind.ema(w, ind.EMA_FAST).alias("ema20"),
-        ind.ema(w, ind.EMA_SLOW).alias("ema50"),
-        ind.vwap(w, vwap_rows).alias("vwap"),
+        ind.ema(w, ind.EMA_FAST, **fit).alias("ema20"),
+        ind.ema(w, ind.EMA_SLOW, **fit).alias("ema50"),
+        ind.vwap(w, vwap_rows, halo=size["halo"]).alias("vwap"),
         ind.body().alias("body"),
     )
     df = df.select("*", ind.atr_mean(w).alias("atr_avg"))
@@ -60,13 +67,15 @@ def _indicators(df: DataFrame, ai: bool, vwap_rows: int) -> DataFrame:
     )
 
 
-def entry_features(bars: DataFrame, tf: str, *, ai: bool = False, vwap_rows: int = VWAP_ROWS) -> DataFrame:
+def entry_features(
+    bars: DataFrame, tf: str, *, ai: bool = False, vwap_rows: int = VWAP_ROWS, swing_rows: int = pat.SWING_ROWS, block: int | None = None
+) -> DataFrame:
     """Indicators and patterns of the entry timeframe, one pass over blocks."""
-    w = block_window(KEYS)
-    df = _indicators(halo_blocks(numbered(bars, tf), KEYS), ai, vwap_rows)
+    w, size = block_window(KEYS), feature_blocks(max(vwap_rows, swing_rows, pat.hour_rows(tf)), block)
+    df = _indicators(halo_blocks(numbered(bars, tf), KEYS, **size), ai, vwap_rows, size)
     df = pat.with_hour_range(df, w, KEYS)
     bull_mark, bear_mark = pat.sweep_marks(w)
-    lows, highs = pat.structure_swings(w)
+    lows, highs = pat.structure_swings(w, swing_rows)
     gap_up, gap_down = pat.fair_value_gap(w)
     df = df.select(
         "*",
@@ -97,12 +106,12 @@ def entry_features(bars: DataFrame, tf: str, *, ai: bool = False, vwap_rows: int
     return own_rows(df).drop("_bull_mark", "_bear_mark", "_ob_long", "_ob_short")
 
 
-def bias_features(bars: DataFrame, tf: str) -> DataFrame:
+def bias_features(bars: DataFrame, tf: str, *, swing_rows: int = pat.SWING_ROWS) -> DataFrame:
     """Trend flags and stop swings of the bias timeframe."""
     w = block_window(KEYS)
-    df = halo_blocks(numbered(bars, tf), KEYS, block=4096, halo=64)
+    df = halo_blocks(numbered(bars, tf), KEYS, block=4096, halo=max(64, swing_rows))
     up, down = pat.break_of_structure(w)
-    low, high = pat.structure_swings(w)
+    low, high = pat.structure_swings(w, swing_rows)
     df = df.select("*", up.alias("trend_bull"), down.alias("trend_bear"), low.alias("low20"), high.alias("high20"))
     return own_rows(df).select(
         "symbol", "ts", "trend_bull", "trend_bear", "low20", "high20", (F.col("seq") + 1).alias("rows")
@@ -321,9 +330,15 @@ def signals(
     ``enrich`` takes and returns the candidate rows; it is where context, ledger
     form and model scores are attached, after the cheap gates have run.
     """
-    bias = stage(bias_features(bias_bars, bias_tf), "bias")
+    bias = stage(bias_features(bias_bars, bias_tf, swing_rows=g.swing_lookback), "bias")
     seen = with_bias(entry_bars, bias, entry_tf, bias_tf, align)
-    found = candidates(entry_features(seen, entry_tf, ai=gates.ai), gates, g)
+    found = candidates(entry_features(seen, entry_tf, ai=gates.ai, swing_rows=g.swing_lookback), gates, g)
     if enrich is not None:
-        found = enrich(stage(found, "candidates"))
+        found = gated_context(enrich(stage(found, "candidates")))
     return finish(found, gates)
+
+
+def gated_context(rows: DataFrame) -> DataFrame:
+    """Market context is looked up only for rows with a score worth it; below, it is unknown."""
+    known = F.col("setup_score") >= CONTEXT_MIN_SCORE
+    return rows.withColumns({c: F.when(known, F.col(c)) for c in CONTEXT_COLUMNS if c in rows.columns})

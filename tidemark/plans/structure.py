@@ -13,7 +13,7 @@ from tidemark.session import stage
 KEYS = ["symbol"]
 
 
-def equal_levels(bars: DataFrame, tf: str) -> DataFrame:
+def equal_levels(bars: DataFrame, tf: str, *, block: int = 4096) -> DataFrame:
     """Confirmed pivots with the number of recent pivots at the same level.
 
     Pivots are numbered anew (they are far fewer than bars) and compared with the
@@ -21,7 +21,7 @@ def equal_levels(bars: DataFrame, tf: str) -> DataFrame:
     """
     w = block_window(KEYS)
     top, low = pat.pivot_marks(w)
-    df = halo_blocks(numbered(bars, tf), KEYS, block=4096, halo=64).select("*", top.alias("high_p"), low.alias("low_p"))
+    df = halo_blocks(numbered(bars, tf), KEYS, block=block, halo=2 * pat.PIVOT_BARS + 1).select("*", top.alias("high_p"), low.alias("low_p"))
     rows = own_rows(df).where("high_p is not null or low_p is not null")
     sides = F.explode(F.array(
         F.struct(F.lit("high").alias("side"), F.col("high_p").alias("level")),
@@ -32,7 +32,7 @@ def equal_levels(bars: DataFrame, tf: str) -> DataFrame:
     ).where("level is not null")
     pivots, keys = stage(pivots, "pivots"), [*KEYS, "side"]
     ranked = with_seq(pivots, keys, ["bar"], {"_chunk": F.expr(f"bar div {BLOCK}")})
-    wide = halo_blocks(ranked, keys, block=4096, halo=32)
+    wide = halo_blocks(ranked, keys, block=block, halo=pat.PIVOT_MEMORY)
     past = F.collect_list("level").over(block_window(keys).rowsBetween(1 - pat.PIVOT_MEMORY, -1))
     wide = wide.select("*", past.alias("_past"))
     return own_rows(wide).select(
@@ -44,7 +44,7 @@ def internal_structure(bars: DataFrame, tf: str) -> DataFrame:
     """New internal breaks, told apart by the bias the last break left behind."""
     w = block_window(KEYS)
     up, down = pat.break_of_structure(w, pat.INTERNAL_LOOKBACK, pat.INTERNAL_CONFIRM)
-    df = halo_blocks(numbered(bars, tf), KEYS, block=4096, halo=64).select("*", up.alias("_up"), down.alias("_down"))
+    df = halo_blocks(numbered(bars, tf), KEYS, block=4096, halo=pat.INTERNAL_LOOKBACK + pat.INTERNAL_CONFIRM + 2).select("*", up.alias("_up"), down.alias("_down"))
     df = df.select("*", rising(F.col("_up"), w).alias("new_bull"), rising(F.col("_down"), w).alias("new_bear"))
     rows = stage(own_rows(df), "breaks")
     mark = F.when(F.col("new_bear"), "BEARISH").when(F.col("new_bull"), "BULLISH")

@@ -139,6 +139,7 @@ def fit_trees(prints: DataFrame, *, radius: int, parts: int = PARTS, shard: int
 
 def _linked(rows: np.ndarray, prints: np.ndarray, parent: np.ndarray, among: np.ndarray, radius: int) -> None:
     """Join in ``parent`` each of ``rows`` with every one of ``among`` that is near enough."""
+    itself = int(len(rows) > 0 and np.isin(rows[0], among))  # the rows are all among them, or none is
 
     def roots(x: np.ndarray) -> np.ndarray:
         up = parent[x]
@@ -150,7 +151,7 @@ def _linked(rows: np.ndarray, prints: np.ndarray, parent: np.ndarray, among: np.
     for a in range(0, len(rows), step):
         part = rows[a : a + step]
         near = np.bitwise_count(prints[part, None] ^ prints[None, among]) <= radius
-        for k in np.flatnonzero(near.sum(axis=1) > 1):
+        for k in np.flatnonzero(near.sum(axis=1) > itself):
             tops = roots(np.append(among[near[k]], part[k]))
             parent[tops] = tops.min()
     parent[:] = roots(np.arange(len(parent)))

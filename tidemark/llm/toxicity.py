@@ -27,6 +27,8 @@ DISCOUNT = 0.75
 CLASS_ROWS = 20_000
 #: Letter runs of the model: counts are added up by hash, so a model of any corpus has at most so many entries.
 SLOTS = 1 << 21
+#: Bytes of text whose distinct words are spelled out at a time.
+SLICE = 3 << 20
 EDGES = ".,;:!?\"'()[]{}<>«»“”„’‘…-–—*#&%$|_~`^+=/\\@"
 _START, _END = "\x02", "\x03"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -37,7 +39,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _runs(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+def _runs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(letters, hashes by run length, length of the longest run, word) for all letters of all words.
 
     ``hashes[k][i]`` is of the k letters that end at i. A run does not cross the start of its word.
@@ -47,24 +49,28 @@ def _runs(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, n
     starts = letters == 2
     word = np.cumsum(starts) - 1
     place = np.arange(len(letters)) - np.flatnonzero(starts)[word] if len(letters) else np.zeros(0, np.int64)
-    hashes = [np.zeros(len(letters), np.uint64)]
+    return letters, _hashes(letters), np.minimum(ORDER, place + 1), word
+
+
+def _hashes(letters: np.ndarray) -> np.ndarray:
+    """Row k: hash of the k letters that end at each place."""
+    table = np.zeros((ORDER + 1, len(letters)), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(1, ORDER + 1):
-            before = np.zeros(len(letters), np.uint64)
-            before[k - 1 :] = letters[: len(letters) - k + 1]
-            hashes.append(_mixed(hashes[-1] * _MIX + before + np.uint64(1)))
-    return letters, hashes, np.minimum(ORDER, place + 1), word
+            table[k] = table[k - 1] * _MIX + np.uint64(1)
+            table[k, k - 1 :] += letters[: max(0, len(letters) - k + 1)]
+            table[k] = _mixed(table[k])
+    return table
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
 
 
-def _chain(hashes: list[np.ndarray], longest: np.ndarray, drop: int) -> tuple[np.ndarray, np.ndarray]:
+def _chain(table: np.ndarray, longest: np.ndarray, drop: int) -> tuple[np.ndarray, np.ndarray]:
     """(run, context) hashes at every letter after ``drop`` letters are taken off the front of the longest run."""
     size = np.maximum(1, longest - drop)
     at = np.arange(len(longest))
-    table = np.stack(hashes)
     previous = np.maximum(at - 1, 0)
     return table[size, at], np.where(size > 1, table[size - 1, previous], np.uint64(0))
 
@@ -115,13 +121,7 @@ def fit_models(runs: list[str], counts: np.ndarray, discount: float = DISCOUNT)
     sizes = np.fromiter(map(len, runs), np.int64, len(runs))
     letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     last = np.cumsum(sizes) - 1
-    hashes = [np.zeros(len(letters), np.uint64)]
-    with np.errstate(over="ignore"):
-        for k in range(1, ORDER + 1):
-            before = np.zeros(len(letters), np.uint64)
-            before[k - 1 :] = letters[: len(letters) - k + 1]
-            hashes.append(_mixed(hashes[-1] * _MIX + before + np.uint64(1)))
-    table = np.stack(hashes)
+    table = _hashes(letters)
 
     def level(drop: int) -> tuple[np.ndarray, np.ndarray]:
         size = np.maximum(1, sizes - drop)
@@ -254,7 +254,7 @@ def count_runs(docs: DataFrame, sample: DataFrame) -> DataFrame:
             return every, np.concatenate(runs)[first], np.stack([np.bincount(back, weights=table[:, k]) for k in range(len(KINDS))], axis=1).astype(np.int64)
 
         for batch in batches:
-            for a, b in text_slices(batch.column(0)):
+            for a, b in text_slices(batch.column(0), SLICE):
                 coded = ascii_words(plain_array(batch.column(0).slice(a, b - a)))
                 words = strings(coded.distinct)
                 own = pc.fill_null(batch.column(1).slice(a, b - a), len(KINDS) - 1).to_numpy(zero_copy_only=False)[coded.owner()]
@@ -264,7 +264,7 @@ def count_runs(docs: DataFrame, sample: DataFrame) -> DataFrame:
                 runs.append(found["run"])
                 counts.append(found["counts"])
                 held += len(found["key"])
-                if held > 4 * len(keys[0]) + 1_000_000:
+                if held > 2 * len(keys[0]) + 300_000:
                     one = merged()
                     keys, runs, counts, held = [one[0]], [one[1]], [one[2]], len(one[0])
         if keys:
@@ -298,7 +298,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, *, column: str = "toxic", class_r
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in text_slices(batch.column(2)):
+            for a, b in text_slices(batch.column(2), SLICE):
                 coded = ascii_words(plain_array(batch.column(2).slice(a, b - a)))
                 figures = document_figures(coded, shared.value.evidence(strings(coded.distinct)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *[pa.array(f) for f in figures.T]], names=["id", "label", *FIGURES])
@@ -325,7 +325,7 @@ def with_score(docs: DataFrame, model: ToxicityModel, *, name: str = "score", ke
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in text_slices(batch.column(at)):
+            for a, b in text_slices(batch.column(at), SLICE):
                 own = batch.slice(a, b - a)
                 score = shared.value.score(plain_array(own.column(at)))
                 if keep_below is not None:

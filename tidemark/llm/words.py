@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at a time; one longer text is handled alone and whole.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 #: Distinct pieces a worker remembers (twice this at most).
 CACHE_PIECES = 300_000
 

@@ -131,7 +131,7 @@ def test_chain_equals_the_loop(spark, reach, smallest):
                 want.add((key, int(p)))
                 nxt = f
     df = spark.createDataFrame(rows, "k string, pos bigint, free bigint")
-    got = {(r["k"], r["pos"]) for r in take_in_turn(df, ["k"], smallest_block=smallest).collect()}
+    got = {(r["k"], r["pos"]) for r in take_in_turn(df, ["k"], block=smallest).collect()}
     assert got == want
     assert df.where("pos < 0").transform(lambda d: take_in_turn(d, ["k"])).count() == 0
 
@@ -139,3 +139,23 @@ def test_chain_equals_the_loop(spark, reach, smallest):
 def test_longest_series(spark):
     assert longest_series(path_frame(spark, [1, 2], [0, 0])) == 2
     assert longest_series(path_frame(spark, [], []).where(F.lit(False))) == 0
+
+
+def test_a_chain_with_an_interval_over_many_blocks(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in ("a", "b", "c"):
+        pos = np.sort(rng.choice(6000, 900, replace=False))
+        length = rng.integers(1, 30, 900)
+        length[rng.choice(900, 12, replace=False)] = rng.integers(500, 3000, 12)  # up to 190 blocks of 16
+        rows += [(k, int(p), int(p + n)) for p, n in zip(pos, length)]
+    want = set()
+    for k in ("a", "b", "c"):
+        at = 0
+        for key, p, f in rows:
+            if key == k and p >= at:
+                want.add((k, p))
+                at = f
+    df = spark.createDataFrame(rows, "k string, pos bigint, free bigint")
+    for block in (16, 300, 10_000):
+        assert {(r["k"], r["pos"]) for r in take_in_turn(df, ["k"], block=block).collect()} == want

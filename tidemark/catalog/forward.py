@@ -110,10 +110,10 @@ def exit_sql(dist: str) -> str:
   FROM m LEFT JOIN x USING (symbol, seq, side)"""
 
 
-def exits(spark, sf, dist) -> DataFrame:
+def exits(spark, sf, dist, **buckets) -> DataFrame:
     rows, bars = tries(spark, sf)
     rows = rows.select("*", F.lit(0.3).alias("trail_pct"), F.lit(0.9).alias("activation"), dist.alias("trail_dist"))
-    out = rows.join(trailing_exits(rows, bars, longest_series(bars)), "sid")
+    out = rows.join(trailing_exits(rows, bars, longest_series(bars), **buckets), "sid")
     return out.select(
         "symbol", t(), "direction", F.col("exit_reason").alias("reason"), "bars_held", rd("exit_price", 4).alias("exit_price")
     )
@@ -127,3 +127,9 @@ def exit_trailing(spark, sf):
 @query("exit_trailing_atr", exit_sql("atr * 1.5"))
 def exit_trailing_atr(spark, sf):
     return exits(spark, sf, F.col("atr") * 1.5)
+
+
+@query("exit_trailing_far", exit_sql("anchor * 0.3 / 100"))
+def exit_trailing_far(spark, sf):
+    """The same over short buckets, so that late exits are found by skipping ahead."""
+    return exits(spark, sf, F.lit(None).cast("double"), first_bucket=8, largest_bucket=32)

@@ -76,9 +76,9 @@ def replay_inputs(spark, sf, min_confidence: float = 0.0, context=None) -> tuple
     return found, bars
 
 
-def replayed(spark, sf, context=None) -> DataFrame:
+def replayed(spark, sf, context=None, **how) -> DataFrame:
     found, bars = replay_inputs(spark, sf, context=context)
-    return replay.simulate(found, bars, EXECUTION)
+    return replay.simulate(found, bars, EXECUTION, **how)
 
 
 BARRIER = """lb AS (SELECT x.id, min(CASE WHEN CASE WHEN side > 0 THEN b.high >= tp ELSE b.low <= tp END THEN b.seq - start END) AS won,
@@ -91,15 +91,13 @@ fin AS (SELECT tr.*, label, touch, b.t AS tb_t, floor(side * (CASE label WHEN -1
   FROM tr JOIN lt USING (id) JOIN mx USING (symbol) JOIN bars b ON b.symbol = tr.symbol AND b.seq = least(start + touch, last_seq))"""
 
 
-@query(
-    "replay_trades",
-    f"""{FILLED}, {BARRIER} SELECT symbol, t, direction, zone_type, confidence, CAST(fill AS INT) AS fill, reason, CAST(walk_bars + fill AS INT) AS bars_held, {sql_rd('entry', 4)} AS entry,
+REPLAY_TRADES_SQL = f"""{FILLED}, {BARRIER} SELECT symbol, t, direction, zone_type, confidence, CAST(fill AS INT) AS fill, reason, CAST(walk_bars + fill AS INT) AS bars_held, {sql_rd('entry', 4)} AS entry,
       {sql_rd('exit_price', 4)} AS exit_price, {sql_rd('realized_r', 3)} AS realized_r, {sql_rd('pnl', 3)} AS pnl, {sql_rd('equity', 4)} AS equity,
       {sql_rd('equity / (1 + rho) * 0.005 / abs(entry - sl)', 4)} AS qty, CASE WHEN equity / (1 + rho) * rho > 0 THEN 'WIN' ELSE 'LOSS' END AS status,
-      label AS tb_label, CAST(touch AS INT) AS tb_bars, {sql_rd('tb_r', 3)} AS tb_r, tb_t FROM fin""",
-)
-def replay_trades(spark, sf):
-    df = replayed(spark, sf)
+      label AS tb_label, CAST(touch AS INT) AS tb_bars, {sql_rd('tb_r', 3)} AS tb_r, tb_t FROM fin"""
+
+
+def shown_trades(df: DataFrame) -> DataFrame:
     return df.select(
         "symbol", t(), "direction", "zone_type", "confidence", F.col("fill").cast("int").alias("fill"),
         F.col("exit_reason").alias("reason"), F.col("bars_held").cast("int").alias("bars_held"), rd("entry", 4).alias("entry"),
@@ -110,6 +108,17 @@ def replay_trades(spark, sf):
     )
 
 
+@query("replay_trades", REPLAY_TRADES_SQL)
+def replay_trades(spark, sf):
+    return shown_trades(replayed(spark, sf))
+
+
+@query("replay_trades_blocks", REPLAY_TRADES_SQL)
+def replay_trades_blocks(spark, sf):
+    """The same with chains cut into short blocks."""
+    return shown_trades(replayed(spark, sf, block=32))
+
+
 METRIC_SQL = f"""count(*) AS n_trades, {sql_rd('avg(CASE WHEN pnl > 0 THEN 1.0::DOUBLE ELSE 0 END)', 3)} AS win_rate,
   {sql_rd('(final / 100 - 1) * 100', 2)} AS total_return_pct, {sql_rd('final', 2)} AS final_equity,
   CASE WHEN -sum(CASE WHEN pnl <= 0 THEN pnl ELSE 0 END) > 0 THEN {sql_rd('sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / -sum(CASE WHEN pnl <= 0 THEN pnl ELSE 0 END)', 2)} ELSE 'inf'::DOUBLE END AS profit_factor,

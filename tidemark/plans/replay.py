@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.economics import is_long, outcome, signed_move, tidy
 from tidemark.operators.blocks import BLOCK, running
-from tidemark.operators.chain import NEVER, take_in_turn
+from tidemark.operators.chain import BLOCK as CHAIN_BLOCK, NEVER, take_in_turn
 from tidemark.operators.forward import DATA_END, first_touch, label_geometry, limit_fills, longest_series, trailing_exits
 from tidemark.operators.performance import compounded, drawdowns, metrics
 from tidemark.params import GRID, Execution
@@ -77,7 +77,7 @@ def trail_gap(x: Execution) -> Column:
 
 def simulate(
     signals: DataFrame, bars: DataFrame, x: Execution = Execution(), mode: str = "limit", *, label: bool = True,
-    profit_atr: float | None = None, stop_atr: float | None = None,
+    profit_atr: float | None = None, stop_atr: float | None = None, block: int = CHAIN_BLOCK,
 ) -> DataFrame:
     """Closed trades of all symbols with labels and compounded equity.
 
@@ -92,7 +92,7 @@ def simulate(
         F.col("seq") + F.greatest(F.lit(1), F.col("bars_held")) + 1
     )
     cands = done.withColumn("pos", F.col("seq")).withColumn("free", freed)
-    taken = take_in_turn(cands, TRADE_KEYS).drop("pos", "free")
+    taken = take_in_turn(cands, TRADE_KEYS, block=block).drop("pos", "free")
     if label:
         geometry = label_geometry(taken, profit_atr, stop_atr)
         tb = first_touch(geometry, bars, x.label_bars)

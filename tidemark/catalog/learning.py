@@ -14,6 +14,7 @@ from tidemark.catalog.sqltext import rd as sql_rd
 from tidemark.operators import evaluation as ev
 from tidemark.operators import splits as sp
 from tidemark.operators.context import open_interest_changes
+from tidemark.operators.ledger import with_symbol_form
 from tidemark.plans import corpus as cp
 from tidemark.plans import training as tr
 from tidemark.session import stage
@@ -21,20 +22,24 @@ from tidemark.session import stage
 # ------------------------------------------------------------------ corpus with context
 
 CONTEXT_SQL = f"""{FILLED}, {BARRIER},
-fu AS (SELECT event_type AS symbol, CAST(floor(epoch(ts) / 28800) AS BIGINT) * 28800 AS t, avg(value) / 1000 - 0.01::DOUBLE AS value FROM events GROUP BY 1, 2),
-oh AS (SELECT event_type AS symbol, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS t, sum(floor(value * 100 + 0.5)) AS oi FROM events GROUP BY 1, 2),
+fu AS (SELECT event_type AS symbol, CAST(floor(epoch(ts) / 28800) + 1 AS BIGINT) * 28800 AS t, avg(value) / 1000 - 0.01::DOUBLE AS value FROM events GROUP BY 1, 2),
+oh AS (SELECT event_type AS symbol, CAST(floor(epoch(ts) / 3600) + 1 AS BIGINT) * 3600 AS t, sum(floor(value * 100 + 0.5)) AS oi FROM events GROUP BY 1, 2),
 oi AS (SELECT symbol, t, CASE WHEN lag(oi) OVER w > 0 THEN (oi - lag(oi) OVER w) / lag(oi) OVER w * 100 END AS value FROM oh WHERE oi > 0 WINDOW w AS (PARTITION BY symbol ORDER BY t)),
 bt AS (SELECT t, CASE WHEN trend_bear THEN -1.0::DOUBLE WHEN trend_bull THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM bt0),
-fg AS (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) * 86400 AS t, floor(avg(value) * 5) AS value FROM events GROUP BY 1),
-cx AS (SELECT f.*, fu.value AS funding, oi.value AS oi, bt.value AS btc, fg.value AS fng FROM fin f ASOF LEFT JOIN fu ON fu.symbol = f.symbol AND f.t >= fu.t
-  ASOF LEFT JOIN oi ON oi.symbol = f.symbol AND f.t >= oi.t ASOF LEFT JOIN bt ON f.t >= bt.t ASOF LEFT JOIN fg ON f.t >= fg.t)"""
+fg AS (SELECT CAST(floor(epoch(ts) / 86400) + 1 AS BIGINT) * 86400 AS t, floor(avg(value) * 5) AS value FROM events GROUP BY 1),
+cx AS (SELECT f.*, CASE WHEN count(*) OVER form >= 3 THEN avg((equity / (1 + rho) * rho > 0)::INT::DOUBLE) OVER form ELSE 0.5::DOUBLE END AS form, fu.value AS funding, oi.value AS oi, bt.value AS btc, fg.value AS fng FROM fin f ASOF LEFT JOIN fu ON fu.symbol = f.symbol AND f.t >= fu.t
+  ASOF LEFT JOIN oi ON oi.symbol = f.symbol AND f.t >= oi.t ASOF LEFT JOIN bt ON f.t >= bt.t ASOF LEFT JOIN fg ON f.t >= fg.t
+  WINDOW form AS (PARTITION BY f.symbol ORDER BY f.seq ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"""
 CONTEXT_SQL = CONTEXT_SQL.replace("bt AS (SELECT t, CASE", bos_sql("(SELECT * FROM bars WHERE symbol = 'click')", "bt0", need=12).strip() + ",\nbt AS (SELECT t, CASE")
 
 
 def enricher(spark, sf, bars):
-    """Funding (8h), open-interest change (1h), reference trend and daily sentiment."""
+    """Funding (8h), open-interest change (1h), reference trend and daily sentiment.
+
+    A value of a span is known from the span's end on, so a trade never sees later ticks.
+    """
     ticks = data.raw_ticks(spark, sf)
-    at = lambda width: F.timestamp_seconds(F.floor(F.unix_seconds("ts") / width) * width).alias("ts")
+    at = lambda width: F.timestamp_seconds((F.floor(F.unix_seconds("ts") / width) + 1) * width).alias("ts")
     funding = ticks.groupBy("symbol", at(28800)).agg((F.avg("price") / 1000 - 0.01).alias("value"))
     hourly = ticks.groupBy("symbol", at(3600)).agg(F.sum(F.floor(F.col("price") * 100 + 0.5)).cast("double").alias("oi")).where("oi > 0")
     oi = open_interest_changes(hourly, "oi").select("symbol", "ts", F.col("step_pct").alias("value"))
@@ -44,30 +49,55 @@ def enricher(spark, sf, bars):
 
 
 def corpus(spark, sf) -> DataFrame:
-    return stage(replayed(spark, sf, context=enricher), "corpus")
+    """Replayed trades with their context and the form of their symbol before them."""
+    return with_symbol_form(stage(replayed(spark, sf, context=enricher), "corpus"))
 
 
 @query(
     "corpus_trades",
     f"""{CONTEXT_SQL} SELECT symbol, t, direction, 'backtest' AS source, {sql_rd('realized_r', 3)} AS realized_r, {sql_rd('tb_r', 3)} AS tb_r, {sql_rd('funding')} AS funding,
-      {sql_rd('oi', 4)} AS oi, btc, fng FROM cx""",
+      {sql_rd('oi', 4)} AS oi, btc, fng, {sql_rd('form')} AS form FROM cx""",
 )
 def corpus_trades(spark, sf):
-    return replayed(spark, sf, context=enricher).select(
+    return corpus(spark, sf).select(
         "symbol", t(), "direction", "source", rd("realized_r", 3).alias("realized_r"), rd("tb_realized_r", 3).alias("tb_r"),
         rd("funding_rate").alias("funding"), rd("oi_change_pct", 4).alias("oi"), F.col("btc_trend").alias("btc"), "fng",
+        rd("symbol_win_rate").alias("form"),
     )
 
 
 FRAME_SQL = f"""{CONTEXT_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY t, symbol) - 1 AS n, (equity / (1 + rho) * rho > 0) AS won FROM cx),
   h AS (SELECT *, CASE WHEN n < 5 THEN 0.5::DOUBLE ELSE avg(won::INT::DOUBLE) OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) END AS rate,
-    CASE WHEN n < 5 THEN 0.0::DOUBLE ELSE sum(pnl) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END AS cum,
+    CASE WHEN n < 5 THEN 0.0::DOUBLE ELSE sum(pnl) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END AS cum, list(pnl) OVER (w ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS l,
     n - row_number() OVER (PARTITION BY won ORDER BY n) AS island FROM o WINDOW w AS (ORDER BY n)),
   g AS (SELECT *, row_number() OVER (PARTITION BY won, island ORDER BY n) * CASE WHEN won THEN 1 ELSE -1 END AS run FROM h),
   z AS (SELECT *, CASE WHEN n < 5 THEN 0 ELSE lag(run) OVER (ORDER BY n) END AS streak, abs(entry - sl) AS risk, abs(tp - entry) AS reward, (t // 3600) % 24 AS hr, (t // 86400 + 3) % 7 AS dow FROM g),
   m AS (SELECT z.*, p.volume_spike AS vs, p.displacement AS dp, p.body AS bd, p.volume AS vol, p.volume_ma AS vma, p.atr_percentile AS ap, p.market_regime AS mr,
       (CASE WHEN z.side > 0 THEN p.now_bull OR p.recent_bull ELSE p.now_bear OR p.recent_bear END)::INT AS sw, (CASE WHEN z.side > 0 THEN p.bull_fvg ELSE p.bear_fvg END)::INT AS fv,
-      (CASE WHEN z.side > 0 THEN p.bull_crt ELSE p.bear_crt END)::INT AS cr FROM z JOIN pat p ON p.symbol = z.symbol AND p.seq = z.seq)"""
+      (CASE WHEN z.side > 0 THEN p.bull_crt ELSE p.bear_crt END)::INT AS cr,
+      p.close AS px, coalesce(p.ema20, p.close) AS m20, coalesce(p.ema50, p.close) AS m50, coalesce(p.vwap, p.close) AS vw, coalesce(p.swing_high, p.close) AS sh, coalesce(p.swing_low, p.close) AS slo FROM z JOIN pat p ON p.symbol = z.symbol AND p.seq = z.seq)"""
+
+
+_yes = lambda cond: f"CASE WHEN {cond} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+MORE_FEATURES = {
+    "volume_spike": "vs::DOUBLE", "displacement": "dp::DOUBLE", "sweep": "sw::DOUBLE", "fvg": "fv::DOUBLE", "crt": "cr::DOUBLE",
+    "reward_pct": sql_rd("reward / greatest(entry, 0.0001)"), "atr_expansion": sql_rd("atr", 4),
+    "is_high_volatility": _yes("ap > 70"), "is_low_volatility": _yes("ap < 30"), "regime_trending": _yes("mr = 'trending'"), "regime_volatile": _yes("mr = 'volatile'"),
+    "distance_to_prev_high": sql_rd("(sh - px) / px"), "distance_to_prev_low": sql_rd("(slo - px) / px"), "distance_to_ema20": sql_rd("(px - m20) / m20", 4),
+    "distance_to_ema50": sql_rd("(px - m50) / m50", 4), "distance_to_vwap": sql_rd("(px - vw) / vw", 4), "confluence_strength": "(vs + dp + sw + fv) / 4.0::DOUBLE",
+    "is_london_open": _yes("hr BETWEEN 7 AND 11"), "is_ny_open": _yes("hr BETWEEN 12 AND 16"), "is_overlap": _yes("hr BETWEEN 8 AND 11"), "is_quiet_time": _yes("hr BETWEEN 17 AND 21"),
+    "is_monday": _yes("dow = 0"), "is_friday": _yes("dow = 4"), "is_scalp": _yes("reward / greatest(risk, 0.0001) < 1.8"), "is_swing": _yes("reward / greatest(risk, 0.0001) >= 2.0"),
+    "is_hot_streak": _yes("streak > 0"), "btc_trend": "coalesce(btc, 0.0::DOUBLE)", "spread_pct": "0.0::DOUBLE", "symbol_win_rate": sql_rd("coalesce(nullif(form, 0), 0.5::DOUBLE)"),
+    "current_dd_pct": f"CASE WHEN n < 5 THEN 0.0::DOUBLE ELSE {sql_rd('list_max(list_transform(range(1, len(l) + 1), lambda j: -coalesce(list_sum(l[j+1:]), 0)))', 4)} END",
+    "funding_vs_direction": sql_rd("coalesce(funding, 0) * side"), "is_extreme_fear": _yes("coalesce(nullif(fng, 0), 50) <= 20"), "is_extreme_greed": _yes("coalesce(nullif(fng, 0), 50) >= 80"),
+    "sweep_x_fvg": "(sw * fv)::DOUBLE", "atr_x_confluence": sql_rd("atr * ((vs + dp + sw + fv) / 4.0::DOUBLE)", 4), "atr_x_session": sql_rd(f"atr * {_yes('hr BETWEEN 7 AND 16')}", 4),
+}
+MORE_FEATURES_SQL = ", ".join(f"{v} AS {k}" for k, v in MORE_FEATURES.items())
+#: Digits that are compared; the rest are whole numbers or flags.
+FEATURE_DIGITS = {
+    "reward_pct": 6, "atr_expansion": 4, "distance_to_prev_high": 6, "distance_to_prev_low": 6, "distance_to_ema20": 4, "distance_to_ema50": 4, "distance_to_vwap": 4,
+    "symbol_win_rate": 6, "current_dd_pct": 4, "funding_vs_direction": 6, "atr_x_confluence": 4, "atr_x_session": 4,
+}
 
 
 @query(
@@ -79,7 +109,7 @@ FRAME_SQL = f"""{CONTEXT_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY t, sy
       CASE WHEN hr >= 22 OR hr <= 6 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_asian, {sql_rd('rate')} AS recent_win_rate, streak::DOUBLE AS streak_count, {sql_rd('cum', 3)} AS cumulative_pnl,
       {sql_rd('coalesce(funding, 0)')} AS funding_rate, {sql_rd('coalesce(oi, 0)', 4)} AS oi_change_pct, CASE WHEN coalesce(btc, 0) * side > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS btc_aligned,
       coalesce(nullif(fng, 0), 50.0::DOUBLE) AS fng, (cr * sw)::DOUBLE AS crt_x_sweep, (vs * dp)::DOUBLE AS volume_x_displacement, {sql_rd('atr * risk / greatest(entry, 0.0001)', 4)} AS volatility_x_risk,
-      {sql_rd('reward / greatest(risk, 0.0001) * atr', 3)} AS rr_x_atr FROM m""",
+      {sql_rd('reward / greatest(risk, 0.0001) * atr', 3)} AS rr_x_atr, {MORE_FEATURES_SQL} FROM m""",
 )
 def feature_frame(spark, sf):
     frame = tr.feature_frame(tr.in_ledger_order(corpus(spark, sf)), 30)
@@ -90,7 +120,7 @@ def feature_frame(spark, sf):
         r4("body_ratio"), r4("volume_strength"), "atr_percentile", "regime_ranging", "confluence_count", "hour", "day_of_week",
         "is_asian", r6("recent_win_rate"), "streak_count", rd("cumulative_pnl", 3).alias("cumulative_pnl"), r6("funding_rate"),
         r4("oi_change_pct"), "btc_aligned", "fng", "crt_x_sweep", "volume_x_displacement", r4("volatility_x_risk"),
-        rd("rr_x_atr", 3).alias("rr_x_atr"),
+        rd("rr_x_atr", 3).alias("rr_x_atr"), *[rd(c, FEATURE_DIGITS[c]).alias(c) if c in FEATURE_DIGITS else c for c in MORE_FEATURES],
     )
 
 

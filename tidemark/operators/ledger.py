@@ -60,12 +60,6 @@ def with_context(ledger: DataFrame, seq: str = "seq") -> DataFrame:
             (prior.isNull() | (prior != won)).alias("_turn"),
         )
     )
-    # Start of the run that ends at the previous row, carried across chunks.
-    rows = running(
-        stage(rows, "form"), [], {"_chunk": F.expr(f"n div {LEDGER_CHUNK}")}, ["n"],
-        {"_since": (F.when(F.col("_turn"), F.col("n")), "max")}, exclusive=True,
-    )
-    run = (F.col("n") - F.col("_since")).cast("int")
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("peak"))
 
     def step(s, x):
@@ -73,12 +67,19 @@ def with_context(ledger: DataFrame, seq: str = "seq") -> DataFrame:
         return F.struct(total.alias("sum"), F.greatest(s["peak"], total).alias("peak"))
 
     fall = F.aggregate("_pnls", start, step, lambda s: F.coalesce(s["peak"] - s["sum"], F.lit(0.0)))
+    rows = rows.withColumn("_fall", fall).drop("_pnls")  # folded before it is stored
+    # Start of the run that ends at the previous row, carried across chunks.
+    rows = running(
+        stage(rows, "form"), [], {"_chunk": F.expr(f"n div {LEDGER_CHUNK}")}, ["n"],
+        {"_since": (F.when(F.col("_turn"), F.col("n")), "max")}, exclusive=True,
+    )
+    run = (F.col("n") - F.col("_since")).cast("int")
     young = F.col("n") < MIN_HISTORY
     out = {
         "recent_win_rate": F.when(young, 0.5).otherwise(F.col("_rate")),
         "streak_count": F.when(young, 0).otherwise(F.when(F.col("_prior"), run).otherwise(-run)),
         "cumulative_pnl": F.when(young, 0.0).otherwise(F.col("_sum")),
-        "current_dd_abs": F.when(young, 0.0).otherwise(fall),
+        "current_dd_abs": F.when(young, 0.0).otherwise(F.col("_fall")),
     }
     base = [c for c in ledger.columns if c not in (*out, "current_dd_pct")]
     return rows.select(*base, "n", *[v.alias(k) for k, v in out.items()]).withColumn(

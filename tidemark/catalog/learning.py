@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ from tidemark.operators.context import open_interest_changes
 from tidemark.operators.ledger import with_symbol_form
 from tidemark.plans import corpus as cp
 from tidemark.plans import training as tr
-from tidemark.session import stage
+from tidemark.session import stage, staging_root
+from tidemark.sources.store import missing_symbols
 
 # ------------------------------------------------------------------ corpus with context
 
@@ -78,6 +81,16 @@ FRAME_SQL = f"""{CONTEXT_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY t, sy
       p.close AS px, coalesce(p.ema20, p.close) AS m20, coalesce(p.ema50, p.close) AS m50, coalesce(p.vwap, p.close) AS vw, coalesce(p.swing_high, p.close) AS sh, coalesce(p.swing_low, p.close) AS slo FROM z JOIN pat p ON p.symbol = z.symbol AND p.seq = z.seq)"""
 
 
+@query("corpus_cache", f"{CONTEXT_SQL} SELECT symbol, t, direction, {sql_rd('realized_r', 3)} AS realized_r, CAST(1 AS INT) AS version FROM cx")
+def corpus_cache(spark, sf):
+    """The corpus stored symbol by symbol; a second run replays only symbols that have no finished part."""
+    path, trades = f"{staging_root(spark)}/corpus-{uuid.uuid4().hex}", stage(replayed(spark, sf), "trades")
+    cp.build_corpus(trades.where("symbol < 'm'"), path)
+    todo = missing_symbols(trades, spark, path, cp.DEF_VERSION)
+    stored = cp.build_corpus(trades.join(todo, "symbol", "left_semi"), path)
+    return stored.select("symbol", t(), "direction", rd("realized_r", 3).alias("realized_r"), F.col("def_version").alias("version"))
+
+
 _yes = lambda cond: f"CASE WHEN {cond} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
 MORE_FEATURES = {
     "volume_spike": "vs::DOUBLE", "displacement": "dp::DOUBLE", "sweep": "sw::DOUBLE", "fvg": "fv::DOUBLE", "crt": "cr::DOUBLE",

@@ -13,6 +13,7 @@ from tidemark.functions.symbols import fresh_symbols
 from tidemark.operators import ledger as led
 from tidemark.params import Portfolio
 from tidemark.plans.admission import admit
+from tidemark.plans.corpus import backfill
 from tidemark.sources.store import latest_values
 
 BASES = "'BTC','ETH','SOL','XRP','ADA','LINK','AVAX','NEAR','ATOM','ALGO'"
@@ -322,6 +323,19 @@ def backfill_union(spark, sf):
     return led.with_backfill(rows, simulated, replace=True).select("seq", "symbol", "source", "place")
 
 
+@query(
+    "backfill_twice",
+    f"""WITH {CLOSED_SQL}, b AS (SELECT seq, symbol, ts, 'backtest' AS source, 0 AS place FROM cl WHERE source = 'backtest' ORDER BY ts DESC, seq DESC LIMIT 150)
+    SELECT seq, symbol, source, place FROM b UNION ALL SELECT seq, symbol, source, 1 FROM cl WHERE source <> 'backtest'""",
+)
+def backfill_twice(spark, sf):
+    """A ledger without simulated rows gets them once; the second run adds nothing."""
+    rows = closed(spark, sf).withColumn("entry_time", F.col("ts"))
+    simulated = rows.where(F.col("source") == "backtest")
+    once = backfill(rows.where(F.col("source") != "backtest"), simulated)
+    return backfill(once.drop("place"), simulated).select("seq", "symbol", "source", "place")
+
+
 @query(
     "latest_values",
     f"WITH {LEDGER_SQL} SELECT symbol, max_by(status, seq) AS status, {sql_rd('max_by(entry, seq)', 4)} AS entry, max(seq) AS seq FROM led GROUP BY 1",

@@ -668,6 +668,16 @@ def signals_q(spark, sf):
     return shown(all_signals(spark, sf))
 
 
+@query(
+    "signal_ids",
+    f"""{full_signals(65)} SELECT symbol, t, symbol || '_' || strftime(epoch_ms(t * 1000), '%Y-%m-%d %H:%M:%S') || '+00:00_' || direction AS signal_hash,
+      CASE WHEN volume_spike = 1 THEN 'V' ELSE '-' END || CASE WHEN displacement = 1 THEN 'D' ELSE '-' END || CASE WHEN bull_sweep OR bear_sweep THEN 'S' ELSE '-' END
+      || CASE WHEN bull_fvg OR bear_fvg THEN 'F' ELSE '-' END || CASE WHEN bull_crt OR bear_crt THEN 'C' ELSE '-' END AS confluences FROM sig""",
+)
+def signal_ids(spark, sf):
+    return all_signals(spark, sf).select("symbol", t(), "signal_hash", "confluences")
+
+
 @query("signals_market", f"{full_signals(0, 'market')} SELECT {SIGNAL_COLUMNS} FROM sig")
 def signals_market(spark, sf):
     return shown(all_signals(spark, sf, 0.0, entry_mode="market"))

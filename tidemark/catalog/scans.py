@@ -121,6 +121,58 @@ def ledger_documents(spark, sf):
     )
 
 
+def fresh_folder(spark, name: str) -> str:
+    return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("ledger_append", f"WITH {LEDGER_SQL} SELECT seq, symbol, status FROM led")
+def ledger_append(spark, sf):
+    """Closed rows written first, active ones appended, all read back."""
+    path, rows = fresh_folder(spark, "documents"), ledger(spark, sf).select("seq", "symbol", "status")
+    store.write_ledger(store.to_documents(rows.where(led.is_closed())), path)
+    store.write_ledger(store.to_documents(rows.where(~led.is_closed())), path, append=True)
+    return store.read_ledger(spark, path).select("seq", "symbol", "status")
+
+
+@query(
+    "upserted_values",
+    f"WITH {LEDGER_SQL}, u AS (SELECT seq * 2 AS step, symbol, direction, status FROM led UNION ALL SELECT seq * 2 + 1, symbol, direction, 'CHECKED' FROM led WHERE seq % 3 = 0) "
+    "SELECT symbol, direction, max_by(status, step) AS status, max(step) AS step FROM u GROUP BY ALL",
+)
+def upserted_values(spark, sf):
+    """Changes laid over a table of current values; the newest per key stays."""
+    rows = ledger(spark, sf).select((F.col("seq") * 2).alias("step"), "symbol", "direction", "status")
+    changes = ledger(spark, sf).where("seq % 3 = 0").select((F.col("seq") * 2 + 1).alias("step"), "symbol", "direction", F.lit("CHECKED").alias("status"))
+    return store.upsert(rows, changes, ["symbol", "direction"], "step").select("symbol", "direction", "status", "step")
+
+
+@query("migrated_ledger", f"WITH {LEDGER_SQL} SELECT symbol, direction, status, {sql_rd('entry')} AS entry FROM led")
+def migrated_ledger(spark, sf):
+    """Legacy files, each one JSON array of up to 1000 trades, taken over once; a second run changes nothing."""
+    source, target = fresh_folder(spark, "legacy"), fresh_folder(spark, "documents")
+    trade = F.struct("symbol", "direction", "status", "entry")
+    arrays = ledger(spark, sf).groupBy(F.expr("seq div 1000").alias("file")).agg(F.to_json(F.collect_list(trade)).alias("value"))
+    arrays.write.partitionBy("file").text(source)
+    done = [store.migrate_json(spark, source, target) for _ in range(2)]
+    return store.read_ledger(spark, target).where(F.lit(done == [True, False])).select("symbol", "direction", "status", rd("entry").alias("entry"))
+
+
+@query(
+    "trade_csv",
+    f"WITH {LEDGER_SQL} SELECT CAST(epoch(ts) AS VARCHAR) AS timestamp, symbol, direction, {sql_rd('entry', 4)} AS entry, status AS result, {sql_rd('pnl', 2)} AS pnl FROM led WHERE status <> 'OPEN'".replace("CAST(epoch(ts) AS VARCHAR)", "CAST(CAST(epoch(ts) AS BIGINT) AS VARCHAR)"),
+)
+def trade_csv(spark, sf):
+    """Closed trades through the CSV ledger and back."""
+    path = fresh_folder(spark, "csv")
+    none = F.lit(None).cast("double")
+    rows = ledger(spark, sf).where(led.is_closed()).select(
+        F.unix_seconds("ts").cast("string").alias("timestamp"), "symbol", "direction", rd("entry", 4).alias("entry"), none.alias("tp"), none.alias("sl"),
+        F.col("status").alias("result"), rd("pnl", 2).alias("pnl"),
+    )
+    store.write_csv(rows, path)
+    return store.read_csv(spark, path, store.TRADE_CSV).drop("tp", "sl")
+
+
 @query("hash_tail", f"WITH {LEDGER_SQL} SELECT seq, symbol || '_' || direction AS signal_hash FROM led ORDER BY seq DESC LIMIT 500")
 def hash_tail(spark, sf):
     rows = ledger(spark, sf).select("seq", F.concat_ws("_", "symbol", "direction").alias("signal_hash"))

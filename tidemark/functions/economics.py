@@ -198,6 +198,6 @@ def repaired(df, rate: float = REPAIR_FEE):
         *keep,
         *[v.alias(k) for k, v in replaced.items()],
         (usable & changed).alias("changed"),
-        F.when(~usable, "missing entry/exit_price/qty/direction").alias("skipped"),
+        F.when(~usable, "incomplete").alias("skipped"),
         F.col("status").alias("old_status"),
     )

@@ -12,12 +12,7 @@ UNIT_MINUTES = {"m": 1, "h": 60, "d": 1440}
 SESSIONS = {"london": (7, 11), "ny": (12, 16), "quiet": (17, 21)}
 
 # Weekly high-impact events, Monday = 0, hour in UTC.
-CALENDAR = [
-    (1, 13, "FOMC Interest Rate Decision"),
-    (3, 12, "CPI Release"),
-    (4, 12, "Non-Farm Payrolls (NFP)"),
-    (2, 14, "Fed Chair Speech"),
-]
+CALENDAR = [(1, 13), (3, 12), (4, 12), (2, 14)]
 
 
 def tf_minutes(tf: str) -> int:
@@ -82,7 +77,7 @@ def in_event_window(ts: Column, before: int = 30, after: int = 30, calendar=CALE
     """
     seconds = F.unix_micros(ts.cast("timestamp")) - F.unix_micros(F.date_trunc("day", ts).cast("timestamp"))
     hit = F.lit(False)
-    for weekday, hour, _ in calendar:
+    for weekday, hour in calendar:
         centre = hour * 3_600_000_000
         lo, hi = centre - before * 60_000_000, centre + after * 60_000_000
         hit = hit | ((F.weekday(ts) == weekday) & seconds.between(F.lit(lo).cast("long"), F.lit(hi).cast("long")))
@@ -102,8 +97,3 @@ def exit_millis(exit_ms: Column, entry_ms: Column, bars_held: Column, minutes: i
     """End of a row's outcome: its exit, else entry plus held bars (at least 1)."""
     held = F.greatest(F.coalesce(bars_held.cast("long"), F.lit(0).cast("long")), F.lit(1).cast("long"))
     return F.coalesce(exit_ms, entry_ms + held * F.lit(minutes * 60_000).cast("long"))
-
-
-def minutes_between(start: Column, end: Column) -> Column:
-    return (micros(end) - micros(start)) / F.lit(60_000_000.0)
-

@@ -242,7 +242,7 @@ def reconcile(trades: DataFrame, positions: DataFrame, closed_records: DataFrame
     approx = F.col("_r.realized_pnl").isNull()
     profit = F.coalesce(F.col("_r.realized_pnl"), approx_pnl("direction", "entry", "exit_price", "qty"))
     base = [c for c in trades.columns if c not in ("exit_price", "pnl", "status", "exit_reason")]
-    reason = F.concat(F.lit("Closed on exchange (SL/TP)"), F.when(approx, " · approx PnL").otherwise(""))
+    reason = F.when(approx, "closed_outside_approx").otherwise("closed_outside")
     return found.select(
         *base, "exit_price", tidy(profit, 2).alias("pnl"), outcome(profit).alias("status"), reason.alias("exit_reason"),
         approx.alias("approx"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _LOCAL_ROOTS: dict[str, str] = {}
+_CLEARED_AT_EXIT: set[str] = set()
 
 
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,20 +37,36 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
 
 
 def staging_root(spark: SparkSession) -> str:
-    """Shared folder for staged tables: ``spark.checkpoint.dir`` of the session.
+    """This application's folder for staged tables, inside ``spark.checkpoint.dir`` of the session.
 
     Only a local session that has none gets a temporary folder; on a cluster a
     missing setting is an error, since executors could not share a local path.
+    The folder goes when the driver ends, or with ``clear_staged``.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
     app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="tidemark-stage-")
-    return _LOCAL_ROOTS[app]
+    root = spark.conf.get(CHECKPOINT_KEY, None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
+        if app not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="tidemark-stage-")
+        root = _LOCAL_ROOTS[app]
+    if app not in _CLEARED_AT_EXIT:
+        _CLEARED_AT_EXIT.add(app)
+        atexit.register(_clear_at_exit, spark, app)
+    return f"{root.rstrip('/')}/tidemark-{app}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete this application's staged tables. Frames that still read them are unusable afterwards."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staging_root(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _clear_at_exit(spark: SparkSession, app: str) -> None:
+    running = spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == app
+    if running:
+        clear_staged(spark)
 
 
 def stage(df: DataFrame, name: str = "t") -> DataFrame:

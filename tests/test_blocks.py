@@ -115,10 +115,10 @@ def test_asof_equals_merge_asof_over_buckets(spark):
         d["ts"] = stamp(d.s)
     a = spark.createDataFrame(left[["k", "id", "ts"]])
     b = spark.createDataFrame(right[["k", "ts", "v"]])
-    got = asof_join(a, {"r": b}, ["k"], bucket_micros=3_600_000_000).select("id", F.col("r.v").alias("v")).toPandas().set_index("id").v
+    got = asof_join(a, {"r": b}, ["k"], pieces=7).select("id", F.col("r.v").alias("v")).toPandas().set_index("id").v
     want = pd.merge_asof(left, right, on="s", by="k").set_index("id").v
     assert np.allclose(got.sort_index().fillna(-99), want.sort_index().fillna(-99))
-    one = asof_global(a, {"r": b.drop("k")}, bucket_micros=3_600_000_000).select("id", F.col("r.v").alias("v")).toPandas().set_index("id").v
+    one = asof_global(a, {"r": b.drop("k")}, pieces=7).select("id", F.col("r.v").alias("v")).toPandas().set_index("id").v
     want = pd.merge_asof(left, right.drop(columns="k"), on="s").set_index("id").v
     assert np.allclose(one.sort_index().fillna(-99), want.sort_index().fillna(-99))
 
@@ -128,3 +128,12 @@ def test_asof_edges(spark):
     asks = spark.createDataFrame([(99,), (100,), (250,), (999,)], "ms bigint").select("ms", F.timestamp_millis("ms").alias("ts"))
     got = {r["ms"]: r["v"] for r in asof_global(asks, {"s": series}).select("ms", "s.v").collect()}
     assert got == {99: None, 100: 1.0, 250: 2.0, 999: 3.0}
+
+
+def test_asof_pieces_hold_like_many_rows_of_one_dense_day(spark):
+    """A third of a million ticks of one key in one second, and lookups among them."""
+    ticks = spark.range(300_000).select(F.lit("x").alias("k"), F.timestamp_micros(F.expr("id * 3")).alias("ts"), F.col("id").alias("v"))
+    asks = spark.range(0, 900_000, 9_000).select(F.lit("x").alias("k"), "id", F.timestamp_micros("id").alias("ts"))
+    for pieces in (1, 40):
+        got = asof_join(asks, {"r": ticks}, ["k"], pieces=pieces).select("id", "r.v").collect()
+        assert sorted((r["id"], r["v"]) for r in got) == [(n, n // 3) for n in range(0, 900_000, 9_000)]

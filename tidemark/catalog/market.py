@@ -464,7 +464,7 @@ JOINED = f"""{BIASED}, j AS (SELECT e.*, b.low20, b.high20, b.seq + 1 AS bias_ro
 
 def hourly_with_bias(spark, sf, align="close") -> DataFrame:
     entry, bias = data.bar_pair(spark, sf)
-    states = stage(sig.bias_features(bias, "4h"), "bias")
+    states = sig.bias_features(bias, "4h")
     return sig.entry_features(sig.with_bias(entry, states, "1h", "4h", align), "1h").where(F.col("seq") >= 29)
 
 
@@ -499,18 +499,28 @@ def asof_mtf(spark, sf):
     )
 
 
-@query(
-    "asof_mtf_open",
-    f"""WITH {WALK_PAIR} SELECT e.symbol, e.t, b.t::DOUBLE AS bias_t, {sql_rd('b.close')} AS bias_close
-    FROM bars e ASOF LEFT JOIN bias b ON b.symbol = e.symbol AND e.t >= b.t""",
-)
-def asof_mtf_open(spark, sf):
+ASOF_OPEN_SQL = f"""WITH {WALK_PAIR} SELECT e.symbol, e.t, b.t::DOUBLE AS bias_t, {sql_rd('b.close')} AS bias_close
+    FROM bars e ASOF LEFT JOIN bias b ON b.symbol = e.symbol AND e.t >= b.t"""
+
+
+def bias_at_open(spark, sf, **how) -> DataFrame:
     entry, bias = data.bar_pair(spark, sf)
     right = bias.select("symbol", "ts", "close", F.unix_seconds("ts").alias("bt"))
-    df = asof_join(entry, {"b": right}, KEYS)
+    df = asof_join(entry, {"b": right}, KEYS, **how)
     return df.select("symbol", t(), F.col("b.bt").cast("double").alias("bias_t"), rd("b.close").alias("bias_close"))
 
 
+@query("asof_mtf_open", ASOF_OPEN_SQL)
+def asof_mtf_open(spark, sf):
+    return bias_at_open(spark, sf)
+
+
+@query("asof_mtf_pieces", ASOF_OPEN_SQL)
+def asof_mtf_pieces(spark, sf):
+    """The same over many more pieces than symbols."""
+    return bias_at_open(spark, sf, pieces=37)
+
+
 LIMIT_SQL = f"""{STOPS}, d AS (SELECT *, unnest([1.0::DOUBLE, -1.0::DOUBLE]) AS side FROM s),
   e AS (SELECT *, CASE WHEN side > 0 THEN least(stop_low - atr * 0.25, close - atr * 1.15, close - atr * 0.1) ELSE greatest(stop_high + atr * 0.25, close + atr * 1.15, close + atr * 0.1) END AS sl,
     CASE WHEN side > 0 AND bull_fvg THEN gap_long WHEN side < 0 AND bear_fvg THEN gap_short END AS gap, CASE WHEN side > 0 THEN ob_long ELSE ob_short END AS ob,

@@ -43,9 +43,9 @@ def bars_scan(spark, sf):
 def form_as_of(spark, sf):
     """Symbol form known when an order is placed."""
     rows = ledger(spark, sf)
-    series = stage(led.form_as_of(rows.where(led.is_closed())), "form")
+    series = led.form_as_of(rows.where(led.is_closed()))
     asked = rows.where(led.is_active()).select("seq", "symbol", "ts")
-    out = asof_join(asked, {"form": series}, ["symbol"], tie="n", bucket_micros=90 * 86_400_000_000)
+    out = asof_join(asked, {"form": series}, ["symbol"], tie="n")
     return out.select("seq", rd(F.coalesce("form.symbol_win_rate", F.lit(0.5))).alias("win_rate"))
 
 

@@ -1,9 +1,9 @@
-"""As-of lookups: the latest value at or before a time, at any key skew.
+"""As-of lookups: the latest value at or before a time, at any density and key skew.
 
-Rows are cut by key and time bucket. Each bucket gets one seed row holding the
-last value known before it starts, taken from a per-bucket summary, so a single
-window over (key, bucket) answers every lookup and a hot key spreads over its
-buckets.
+Lookups and series are one table in the order of key and time, cut by Spark's
+range partitioning into pieces of like size, however many rows share a key, a
+day or a moment. A window answers inside a piece; what a piece inherits comes
+from the last values of the pieces before it, one row per key and piece.
 """
 
 from __future__ import annotations
@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import micros
-
-DAY = 86_400_000_000
+from tidemark.session import stage
 
 
 def asof_join(
@@ -25,67 +24,51 @@ def asof_join(
     *,
     left_ts: str = "ts",
     right_ts: str = "ts",
-    bucket_micros: int = DAY,
     tie: str | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Add one struct column per series: its last row with right_ts <= left_ts.
 
     Every series must hold ``by``, ``right_ts`` and its value columns. ``tie``
-    names a column of the series that orders rows of equal time. Both sides are
-    read twice (rows, and buckets), so hand in stored tables, and narrow ones.
+    names a column of the series that orders rows of equal time. Rows without a
+    time find nothing and are not found. All sides are read once and stored in
+    order, so hand in narrow ones. ``pieces`` overrides the number of partitions.
     """
     by = list(by)
-    at = micros(F.col(left_ts))
-    lefts = left.select("*", at.alias("_t"), F.floor(at / bucket_micros).alias("_b"))
+    names = list(series)
     rights = None
     for name, df in series.items():
         values = [c for c in df.columns if c not in by]
-        when = micros(F.col(right_ts))
-        part = df.select(
+        part = df.where(F.col(right_ts).isNotNull()).select(
             *by,
-            when.alias("_t"),
-            F.floor(when / bucket_micros).alias("_b"),
+            micros(F.col(right_ts)).alias("_t"),
+            F.lit(0).alias("_asks"),
             (F.col(tie).cast("long") if tie else F.lit(0).cast("long")).alias("_tie"),
             F.struct(*values).alias(name),
         )
         rights = part if rights is None else rights.unionByName(part, allowMissingColumns=True)
-    names = list(series)
-    order = F.struct("_t", "_tie")
-    latest = rights.groupBy(*by, "_b").agg(
-        *[F.max_by(n, F.when(F.col(n).isNotNull(), order)).alias(n) for n in names]
-    )
-    wanted = lefts.select(*by, "_b").distinct()
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    seeds = (
-        latest.join(wanted.withColumn("_want", F.lit(True)), [*by, "_b"], "full")
-        .select(*by, "_b", "_want", *[F.last(n, ignorenulls=True).over(before).alias(n) for n in names])
-        .where("_want")
-        .select(
-            *by,
-            (F.col("_b") * bucket_micros - 1).cast("long").alias("_t"),
-            "_b",
-            F.lit(0).cast("long").alias("_tie"),
-            *names,
-        )
-    )
-    rows = lefts.select(
-        *by, "_t", "_b", F.struct(*[c for c in left.columns]).alias("_row")
-    )
-    window = (
-        Window.partitionBy(*by, "_b")
-        .orderBy("_t", F.col("_row").isNotNull(), "_tie")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lefts = left.select(
+        *by, micros(F.col(left_ts)).alias("_t"), F.lit(1).alias("_asks"), F.lit(0).cast("long").alias("_tie"),
+        F.struct(*[F.col(c) for c in left.columns]).alias("_row"),
     )
-    stacked = rows.unionByName(rights, allowMissingColumns=True).unionByName(seeds, allowMissingColumns=True)
-    return (
-        stacked.select("_row", *[F.last(n, ignorenulls=True).over(window).alias(n) for n in names])
-        .where("_row is not null")
-        .select("_row.*", *names)
+    order = ["_t", "_asks", "_tie", "_n"]
+    both = lefts.unionByName(rights, allowMissingColumns=True).withColumn("_n", F.monotonically_increasing_id())
+    cut = [*by, *order]
+    ranged = both.repartitionByRange(pieces, *cut) if pieces else both.repartitionByRange(*cut)
+    rows = stage(ranged.withColumn("_piece", F.spark_partition_id()), "asof")
+    tails = rows.groupBy(*by, "_piece").agg(
+        *[F.max_by(n, F.when(F.col(n).isNotNull(), F.struct(*order))).alias(n) for n in names]
     )
+    before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select(*by, "_piece", *[F.last(n, ignorenulls=True).over(before).alias(f"_c_{n}") for n in names])
+    to_here = Window.partitionBy(*by, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.select(*by, "_piece", "_row", *[F.last(n, ignorenulls=True).over(to_here).alias(n) for n in names])
+    out = found.where("_row is not null").join(carried, [*by, "_piece"], "left")
+    return out.select("_row.*", *[F.coalesce(n, f"_c_{n}").alias(n) for n in names])
 
 
 def asof_global(
-    left: DataFrame, series: dict[str, DataFrame], *, left_ts: str = "ts", right_ts: str = "ts", bucket_micros: int = DAY
+    left: DataFrame, series: dict[str, DataFrame], *, left_ts: str = "ts", right_ts: str = "ts", pieces: int | None = None
 ) -> DataFrame:
     """Lookup in series that have no key.
 
@@ -93,7 +76,7 @@ def asof_global(
     and is joined back by equality, so the left rows are never gathered by time.
     """
     times = left.select(F.col(left_ts)).distinct()
-    found = asof_join(times, series, [], left_ts=left_ts, right_ts=right_ts, bucket_micros=bucket_micros)
+    found = asof_join(times, series, [], left_ts=left_ts, right_ts=right_ts, pieces=pieces)
     return left.join(found, left_ts, "left")
 
 

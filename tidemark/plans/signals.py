@@ -325,12 +325,11 @@ def signals(
 ) -> DataFrame:
     """All signals of all symbols.
 
-    The bias lookup runs on the narrow bars, before features widen them; the bias
-    table is read by the lookup and by its bucket seeds, so it is staged.
+    The bias lookup runs on the narrow bars, before features widen them.
     ``enrich`` takes and returns the candidate rows; it is where context, ledger
     form and model scores are attached, after the cheap gates have run.
     """
-    bias = stage(bias_features(bias_bars, bias_tf, swing_rows=g.swing_lookback), "bias")
+    bias = bias_features(bias_bars, bias_tf, swing_rows=g.swing_lookback)
     seen = with_bias(entry_bars, bias, entry_tf, bias_tf, align)
     found = candidates(entry_features(seen, entry_tf, ai=gates.ai, swing_rows=g.swing_lookback), gates, g)
     if enrich is not None:

@@ -106,3 +106,25 @@ def test_incremental_batches_equal_the_whole(spark, tmp_path):
     for r in seen:
         assert (r["volume_ma"] is None) == (want[r["ts"]] is None)
         assert r["volume_ma"] is None or r["volume_ma"] == pytest.approx(want[r["ts"]])
+
+
+def test_batches_look_back_by_rows_on_sparse_bars(spark, tmp_path):
+    """5m bars an hour apart: the look-back is a number of bars, whatever time it spans."""
+    from tidemark.plans.signals import bar_features
+
+    rows = walk(330, 9)
+    bars = bar_frame(spark, rows)
+    base = bars.agg(F.min(F.unix_seconds("ts"))).first()[0]
+    bars = bars.withColumn("ts", F.timestamp_seconds(F.lit(base) + (F.unix_seconds("ts") - base) * 12))
+    names = ["volume_ma", "atr_percentile", "market_regime", "vwap", "ema50"]
+    compute = lambda b: bar_features(b, "5m").select("symbol", "ts", *names)
+    cut = F.timestamp_seconds(F.lit(base + 290 * 3600))
+    seen = []
+    run = sb.signal_batches(spark, str(tmp_path / "hist"), lambda df, e: seen.append(df.collect()), compute, "5m", rows=320)
+    run(bars.where(F.col("ts") < cut), 0)
+    run(bars.where(F.col("ts") >= cut), 1)
+    want = {r["ts"]: r for r in compute(bars).collect()}
+    assert [len(s) for s in seen] == [290, 40]
+    for r in seen[1]:
+        for n in names:
+            assert r[n] == want[r["ts"]][n] if n == "market_regime" else r[n] == pytest.approx(want[r["ts"]][n])

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import tf_minutes
@@ -81,18 +82,37 @@ def signal_batches(
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: append new bars, recompute touched symbols.
 
-    Only bars of touched symbols within the look-back span are read, and only
-    results for the new bars go to the sink, so a batch costs its own size.
+    A touched symbol gets its last ``rows`` bars before the batch, however far back
+    they lie. The history lies in day partitions; a batch reads those of its
+    look-back span, and earlier ones only while a touched symbol has too few bars.
+    Results for the new bars go to the sink.
     """
-    span = F.make_dt_interval(mins=F.lit(tf_minutes(tf) * rows))
+    step = timedelta(minutes=tf_minutes(tf) * rows)
+    by_symbol = Window.partitionBy("symbol").orderBy(F.desc("ts"))
 
     def run(batch: DataFrame, epoch: int) -> None:
-        new = batch.select("symbol", "ts").distinct()
-        edge: Column = F.min("ts") - span
-        touched = new.groupBy("symbol").agg(edge.alias("_from"))
-        batch.write.mode("append").parquet(history_path)
-        history = spark.read.schema(batch.schema).parquet(history_path).dropDuplicates(["symbol", "ts"])
-        recent = history.join(touched, "symbol").where(F.col("ts") >= F.col("_from")).drop("_from")
-        sink(compute(recent).join(new, ["symbol", "ts"], "left_semi"), epoch)
+        held = batch.persist()
+        try:
+            schema = batch.schema
+            held.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(history_path)
+            new = held.select("symbol", "ts").distinct()
+            touched = held.groupBy("symbol").agg(F.min("ts").alias("_first"))
+            first = touched.agg(F.min(F.to_date("_first"))).first()[0]
+            if first is None:
+                return
+            stored, back = spark.read.parquet(history_path), step
+            while True:
+                since = F.col("day") >= F.lit(first - max(back, timedelta(days=1)))
+                recent = stored.where(since).join(touched, "symbol").dropDuplicates(["symbol", "ts"])
+                before = recent.where(F.col("ts") < F.col("_first"))
+                enough = before.groupBy("symbol").count().where(F.col("count") >= rows).count()
+                if enough == touched.count() or stored.where(~since).isEmpty():
+                    break
+                back *= 4
+            last = before.withColumn("_place", F.row_number().over(by_symbol)).where(F.col("_place") <= rows)
+            slice_ = last.select(schema.names).unionByName(recent.where(F.col("ts") >= F.col("_first")).select(schema.names))
+            sink(compute(slice_).join(new, ["symbol", "ts"], "left_semi"), epoch)
+        finally:
+            held.unpersist()
 
     return run

@@ -67,8 +67,9 @@ def test_holdout_equals_the_search(spark, tail):
 def test_holdout_refuses_what_cannot_be_split(spark):
     rows, _ = split_frame(spark)
     make = lambda rs: sp.with_index(spark.createDataFrame(rs, "id bigint, entry_ms bigint, exit_ms bigint, target int"))
-    assert sp.purged_holdout(make([(*r[:3], 1) for r in rows]), 8, 0) is None
-    assert sp.purged_holdout(make([(r[0], r[1], r[1] + 500 * 3_600_000, r[3]) for r in rows]), 8, 0) is None
+    assert sp.purged_holdout(make([(*r[:3], 1) for r in rows]), 8, 0).isEmpty()
+    late = sp.purged_holdout(make([(r[0], r[1], r[1] + 500 * 3_600_000, r[3]) for r in rows]), 8, 0)
+    assert late.isEmpty() and "split" in late.columns
 
 
 def test_folds_are_purged_and_ordered(spark):

@@ -93,11 +93,11 @@ def holdout_sizes(rows: DataFrame, holdout: int, embargo_ms: int, min_train: int
     return joined.where(ok).select("size", "split_at", F.col("at").alias("cutoff"), (train_pos + train_neg).alias("train_rows"))
 
 
-def purged_holdout(rows: DataFrame, holdout: int, embargo_ms: int, min_train: int = MIN_TRAIN_ROWS) -> DataFrame | None:
-    """Rows with ``split`` (train, test) at the smallest valid holdout, else None."""
+def purged_holdout(rows: DataFrame, holdout: int, embargo_ms: int, min_train: int = MIN_TRAIN_ROWS) -> DataFrame:
+    """Rows with ``split`` (train, test) at the smallest valid holdout; none if no size is valid."""
     best = holdout_sizes(rows, holdout, embargo_ms, min_train).orderBy("size").first()
     if best is None:
-        return None
+        return rows.withColumn("split", F.lit(None).cast("string")).where("false")
     resolved = F.col("exit_ms").isNull() | (F.col("exit_ms") <= F.lit(best["cutoff"]))
     before = F.col("idx") < best["split_at"]
     kept = resolved if best["cutoff"] is not None else F.lit(True)

@@ -234,10 +234,9 @@ def retrain(ledger: DataFrame, tf_minutes: int, champion: Voter | None = None, p
     n = window.count()
     if n < MIN_LABELLED or window.select("target").distinct().count() < 2:
         return None
-    parts = purged_holdout(window, min(HOLDOUT_ROWS, max(5, n // 5)), embargo_ms)
-    if parts is None:
+    parts = stage(purged_holdout(window, min(HOLDOUT_ROWS, max(5, n // 5)), embargo_ms), "holdout")
+    if parts.isEmpty():
         return None
-    parts = stage(parts, "holdout")
     gone = [] if past is None else [r["feature"] for r in decay(past).where("dropped").select("feature").collect()]
     columns = [c for c in MODEL_FEATURES if c not in gone]
     train = parts.where("split = 'train'")

@@ -165,3 +165,21 @@ def test_sample_follows_the_chances(spark):
     kept = mixing.mixed(docs, targets, topics=3)
     assert sorted(map(str, kept.collect())) == sorted(str(r) for r in got.where("_mix_draw < _mix_chance").select(docs.columns).collect())
     assert mixing.mixed(docs.limit(0), targets).count() == 0
+
+
+def test_margins_that_cells_cannot_carry_blow_up_nothing():
+    """Topics of one language each: languages and topics cannot both be met, and no odd cell pays for it."""
+    rng = np.random.default_rng(0)
+    weights = rng.random((5, 4, 6))
+    for lang in range(4):
+        for topic in range(6):
+            weights[:, lang, topic] *= 1.0 if topic % 4 == lang else 1e-4
+    natural = weights / weights.sum()
+    targets = [natural.sum(axis=tuple(a for a in range(3) if a != k)) ** 0.8 for k in range(3)]
+    out = mixing.rake(weights, targets, bound=3.0)
+    factor = out / natural
+    assert factor.max() <= 3.0 + 1e-9 and out.sum() == pytest.approx(1, abs=0.01)
+    chance = mixing.chances(factor, out)
+    assert chance.max() == 1.0 and (chance * natural).sum() > 0.5
+    for k, want in enumerate(targets):
+        assert np.allclose(out.sum(axis=tuple(a for a in range(3) if a != k)), want / want.sum(), atol=0.08)

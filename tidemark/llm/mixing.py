@@ -34,6 +34,9 @@ POOLED = "\0pooled"
 MISSING = "\0missing"
 SEED = 17
 SHORT = 0.02
+#: No cell's weight is raised beyond this multiple. Margins that the cells cannot carry together (a topic
+#: of one language alone) are met as far as this allows, where plain fitting would blow up a few odd documents.
+BOUND = 3.0
 
 
 def profiles(texts: pa.Array) -> np.ndarray:
@@ -92,17 +95,20 @@ def measured(docs: DataFrame, centres: np.ndarray, vocabulary: str | None) -> Da
     return rows.mapInArrow(add, schema)
 
 
-def rake(weights: np.ndarray, targets: Sequence[np.ndarray], *, rounds: int = 500, tolerance: float = 1e-10) -> np.ndarray:
+def rake(weights: np.ndarray, targets: Sequence[np.ndarray], *, bound: float = np.inf, rounds: int = 500, tolerance: float = 1e-10) -> np.ndarray:
     """Iterative proportional fitting of a non-negative array to one share vector per axis.
 
-    Targets of categories without weight are left out and the others scaled to 1.
+    Targets of categories without weight are left out and the others scaled to 1. After each round
+    no cell stands above ``bound`` times its share of ``weights``.
     """
-    out = weights / max(weights.sum(), 1e-300)
+    natural = weights / max(weights.sum(), 1e-300)
+    out = natural
     axes = range(out.ndim)
     wanted = []
     for k in axes:
         held = out.sum(axis=tuple(a for a in axes if a != k)) > 0
         wanted.append(np.where(held, targets[k], 0) / max(1e-300, float(np.where(held, targets[k], 0).sum())))
+    last = np.zeros_like(out)
     for _ in range(rounds):
         worst = 0.0
         for k in axes:
@@ -112,7 +118,13 @@ def rake(weights: np.ndarray, targets: Sequence[np.ndarray], *, rounds: int = 50
             out = out * factor.reshape([-1 if a == k else 1 for a in axes])
         if worst < tolerance:
             break
-    return out
+        if np.isfinite(bound):
+            trimmed = np.minimum(out, bound * natural)
+            if np.abs(trimmed - out).max() > 0 and np.abs(trimmed / max(trimmed.sum(), 1e-300) - last).max() < tolerance:
+                out = trimmed
+                break
+            out = last = trimmed / max(trimmed.sum(), 1e-300)
+    return np.minimum(out, bound * natural) if np.isfinite(bound) else out
 
 
 def chances(factor: np.ndarray, raked: np.ndarray, short: float = SHORT) -> np.ndarray:
@@ -163,7 +175,7 @@ def fit_mixture(rows: DataFrame, targets: Mapping[str, Mapping[str, float] | flo
             shares.append(np.array([float(want.get(n, 0.0)) for n in names[k]]))
         else:
             shares.append(np.where(own > 0, own, 0) ** float(want) * (own > 0))
-    raked = rake(natural, shares)
+    raked = rake(natural, shares, bound=BOUND)
     factor = np.divide(raked, natural, out=np.zeros_like(natural), where=natural > 0)
     return Mixture(names, natural, raked, chances(factor, raked))
 

@@ -34,7 +34,7 @@ POOLED = "\0pooled"
 MISSING = "\0missing"
 SEED = 17
 SHORT = 0.02
-#: No cell's weight is raised beyond this multiple. Margins that the cells cannot carry together (a topic
+#: No cell's weight is raised beyond this multiple, or lowered below its inverse. Margins that the cells cannot carry together (a topic
 #: of one language alone) are met as far as this allows, where plain fitting would blow up a few odd documents.
 BOUND = 3.0
 
@@ -99,7 +99,7 @@ def rake(weights: np.ndarray, targets: Sequence[np.ndarray], *, bound: float = n
     """Iterative proportional fitting of a non-negative array to one share vector per axis.
 
     Targets of categories without weight are left out and the others scaled to 1. After each round
-    no cell stands above ``bound`` times its share of ``weights``.
+    cells of wanted categories stand within ``bound`` times and 1/``bound`` of their share of ``weights``.
     """
     natural = weights / max(weights.sum(), 1e-300)
     out = natural
@@ -109,6 +109,9 @@ def rake(weights: np.ndarray, targets: Sequence[np.ndarray], *, bound: float = n
         held = out.sum(axis=tuple(a for a in axes if a != k)) > 0
         wanted.append(np.where(held, targets[k], 0) / max(1e-300, float(np.where(held, targets[k], 0).sum())))
     last = np.zeros_like(out)
+    low = natural / bound
+    for k in axes:
+        low = low * (wanted[k] > 0).reshape([-1 if a == k else 1 for a in axes])
     for _ in range(rounds):
         worst = 0.0
         for k in axes:
@@ -119,12 +122,13 @@ def rake(weights: np.ndarray, targets: Sequence[np.ndarray], *, bound: float = n
         if worst < tolerance:
             break
         if np.isfinite(bound):
-            trimmed = np.minimum(out, bound * natural)
-            if np.abs(trimmed - out).max() > 0 and np.abs(trimmed / max(trimmed.sum(), 1e-300) - last).max() < tolerance:
-                out = trimmed
+            trimmed = np.clip(out, low, bound * natural)
+            trimmed = trimmed / max(trimmed.sum(), 1e-300)
+            settled = np.abs(trimmed - last).max() < tolerance
+            out = last = trimmed
+            if settled:
                 break
-            out = last = trimmed / max(trimmed.sum(), 1e-300)
-    return np.minimum(out, bound * natural) if np.isfinite(bound) else out
+    return np.clip(out, low, bound * natural) if np.isfinite(bound) else out
 
 
 def chances(factor: np.ndarray, raked: np.ndarray, short: float = SHORT) -> np.ndarray:

@@ -38,7 +38,7 @@ def test_lifecycle_rules(spark, tmp_path):
         order("a", 0), price(1, 100.0), price(2, 98.9), price(3, 102.8), price(4, 104.0), price(5, 103.0),  # fill, arm, ratchet, close
         order("b", 10), order("c", 130), price(131, 97.5),  # cooling down; broken before the touch
         order("d", 140), price(320, 100.0), price(321, 100.0),  # expires strictly after 180 minutes
-        order("s", 0, "B", "SHORT", 101.0, 103.0, 97.0, 102.0), price(1, 101.2, "B"), price(2, 103.5, "B"),  # filled, stopped
+        order("q", 5, "Q"), order("s", 0, "B", "SHORT", 101.0, 103.0, 97.0, 102.0), price(1, 101.2, "B"), price(2, 103.5, "B"),  # filled, stopped
     ]
     got = replay(spark, rows, tmp_path, x=SCALP[2], cooldown=120.0)
     by = {}
@@ -49,6 +49,7 @@ def test_lifecycle_rules(spark, tmp_path):
     assert by["c"] == [("PLACED", None), ("CANCELLED", "structure")]
     assert by["d"] == [("PLACED", None), ("CANCELLED", "expired")]
     assert by["s"] == [("PLACED", None), ("FILLED", None), ("CLOSED", "Stop Loss Hit")]
+    assert by["q"] == [("PLACED", None), ("CANCELLED", "expired")]  # no price of its own ever comes
 
 
 def test_lifecycle_query_equals_a_walk(spark):
@@ -64,6 +65,10 @@ def test_lifecycle_query_equals_a_walk(spark):
     for row in rows.itertuples(index=False):
         for event, p, reason, sid in lc.advance(states.setdefault(row.symbol, {}), row, SCALP[2], 120.0):
             want.append((row.symbol, sid, event, reason))
+    passed = int((rows.ts.max() - pd.Timedelta(minutes=1)).value // 1000)
+    for symbol, s in states.items():
+        if s.get("status") == "PENDING" and s["placed"] + SCALP[2].ttl_minutes * lc.MINUTE < passed:
+            want.append((symbol, s["sid"], "CANCELLED", "expired"))
     got = [(r["symbol"], r["sid"], r["event"], r["reason"]) for r in stream_lifecycle(spark, sf).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 50
 

@@ -2,7 +2,7 @@
 
 A symbol holds at most one order. A resting order is cancelled when price breaks
 its level, filled when price touches it, or expired after its time to live, in
-that order of precedence. An open position is closed at its stop, or its trail
+that order of precedence; without a further price it expires by an event-time timer. An open position is closed at its stop, or its trail
 is armed near the target, follows the best price and closes on the retrace.
 After a close the symbol cools down and refuses new orders.
 """
@@ -90,8 +90,12 @@ class OrderBook(StatefulProcessor):
         self.x, self.cooldown = x, cooldown
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.book = handle.getValueState("book", STATE)
 
+    def expiry_ms(self, state: dict) -> int:
+        return (state["placed"] + int(self.x.ttl_minutes * MINUTE)) // 1000 + 1
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = dict(zip(FIELDS, self.book.get())) if self.book.exists() else {}
         for name, value in list(state.items()):
@@ -105,9 +109,21 @@ class OrderBook(StatefulProcessor):
             for event, price, reason, sid in advance(state, row, self.x, self.cooldown):
                 out.append((key[0], row.ts, sid, event, price, reason))
         self.book.update(tuple(state.get(name) for name in FIELDS))
+        if state.get("status") == "PENDING":
+            # A symbol without further prices still lets its order expire, once the watermark passes.
+            self.handle.registerTimer(self.expiry_ms(state))
         if out:
             yield pd.DataFrame(out, columns=["symbol", "ts", "sid", "event", "price", "reason"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = dict(zip(FIELDS, self.book.get())) if self.book.exists() else {}
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if state.get("status") == "PENDING" and self.expiry_ms(state) <= at:
+            out = [(key[0], pd.Timestamp(at, unit="ms"), state["sid"], "CANCELLED", None, "expired")]
+            _clear(state)
+            self.book.update(tuple(state.get(name) for name in FIELDS))
+            yield pd.DataFrame(out, columns=["symbol", "ts", "sid", "event", "price", "reason"]).astype({"price": "float64"})
+
     def close(self) -> None:
         pass
 

@@ -247,6 +247,11 @@ def deduplicated(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIU
     rows = stage(with_fingerprint(docs, shingle=shingle, name=mark), "printed")
     slim = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(mark).alias("fingerprint"))
     found = near_duplicates(slim, radius=radius)
+    return one_per_class(rows, slim, found, mark, columns)
+
+
+def one_per_class(rows: DataFrame, slim: DataFrame, found: DataFrame, mark: str, columns: list[str]) -> DataFrame:
+    """``columns`` of one of ``rows`` per root of ``found`` (fingerprint, component_id, root); ``slim`` holds their doc_id and ``mark`` as fingerprint."""
     per_class = slim.join(found, "fingerprint").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = per_class.groupBy("root", "component_id", "fingerprint").agg(F.count("*").alias("n"))
     best = stage(chosen.groupBy("root").agg(F.min(F.struct("fingerprint", "n", "component_id")).alias("b")).select("b.*"), "chosen")

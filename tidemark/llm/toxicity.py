@@ -20,13 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.words import Coded, ascii_words, plain_array, strings, text_slices
+from tidemark.session import stage
 
 ORDER = 5
 DISCOUNT = 0.75
 #: Labelled documents of either class that the models are fitted on, at most.
 CLASS_ROWS = 20_000
-#: Letter runs of the model: counts are added up by hash, so a model of any corpus has at most so many entries.
-SLOTS = 1 << 21
 #: Bytes of text whose distinct words are spelled out at a time.
 SLICE = 3 << 20
 EDGES = ".,;:!?\"'()[]{}<>«»“”„’‘…-–—*#&%$|_~`^+=/\\@"
@@ -63,10 +62,6 @@ def _hashes(letters: np.ndarray) -> np.ndarray:
     return table
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
-
-
 def _chain(table: np.ndarray, longest: np.ndarray, drop: int) -> tuple[np.ndarray, np.ndarray]:
     """(run, context) hashes at every letter after ``drop`` letters are taken off the front of the longest run."""
     size = np.maximum(1, longest - drop)
@@ -76,7 +71,8 @@ def _chain(table: np.ndarray, longest: np.ndarray, drop: int) -> tuple[np.ndarra
 
 
 KINDS = ("toxic", "ordinary", "curve_toxic", "curve_ordinary", "other")
-COUNTS = "run string, " + ", ".join(f"{k} long" for k in KINDS)
+#: Hashes of a longest run with 0 to ORDER - 1 letters off its front, and of their contexts.
+LEVELS = [f"run{d}" for d in range(ORDER)] + [f"context{d}" for d in range(ORDER)]
 
 
 def run_counts(words: list[str], weights: np.ndarray) -> dict[str, np.ndarray]:
@@ -91,31 +87,61 @@ def run_counts(words: list[str], weights: np.ndarray) -> dict[str, np.ndarray]:
     for k in range(ORDER):
         own = k < longest[at]
         grid[own, k] = letters[at[own] - longest[at[own]] + 1 + k]
-    return {"key": values, "run": grid.reshape(-1).view(f"<U{ORDER}") if len(at) else np.zeros(0, f"<U{ORDER}"), "counts": np.stack(sums, axis=1)}
+    levels = [_chain(hashes, longest, d) for d in range(ORDER)]
+    levels = np.stack([levels[d][k][at] for k in range(2) for d in range(ORDER)], axis=1)
+    return {"key": values, "levels": levels, "run": grid.reshape(-1).view(f"<U{ORDER}") if len(at) else np.zeros(0, f"<U{ORDER}"), "counts": np.stack(sums, axis=1)}
+
+
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: float | np.ndarray) -> np.ndarray:
+    """The values of ``wanted`` among the sorted keys, ``other`` where there is none."""
+    if not len(keys):
+        return np.broadcast_to(other, wanted.shape)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], other)
 
 
 @dataclass
 class KneserNeyPair:
-    """Log ratio of the class models by letter run, and by context for runs that neither class has."""
+    """Log ratio of the class models by letter run, and by context for runs that neither class has; keys are sorted 64-bit hashes."""
 
+    runs: np.ndarray
     by_run: np.ndarray
+    contexts: np.ndarray
     by_context: np.ndarray
 
     def evidence(self, words: list[str]) -> np.ndarray:
         """Sum of log(toxic / ordinary) over the letters of each word."""
         _, hashes, longest, word = _runs(words)
+        body = np.flatnonzero(longest > 1)
         run, context = _chain(hashes, longest, 0)
-        value = self.by_run[_slot(run)]
-        value = np.where(np.isnan(value), self.by_context[_slot(context)], value)
-        value[longest < 2] = 0
-        return np.bincount(word, weights=value, minlength=len(words))
+        first, back = np.unique(run[body], return_index=True, return_inverse=True)[1:]
+        run, context = run[body][first], context[body][first]
+        value = _found(self.runs, self.by_run, run, _found(self.contexts, self.by_context, context, 0.0))
+        return np.bincount(word[body], weights=value[back], minlength=len(words))
+
+
+def class_models(run: np.ndarray, context: np.ndarray, counts: np.ndarray, shared: np.ndarray, discount: float = DISCOUNT) -> KneserNeyPair:
+    """Models from the (toxic, ordinary) counts of distinct runs, their contexts and shared probabilities. Runs of neither class change nothing."""
+    seen = np.flatnonzero(counts.sum(axis=1) > 0)
+    seen = seen[np.argsort(run[seen])]
+    run, context, counts, shared = run[seen], context[seen], counts[seen], shared[seen]
+    places, where = np.unique(context, return_inverse=True)
+    logs, rests = [], []
+    for k in range(2):
+        n = counts[:, k].astype(float)
+        total = np.bincount(where, weights=n, minlength=len(places))
+        followers = np.bincount(where, weights=n > 0, minlength=len(places))
+        rest = np.where(total > 0, discount * followers / np.maximum(total, 1), 1.0)
+        p = np.where(total[where] > 0, np.maximum(n - discount, 0) / np.maximum(total[where], 1), 0) + rest[where] * shared
+        logs.append(np.log(p))
+        rests.append(np.log(rest))
+    return KneserNeyPair(run, logs[0] - logs[1], places, rests[0] - rests[1])
 
 
 def fit_models(runs: list[str], counts: np.ndarray, discount: float = DISCOUNT) -> KneserNeyPair:
-    """Models from distinct longest runs and their (toxic, ordinary) counts; runs of other texts have 0 and 0."""
-    by_run, by_context = np.full(SLOTS, np.nan, np.float32), np.zeros(SLOTS, np.float32)
+    """Models from distinct longest runs and their (toxic, ordinary) counts; runs of other texts have 0 and 0. The same as with ``shared_model``, in memory."""
     if not len(runs):
-        return KneserNeyPair(by_run, by_context)
+        return KneserNeyPair(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0))
     # Each run stands as a word of its own; its last letter is the one that matters.
     text = "".join(runs)
     sizes = np.fromiter(map(len, runs), np.int64, len(runs))
@@ -148,25 +174,30 @@ def fit_models(runs: list[str], counts: np.ndarray, discount: float = DISCOUNT)
         lower = (names, np.maximum(n - discount, 0) / total + discount * followers / total * base)
     run, context = level(0)
     shared = lower[1][np.searchsorted(lower[0], level(1)[0])]
+    return class_models(run, context, counts, shared, discount)
 
-    slots, spot = np.unique(_slot(run), return_inverse=True)
-    own = np.stack([np.bincount(spot, weights=counts[:, k]) for k in range(2)], axis=1)
-    head = np.zeros(len(slots), np.int64)
-    head[spot] = np.arange(len(run))
-    places, where = np.unique(_slot(context[head]), return_inverse=True)
-    logs, rests = [], []
-    for k in range(2):
-        n = own[:, k]
-        total = np.bincount(where, weights=n)
-        followers = np.bincount(where, weights=n > 0)
-        rest = np.where(total > 0, discount * followers / np.maximum(total, 1), 1.0)
-        p = np.where(total[where] > 0, np.maximum(n - discount, 0) / np.maximum(total[where], 1), 0) + rest[where] * shared[head]
-        logs.append(np.log(p))
-        rests.append(np.log(rest))
-    seen = own.sum(axis=1) > 0
-    by_run[slots[seen]] = (logs[0] - logs[1])[seen]
-    by_context[places] = rests[0] - rests[1]
-    return KneserNeyPair(by_run, by_context)
+
+def shared_model(runs: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+    """(run, shared): continuation probability of what remains of each longest run without its first letter.
+
+    ``runs`` holds LEVELS, a row per distinct longest run of all documents, and is a stored table. From single letters up:
+    P(run) = (N - D)+ / N(context) + D T(context) / N(context) P(shorter run), N counting the distinct runs one letter longer.
+    """
+    lower = None
+    for drop in range(ORDER - 1, 0, -1):
+        short = F.col(f"run{drop + 1}") if lower is not None else F.lit(0).cast("long")
+        kinds = runs.groupBy(F.col(f"run{drop - 1}").alias("longer")).agg(F.first(f"run{drop}").alias("run"), F.first(f"context{drop}").alias("context"), F.first(short).alias("short"))
+        names = kinds.groupBy("run").agg(F.count("*").alias("n"), F.first("context").alias("context"), F.first("short").alias("short"))
+        names = stage(names, "runs")
+        sums = names.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("followers"))
+        own = names.join(sums, "context")
+        if lower is None:
+            own = own.withColumn("base", F.lit(1 / (names.count() + 1)))
+        else:
+            own = own.join(lower.select(F.col("run").alias("short"), F.col("p").alias("base")), "short")
+        p = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total") + discount * F.col("followers") / F.col("total") * F.col("base")
+        lower = own.select("run", p.alias("p"))
+    return runs.select(F.col("run0").alias("run"), F.col("run1").alias("_rest")).join(lower.select(F.col("run").alias("_rest"), F.col("p").alias("shared")), "_rest").drop("_rest")
 
 
 FIGURES = ("mean", "first", "second", "third", "passage")
@@ -237,7 +268,7 @@ def label_sample(labels: DataFrame, column: str, class_rows: int) -> DataFrame:
 
 
 def count_runs(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """Counts of letter runs by hash slot over all documents, by class and part of the sample; documents outside it are ``other``.
+    """LEVELS and counts of every distinct longest letter run (by its 64-bit hash) over all documents, by class and part of the sample; documents outside it are ``other``.
 
     ``sample`` (doc_id, label, part) is bounded and broadcast. A task sends a row per distinct run it met.
     """
@@ -246,12 +277,12 @@ def count_runs(docs: DataFrame, sample: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(known, "_id", "left").select("text", "kind")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, runs, counts, held = [], [], [], 0
+        keys, levels, counts, held = [], [], [], 0
 
         def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             every, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
             table = np.concatenate(counts)
-            return every, np.concatenate(runs)[first], np.stack([np.bincount(back, weights=table[:, k]) for k in range(len(KINDS))], axis=1).astype(np.int64)
+            return every, np.concatenate(levels)[first], np.stack([np.bincount(back, weights=table[:, k]) for k in range(len(KINDS))], axis=1).astype(np.int64)
 
         for batch in batches:
             for a, b in text_slices(batch.column(0), SLICE):
@@ -261,18 +292,18 @@ def count_runs(docs: DataFrame, sample: DataFrame) -> DataFrame:
                 weights = np.stack([np.bincount(coded.codes[own == k], minlength=len(words)) for k in range(len(KINDS))], axis=1)
                 found = run_counts(words, weights)
                 keys.append(found["key"])
-                runs.append(found["run"])
+                levels.append(found["levels"])
                 counts.append(found["counts"])
                 held += len(found["key"])
                 if held > 2 * len(keys[0]) + 300_000:
                     one = merged()
-                    keys, runs, counts, held = [one[0]], [one[1]], [one[2]], len(one[0])
+                    keys, levels, counts, held = [one[0]], [one[1]], [one[2]], len(one[0])
         if keys:
-            every, names, table = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(_slot(every)), pa.array(names.tolist(), pa.string()), *[pa.array(table[:, k]) for k in range(len(KINDS))]], names=["slot", "run", *KINDS])
+            _, hashes, table = merged()
+            yield pa.RecordBatch.from_arrays([*[pa.array(h.view(np.int64)) for h in np.ascontiguousarray(hashes.T)], *[pa.array(c) for c in table.T]], names=[*LEVELS, *KINDS])
 
-    found = rows.mapInArrow(count, "slot long, " + COUNTS)
-    return found.groupBy("slot").agg(F.min("run").alias("run"), *[F.sum(c).alias(c) for c in KINDS]).drop("slot")
+    found = rows.mapInArrow(count, ", ".join(f"{c} long" for c in [*LEVELS, *KINDS]))
+    return found.groupBy("run0").agg(*[F.first(c).alias(c) for c in LEVELS[1:]], *[F.sum(c).alias(c) for c in KINDS])
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, *, column: str = "toxic", class_rows: int = CLASS_ROWS) -> ToxicityModel:
@@ -289,9 +320,13 @@ def fit_on(docs: DataFrame, labels: DataFrame, *, column: str = "toxic", class_r
     if len(np.unique(label)) < 2:
         return ToxicityModel(None, np.zeros(len(FIGURES)), sure)
     known = docs.sparkSession.createDataFrame(sample)
-    runs = count_runs(docs, known).toArrow()  # at most SLOTS rows
-    names, counts = runs.column("run").to_pylist(), np.stack([runs.column(c).to_numpy() for c in KINDS], axis=1)
-    pair = fit_models(names, counts[:, :2])
+    every = stage(count_runs(docs, known), "letter_runs")
+    # Runs of the labelled sample, which bounds them; the others only shape the shared probabilities.
+    labelled = every.where(" + ".join(KINDS[:4]) + " > 0").select(F.col("run0").alias("run"), F.col("context0").alias("context"), *KINDS[:4])
+    runs = labelled.join(shared_model(every), "run").toArrow()
+    run, context = (runs.column(c).to_numpy().view(np.uint64) for c in ("run", "context"))
+    counts, backoff = np.stack([runs.column(c).to_numpy() for c in KINDS[:4]], axis=1), runs.column("shared").to_numpy()
+    pair = class_models(run, context, counts[:, :2], backoff)
     shared = docs.sparkSession.sparkContext.broadcast(pair)
     fresh = F.broadcast(known.where("part = 'curve'").select(F.col("doc_id").alias("_id"), "label"))
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(fresh, "_id").select("_id", "label", "text")
@@ -307,7 +342,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, *, column: str = "toxic", class_r
     label = measured.column("label").to_numpy().astype(np.float64)
     if len(np.unique(label)) < 2:
         return ToxicityModel(None, np.zeros(len(FIGURES)), sure)
-    pair = fit_models(names, counts[:, :2] + counts[:, 2:4])
+    pair = class_models(run, context, counts[:, :2] + counts[:, 2:4], backoff)
     weights, base = fit_curve(np.stack([measured.column(f).to_numpy() for f in FIGURES], axis=1), label)
     return ToxicityModel(pair, weights, base)
 

@@ -32,3 +32,19 @@ def test_every_letter_run_counts_for_itself(spark):
     counts = np.stack([rows.column(c).to_numpy() for c in toxicity.KINDS], axis=1)
     pair = toxicity.class_models(run, context, counts[:, :2] + counts[:, 2:4], rows.column("shared").to_numpy())
     assert np.allclose(pair.evidence(words), whole.evidence(words)) and np.abs(whole.evidence(words)).max() > 1
+
+
+def test_class_quotas_do_not_shift_the_scores(spark):
+    """Both classes cut to the same number: scores still stand for the share of toxic documents among all labelled."""
+    rng = random.Random(3)
+    texts, labels = [], []
+    for k in range(1600):
+        marked, toxic = rng.random() < 0.5, 0
+        toxic = int(rng.random() < (0.2 if marked else 0.02))
+        texts.append((k, prose(k, 30) + (" vilefool scumbag" if marked else "")))
+        labels.append((k, toxic))
+    docs, known = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    score = [r.score for r in toxicity.with_score(docs, toxicity.fit_on(docs, known, class_rows=150)).collect()]
+    share = np.mean([t for _, t in labels])
+    assert 0.05 < share < 0.2 and abs(np.mean(score) - share) < 0.08
+    assert np.mean([s >= 0.5 for s in score]) < 0.1

@@ -258,10 +258,15 @@ def fit_curve(figures: np.ndarray, labels: np.ndarray, ridge: float = 0.3) -> tu
     return w[:-1] / spread, float(w[-1] - (w[:-1] * mean / spread).sum())
 
 
+def known_labels(labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, label): a row per labelled document, of several labels the larger."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull())
+    return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(column).cast("int")).alias("label"))
+
+
 def label_sample(labels: DataFrame, column: str, class_rows: int) -> DataFrame:
     """(doc_id, label, part): at most ``class_rows`` ids of either label, those of the smallest hashes; every fourth is for the curve."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull())
-    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(column).cast("int")).alias("label"))
+    known = known_labels(labels, column)
     order = [F.xxhash64("doc_id", F.lit(5)), "doc_id"]
     some = known.where("label = 1").orderBy(*order).limit(class_rows).unionAll(known.where("label = 0").orderBy(*order).limit(class_rows))
     return some.withColumn("part", F.when(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(4)) == 0, "curve").otherwise("counts"))
@@ -309,14 +314,18 @@ def count_runs(docs: DataFrame, sample: DataFrame) -> DataFrame:
 def fit_on(docs: DataFrame, labels: DataFrame, *, column: str = "toxic", class_rows: int = CLASS_ROWS) -> ToxicityModel:
     """Fit on at most ``class_rows`` labelled documents of either class; backoff counts are over all documents.
 
-    The curve is fitted on a fourth of them with models of the rest, then the models count all of them.
+    The curve is fitted on a fourth of them with models of the rest, then the models count all of them. Its base is
+    corrected for the rates at which the classes were drawn, so scores refer to the shares of all labelled documents.
 
     Null labels and ids are left out; of several labels of a document the larger counts. Without
     documents of both classes every text scores the smoothed share of label 1.
     """
     sample = label_sample(labels, column, class_rows).toArrow()  # bounded by 2 x class_rows
     label = sample.column("label").to_numpy()
-    sure = float(np.log((label.sum() + 1) / (len(label) - label.sum() + 1))) if len(label) else -1e-9
+    held = dict(known_labels(labels, column).groupBy("label").count().collect())
+    toxic, ordinary = held.get(1, 0), held.get(0, 0)
+    sure = float(np.log((toxic + 1) / (ordinary + 1))) if len(label) else -1e-9
+    drawn = float(np.log(min(1.0, class_rows / max(1, ordinary)) / min(1.0, class_rows / max(1, toxic))))
     if len(np.unique(label)) < 2:
         return ToxicityModel(None, np.zeros(len(FIGURES)), sure)
     known = docs.sparkSession.createDataFrame(sample)
@@ -344,7 +353,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, *, column: str = "toxic", class_r
         return ToxicityModel(None, np.zeros(len(FIGURES)), sure)
     pair = class_models(run, context, counts[:, :2] + counts[:, 2:4], backoff)
     weights, base = fit_curve(np.stack([measured.column(f).to_numpy() for f in FIGURES], axis=1), label)
-    return ToxicityModel(pair, weights, base)
+    return ToxicityModel(pair, weights, base + drawn)
 
 
 def with_score(docs: DataFrame, model: ToxicityModel, *, name: str = "score", keep_below: float | None = None) -> DataFrame:

@@ -24,13 +24,10 @@ from tidemark.llm.words import ascii_words, encoder, plain_array, strings, text_
 from tidemark.session import stage
 
 MARGINS = ("source", "lang", "topic")
-#: A category of a smaller token share is pooled with its like, so a margin has at most 1 / share + 1 categories.
-POOL_BELOW = {"source": 1 / 256, "lang": 1 / 64, "topic": 0.0}
 TOPICS = 8
 #: Texts that topic centres are fitted on, at most.
 TOPIC_ROWS = 4096
 WIDTH = 256
-POOLED = "\0pooled"
 MISSING = "\0missing"
 SEED = 17
 SHORT = 0.02
@@ -95,44 +92,54 @@ def measured(docs: DataFrame, centres: np.ndarray, vocabulary: str | None) -> Da
     return rows.mapInArrow(add, schema)
 
 
-def rake(weights: np.ndarray, targets: Sequence[np.ndarray], *, bound: float = np.inf, rounds: int = 500, tolerance: float = 1e-10) -> np.ndarray:
-    """Iterative proportional fitting of a non-negative array to one share vector per axis.
+def shares_of(at: Sequence[np.ndarray], weights: np.ndarray, sizes: Sequence[int]) -> list[np.ndarray]:
+    """Sums of the cells' weights per category of each margin."""
+    return [np.bincount(i, weights=weights, minlength=n).astype(float) for i, n in zip(at, sizes, strict=True)]
+
+
+def rake_cells(at: Sequence[np.ndarray], weights: np.ndarray, targets: Sequence[np.ndarray], *, bound: float = np.inf, rounds: int = 500, tolerance: float = 1e-10) -> np.ndarray:
+    """Iterative proportional fitting of the cells that have weight, ``at`` being their categories, to one share vector per margin.
 
     Targets of categories without weight are left out and the others scaled to 1. After each round
     cells of wanted categories stand within ``bound`` times and 1/``bound`` of their share of ``weights``.
     """
     natural = weights / max(weights.sum(), 1e-300)
-    out = natural
-    axes = range(out.ndim)
-    wanted = []
-    for k in axes:
-        held = out.sum(axis=tuple(a for a in axes if a != k)) > 0
-        wanted.append(np.where(held, targets[k], 0) / max(1e-300, float(np.where(held, targets[k], 0).sum())))
-    last = np.zeros_like(out)
-    low = natural / bound
-    for k in axes:
-        low = low * (wanted[k] > 0).reshape([-1 if a == k else 1 for a in axes])
+    out, sizes, wanted = natural, [len(t) for t in targets], []
+    for held, target in zip(shares_of(at, natural, sizes), targets, strict=True):
+        asked = np.where(held > 0, target, 0)
+        wanted.append(asked / max(1e-300, float(asked.sum())))
+    low, last = natural / bound, np.zeros_like(out)
+    for i, want in zip(at, wanted, strict=True):
+        low = low * (want > 0)[i]
     for _ in range(rounds):
         worst = 0.0
-        for k in axes:
-            now = out.sum(axis=tuple(a for a in axes if a != k))
-            worst = max(worst, float(np.abs(now - wanted[k]).max()))
-            factor = np.divide(wanted[k], now, out=np.zeros_like(now), where=now > 0)
-            out = out * factor.reshape([-1 if a == k else 1 for a in axes])
+        for i, want in zip(at, wanted, strict=True):
+            now = np.bincount(i, weights=out, minlength=len(want)).astype(float)
+            worst = max(worst, float(np.abs(now - want).max(initial=0.0)))
+            out = out * np.divide(want, now, out=np.zeros_like(now), where=now > 0)[i]
         if worst < tolerance:
             break
         if np.isfinite(bound):
             trimmed = np.clip(out, low, bound * natural)
             trimmed = trimmed / max(trimmed.sum(), 1e-300)
-            settled = np.abs(trimmed - last).max() < tolerance
+            settled = np.abs(trimmed - last).max(initial=0.0) < tolerance
             out = last = trimmed
             if settled:
                 break
     return np.clip(out, low, bound * natural) if np.isfinite(bound) else out
 
 
+def rake(weights: np.ndarray, targets: Sequence[np.ndarray], *, bound: float = np.inf, rounds: int = 500, tolerance: float = 1e-10) -> np.ndarray:
+    """``rake_cells`` of a non-negative array with an axis per margin."""
+    at, out = np.nonzero(weights > 0), np.zeros(weights.shape)
+    out[at] = rake_cells(at, weights[at], targets, bound=bound, rounds=rounds, tolerance=tolerance)
+    return out
+
+
 def chances(factor: np.ndarray, raked: np.ndarray, short: float = SHORT) -> np.ndarray:
     """Draw probabilities in proportion to ``factor``, 1 in the cells of the largest factors that hold at most ``short`` of the raked weight."""
+    if not factor.size:
+        return factor
     order = np.argsort(-factor, axis=None, kind="stable")
     beyond = np.cumsum(raked.ravel()[order])
     limit = factor.ravel()[order][min(int(np.searchsorted(beyond, short, "right")), len(order) - 1)]
@@ -141,9 +148,10 @@ def chances(factor: np.ndarray, raked: np.ndarray, short: float = SHORT) -> np.n
 
 @dataclass
 class Mixture:
-    """Categories per margin, natural and raked token shares, and the draw probability of each cell."""
+    """Categories per margin; per cell with tokens its place in each, natural and raked token share, and draw probability."""
 
     names: list[list[str]]
+    at: list[np.ndarray]
     natural: np.ndarray
     raked: np.ndarray
     chance: np.ndarray
@@ -160,40 +168,32 @@ def fit_mixture(rows: DataFrame, targets: Mapping[str, Mapping[str, float] | flo
     A target is a share per category, or an exponent t: shares in proportion to natural ones to the power t. Missing
     categories of a share table get nothing. Nulls are a category of their own.
     """
-    cells = stage(rows.groupBy(*[_key(m).alias(m) for m in MARGINS]).agg(F.sum("_mix_tokens").cast("double").alias("tokens")), "cells")
-    total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0.0))).first()[0]
-    names, pooled = [], cells
+    tokens = F.sum("_mix_tokens").cast("double").alias("tokens")
+    cells = rows.groupBy(*[_key(m).alias(m) for m in MARGINS]).agg(tokens).where("tokens > 0").toArrow()  # a row per source, language and topic that meet
+    weights, names, at = cells.column("tokens").to_numpy(), [], []
     for m in MARGINS:
-        large = cells.groupBy(m).agg(F.sum("tokens").alias("t")).where(F.col("t") >= POOL_BELOW[m] * total)
-        held = sorted(r[0] for r in large.select(m).collect())  # at most 1 / POOL_BELOW
-        names.append([*held, POOLED])
-        pooled = pooled.withColumn(m, F.when(F.col(m).isin(held), F.col(m)).otherwise(POOLED))
-    weights = np.zeros([len(n) for n in names])
-    for r in pooled.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).collect():
-        weights[tuple(n.index(r[m]) for n, m in zip(names, MARGINS, strict=True))] = r["tokens"]
-    natural = weights / max(total, 1e-300)
+        coded = pc.dictionary_encode(plain_array(cells.column(m)))
+        names.append(coded.dictionary.to_pylist())
+        at.append(coded.indices.to_numpy())
+    natural = weights / max(weights.sum(), 1e-300)
     shares = []
-    for k, m in enumerate(MARGINS):
-        own, want = natural.sum(axis=tuple(a for a in range(3) if a != k)), targets[m]
-        if isinstance(want, Mapping):
-            shares.append(np.array([float(want.get(n, 0.0)) for n in names[k]]))
-        else:
-            shares.append(np.where(own > 0, own, 0) ** float(want) * (own > 0))
-    raked = rake(natural, shares, bound=BOUND)
+    for m, own, held in zip(MARGINS, shares_of(at, natural, [len(n) for n in names]), names, strict=True):
+        want = targets[m]
+        shares.append(np.array([float(want.get(n, 0.0)) for n in held]) if isinstance(want, Mapping) else own ** float(want))
+    raked = rake_cells(at, natural, shares, bound=BOUND)
     factor = np.divide(raked, natural, out=np.zeros_like(natural), where=natural > 0)
-    return Mixture(names, natural, raked, chances(factor, raked))
+    return Mixture(names, at, natural, raked, chances(factor, raked))
 
 
 def _chance(mixture: Mixture, rows: DataFrame) -> DataFrame:
     """``rows`` with _mix_weight (raked over natural share) and _mix_chance of their cells."""
-    spark, factor = rows.sparkSession, np.divide(mixture.raked, mixture.natural, out=np.zeros_like(mixture.natural), where=mixture.natural > 0)
-    held = [tuple(n[i] for n, i in zip(mixture.names, at, strict=True)) + (float(factor[at]), float(mixture.chance[at])) for at in np.ndindex(factor.shape) if mixture.natural[at] > 0]
-    table = spark.createDataFrame(held, "_mix_k0 string, _mix_k1 string, _mix_k2 string, _mix_weight double, _mix_chance double")
-    out = rows
-    for k, m in enumerate(MARGINS):
-        out = out.withColumn(f"_mix_k{k}", F.when(_key(m).isin(mixture.names[k][:-1]), _key(m)).otherwise(POOLED))
-    # Cells are bounded by the categories of POOL_BELOW and TOPICS. Cells without tokens hold only texts without tokens: none is drawn away.
-    joined = out.join(F.broadcast(table), [f"_mix_k{k}" for k in range(3)], "left").drop(*[f"_mix_k{k}" for k in range(3)])
+    factor = np.divide(mixture.raked, mixture.natural, out=np.zeros_like(mixture.natural), where=mixture.natural > 0)
+    keys = [pa.array(n, pa.string()).take(pa.array(i)) for n, i in zip(mixture.names, mixture.at, strict=True)]
+    held = pa.table([*keys, pa.array(factor), pa.array(mixture.chance)], names=["_mix_k0", "_mix_k1", "_mix_k2", "_mix_weight", "_mix_chance"])
+    table = rows.sparkSession.createDataFrame(held)
+    out = rows.withColumns({f"_mix_k{k}": _key(m) for k, m in enumerate(MARGINS)})
+    # Cells without tokens hold only texts without tokens: none is drawn away.
+    joined = out.join(table, [f"_mix_k{k}" for k in range(3)], "left").drop(*[f"_mix_k{k}" for k in range(3)])
     return joined.withColumns({"_mix_weight": F.coalesce("_mix_weight", F.lit(1.0)), "_mix_chance": F.coalesce("_mix_chance", F.lit(1.0))})
 
 

@@ -30,3 +30,17 @@ def test_small_sources_are_raked_by_themselves(spark):
     got, _ = mixing.with_chances(docs, {"source": 0.0, "lang": 1.0, "topic": 1.0}, topics=1)
     share = expected_shares(got.collect(), "source")
     assert len(share) == 300 and max(share.values()) == pytest.approx(1 / 300, rel=0.01) and min(share.values()) == pytest.approx(1 / 300, rel=0.01)
+
+
+@pytest.mark.parametrize("lang", [1.0, {"en": 0.5, "de": 0.5}])
+def test_targets_far_from_the_natural_shares_are_met(spark, lang):
+    """5 % to 25 % and 60 % to 10 %: no fixed multiple of the natural share stands in the way."""
+    source = lambda k: "rare" if k % 20 == 0 else "common" if k % 20 < 13 else "other"
+    docs = spark.createDataFrame([(k, prose(1, 80), "de" if k % 3 else "en", source(k)) for k in range(1200)], "doc_id long, text string, lang string, source string")
+    targets = {"source": {"rare": 0.25, "common": 0.1, "other": 0.65}, "lang": lang, "topic": 1.0}
+    got, mixture = mixing.with_chances(docs, targets, topics=1)
+    share = expected_shares(got.collect(), "source")
+    for name, want in targets["source"].items():
+        assert share[name] == pytest.approx(want, abs=0.005)
+        at = mixture.names[0].index(name)
+        assert mixture.wanted[0][at] == pytest.approx(want) and mixture.reached[0][at] == pytest.approx(share[name])

@@ -31,9 +31,11 @@ WIDTH = 256
 MISSING = "\0missing"
 SEED = 17
 SHORT = 0.02
-#: No cell's weight is raised beyond this multiple, or lowered below its inverse. Margins that the cells cannot carry together (a topic
-#: of one language alone) are met as far as this allows, where plain fitting would blow up a few odd documents.
+#: Where margins contradict each other, no cell is raised beyond this multiple, or lowered below its inverse, of what the ratios of its own
+#: categories ask for. Margins given by an exponent give way then (a topic of one language alone), share tables do not.
 BOUND = 3.0
+#: Largest difference of a reached from a wanted share at which margins count as met together.
+MET = 1e-4
 
 
 def profiles(texts: pa.Array) -> np.ndarray:
@@ -97,18 +99,22 @@ def shares_of(at: Sequence[np.ndarray], weights: np.ndarray, sizes: Sequence[int
     return [np.bincount(i, weights=weights, minlength=n).astype(float) for i, n in zip(at, sizes, strict=True)]
 
 
-def rake_cells(at: Sequence[np.ndarray], weights: np.ndarray, targets: Sequence[np.ndarray], *, bound: float = np.inf, rounds: int = 500, tolerance: float = 1e-10) -> np.ndarray:
+def wanted_shares(at: Sequence[np.ndarray], weights: np.ndarray, targets: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """The targets of categories that have weight, scaled to 1 a margin."""
+    asked = [np.where(held > 0, t, 0) for held, t in zip(shares_of(at, weights, [len(t) for t in targets]), targets, strict=True)]
+    return [a / max(1e-300, float(a.sum())) for a in asked]
+
+
+def rake_cells(at: Sequence[np.ndarray], weights: np.ndarray, targets: Sequence[np.ndarray], *, bound: float = np.inf, around: np.ndarray | None = None, rounds: int = 500, tolerance: float = 1e-10) -> np.ndarray:
     """Iterative proportional fitting of the cells that have weight, ``at`` being their categories, to one share vector per margin.
 
     Targets of categories without weight are left out and the others scaled to 1. After each round
-    cells of wanted categories stand within ``bound`` times and 1/``bound`` of their share of ``weights``.
+    cells of wanted categories stand within ``bound`` times and 1/``bound`` of ``around``, by default their share of ``weights``.
     """
     natural = weights / max(weights.sum(), 1e-300)
-    out, sizes, wanted = natural, [len(t) for t in targets], []
-    for held, target in zip(shares_of(at, natural, sizes), targets, strict=True):
-        asked = np.where(held > 0, target, 0)
-        wanted.append(asked / max(1e-300, float(asked.sum())))
-    low, last = natural / bound, np.zeros_like(out)
+    out, wanted = natural, wanted_shares(at, natural, targets)
+    around = natural if around is None else around
+    low, last = around / bound, np.zeros_like(out)
     for i, want in zip(at, wanted, strict=True):
         low = low * (want > 0)[i]
     for _ in range(rounds):
@@ -120,13 +126,41 @@ def rake_cells(at: Sequence[np.ndarray], weights: np.ndarray, targets: Sequence[
         if worst < tolerance:
             break
         if np.isfinite(bound):
-            trimmed = np.clip(out, low, bound * natural)
+            trimmed = np.clip(out, low, bound * around)
             trimmed = trimmed / max(trimmed.sum(), 1e-300)
             settled = np.abs(trimmed - last).max(initial=0.0) < tolerance
             out = last = trimmed
             if settled:
                 break
-    return np.clip(out, low, bound * natural) if np.isfinite(bound) else out
+    return np.clip(out, low, bound * around) if np.isfinite(bound) else out
+
+
+def residual(at: Sequence[np.ndarray], raked: np.ndarray, wanted: Sequence[np.ndarray]) -> float:
+    """Largest difference of a reached from a wanted share."""
+    reached = shares_of(at, raked / max(raked.sum(), 1e-300), [len(w) for w in wanted])
+    return max(float(np.abs(r - w).max(initial=0.0)) for r, w in zip(reached, wanted, strict=True))
+
+
+def rake_or_relax(at: Sequence[np.ndarray], weights: np.ndarray, targets: Sequence[np.ndarray], soft: Sequence[bool], short: float = SHORT) -> np.ndarray:
+    """Unbounded raking where it meets all margins, else with the ``soft`` margins relaxed and the others raked to the end.
+
+    Without soft margins it is unbounded raking whatever that reaches. Soft margins also give way where meeting them
+    would blow up a few odd cells: cells of at most ``short`` of the raked weight aside, one stands beyond BOUND times
+    what the ratios of its categories ask for.
+    """
+    natural = weights / max(weights.sum(), 1e-300)
+    plain, wanted = rake_cells(at, natural, targets), wanted_shares(at, natural, targets)
+    if not any(soft) or not len(natural):
+        return plain
+    around = natural
+    for i, want, own in zip(at, wanted, shares_of(at, natural, [len(t) for t in targets]), strict=True):
+        around = around * np.divide(want, own, out=np.zeros_like(own), where=own > 0)[i]
+    odd = float(plain[plain > BOUND * around].sum())
+    if residual(at, plain, wanted) <= MET and odd <= short:
+        return plain
+    out = rake_cells(at, natural, targets, bound=BOUND, around=around)
+    firm = [k for k in range(len(at)) if not soft[k]]
+    return rake_cells([at[k] for k in firm], out, [targets[k] for k in firm]) if firm else out / max(out.sum(), 1e-300)
 
 
 def rake(weights: np.ndarray, targets: Sequence[np.ndarray], *, bound: float = np.inf, rounds: int = 500, tolerance: float = 1e-10) -> np.ndarray:
@@ -148,13 +182,18 @@ def chances(factor: np.ndarray, raked: np.ndarray, short: float = SHORT) -> np.n
 
 @dataclass
 class Mixture:
-    """Categories per margin; per cell with tokens its place in each, natural and raked token share, and draw probability."""
+    """Categories per margin with wanted and reached shares; per cell with tokens its place in each, natural and raked token share, and draw probability.
+
+    ``reached`` are the shares of the expected sample, so they also show what cells taken whole fall short of.
+    """
 
     names: list[list[str]]
     at: list[np.ndarray]
     natural: np.ndarray
     raked: np.ndarray
     chance: np.ndarray
+    wanted: list[np.ndarray]
+    reached: list[np.ndarray]
 
 
 def _key(margin: str) -> Column:
@@ -166,7 +205,8 @@ def fit_mixture(rows: DataFrame, targets: Mapping[str, Mapping[str, float] | flo
     """Rake the cells of measured rows (a stored table) to the targets.
 
     A target is a share per category, or an exponent t: shares in proportion to natural ones to the power t. Missing
-    categories of a share table get nothing. Nulls are a category of their own.
+    categories of a share table get nothing. Nulls are a category of their own. Margins of exponents give way where
+    not all can be met; share tables do not.
     """
     tokens = F.sum("_mix_tokens").cast("double").alias("tokens")
     cells = rows.groupBy(*[_key(m).alias(m) for m in MARGINS]).agg(tokens).where("tokens > 0").toArrow()  # a row per source, language and topic that meet
@@ -180,9 +220,12 @@ def fit_mixture(rows: DataFrame, targets: Mapping[str, Mapping[str, float] | flo
     for m, own, held in zip(MARGINS, shares_of(at, natural, [len(n) for n in names]), names, strict=True):
         want = targets[m]
         shares.append(np.array([float(want.get(n, 0.0)) for n in held]) if isinstance(want, Mapping) else own ** float(want))
-    raked = rake_cells(at, natural, shares, bound=BOUND)
+    raked = rake_or_relax(at, natural, shares, [not isinstance(targets[m], Mapping) for m in MARGINS])
     factor = np.divide(raked, natural, out=np.zeros_like(natural), where=natural > 0)
-    return Mixture(names, at, natural, raked, chances(factor, raked))
+    chance = chances(factor, raked)
+    drawn = natural * chance
+    reached = shares_of(at, drawn / max(drawn.sum(), 1e-300), [len(n) for n in names])
+    return Mixture(names, at, natural, raked, chance, wanted_shares(at, natural, shares), reached)
 
 
 def _chance(mixture: Mixture, rows: DataFrame) -> DataFrame:

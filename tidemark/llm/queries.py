@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import binary_tokens, mixing, neighbours, packing, quality_model, quality_rules, sharding, simhash, token_counts, toxicity
+from tidemark.llm import (
+    binary_tokens, hard_negatives, licenses, mixing, neighbours, packing, quality_model, quality_rules, resampling, sharding, simhash, token_counts, toxicity,
+)
 from tidemark.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,14 +93,56 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hard_negatives.mined(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.with_licenses(docs).select("doc_id", *licenses.COLUMNS.names)
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
             op1_best_fit_packing, op2_token_counts, op3_neighbours, op4_quality_model, op5_binary_tokens, op6_quality_rules, op7_simhash, op8_sharding, op9_toxicity, op10_mixing,
+            op11_hard_negatives, op12_resampling, op13_licenses,
         )
     }
 
 
+#: Every anchor against every row, in whole numbers that doubles hold exactly.
+OP11_SQL = """
+WITH usable AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.vec, b.vec) AS BIGINT) AS score
+    FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.vec) = len(b.vec)
+    WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, other AS positive_id, score AS positive_score FROM pairs WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+), ranked AS (
+    SELECT p.anchor_id, positive_id, other AS negative_id, positive_score, score AS negative_score,
+           CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank
+    FROM positives p JOIN pairs n ON p.anchor_id = n.anchor_id AND NOT n.same
+    WHERE 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_hard_negatives": OP11_SQL}

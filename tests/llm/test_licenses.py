@@ -48,7 +48,7 @@ def plain(wording, fill="some name"):
 def without_optional(wording):
     while (cut := re.sub(r"<<beginOptional>>(?:(?!<<beginOptional>>).)*?<<endOptional>>", "", wording, flags=re.S)) != wording:
         wording = cut
-    return re.sub(r"<<var[^>]*>>", "name", wording)
+    return re.sub(r"<<var[^>]*>>", "anything", wording)
 
 
 def licence_texts():
@@ -76,7 +76,7 @@ def test_every_wording_accepts_itself_and_no_changed_mandatory_word():
         short = words(without_optional(wording))
         for k in range(len(short)):
             changed = " ".join([*short[:k], "wrong", *short[k + 1 :]])
-            assert bool(spans_of(scan, changed)) == (short[k] == "name"), (label, changed)
+            assert bool(spans_of(scan, changed)) == (short[k] == "anything"), (label, changed)
 
 
 @pytest.mark.parametrize("wording", ["<<var;name=x;match=0,3>> licensed", "", "<<beginOptional>>all<<endOptional>>", "a <<beginOptional>> b"])

@@ -254,6 +254,12 @@ def with_chances(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | fl
 
 
 def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float], *, vocabulary: str | None = None, topics: int = TOPICS) -> DataFrame:
-    """The sampled documents, with the columns of ``docs``."""
-    rows, _ = with_chances(docs, targets, vocabulary=vocabulary, topics=topics)
-    return rows.where("_mix_draw < _mix_chance").select(docs.columns)
+    """The sampled documents, with the columns of ``docs``.
+
+    Nulls, repeated rows and empty tables as in ``with_chances``. Further columns may have any names: those
+    that begin with ``_mix_`` stand aside under other names meanwhile.
+    """
+    aside = {c: f"_kept{k}_{c}" for k, c in enumerate(docs.columns) if c.lower().startswith("_mix_")}
+    rows, _ = with_chances(docs.withColumnsRenamed(aside), targets, vocabulary=vocabulary, topics=topics)
+    kept = rows.where("_mix_draw < _mix_chance").select([aside.get(c, c) for c in docs.columns])
+    return kept.withColumnsRenamed({v: k for k, v in aside.items()})

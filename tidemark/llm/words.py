@@ -22,6 +22,21 @@ SLICE_BYTES = 6 << 20
 CACHE_PIECES = 300_000
 
 
+#: Bytes of an Arrow batch on its way to a task's Python worker and back.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark) -> None:
+    """Let the session hand texts to Python in batches of BATCH_BYTES, if its own are larger.
+
+    A batch is held several times over, by the JVM, the worker and the results, for every task that runs.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).rstrip("b"))
+    if now < 0 or now > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes each, one row at least."""
     ends = np.cumsum(np.maximum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 1))

@@ -1,4 +1,5 @@
 import collections
+import random
 
 import pytest
 
@@ -44,3 +45,36 @@ def test_targets_far_from_the_natural_shares_are_met(spark, lang):
         assert share[name] == pytest.approx(want, abs=0.005)
         at = mixture.names[0].index(name)
         assert mixture.wanted[0][at] == pytest.approx(want) and mixture.reached[0][at] == pytest.approx(share[name])
+
+
+def topical(k, topic, words=120):
+    """A text of a topic's own forty words."""
+    rng = random.Random(k)
+    return " ".join(f"t{topic}w{rng.randrange(40)}" for _ in range(words))
+
+
+def test_topics_come_from_all_distinct_texts_with_one_vote_each(spark):
+    """Thousands of copies of one text pull no centre away, and a topic of 1 in 40 texts gets one of its own."""
+    rows = [(k, topical(k, k % 3), "en", "s") for k in range(800)] + [(5000 + k, topical(90_000, 0), "en", "s") for k in range(2000)]
+    rows += [(9000 + k, topical(7000 + k, "rare"), "en", "s") for k in range(20)] + [(9900, None, "en", "s"), (9901, "", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    got, _ = mixing.with_chances(docs, {"source": 1.0, "lang": 1.0, "topic": 1.0}, topics=4)
+    found = collections.defaultdict(set)
+    for r in got.collect():
+        if r.text:
+            found["rare" if "trare" in r.text else r.text[:2]].add(r["_mix_topic"])
+    assert len(found) == 4 and all(len(t) == 1 for t in found.values())
+    assert len(set.union(*found.values())) == 4
+
+
+def test_centres_do_not_depend_on_partitions(spark):
+    rows = [(k, topical(k, k % 5, 30), "en", "s") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    one, many = (mixing.with_chances(docs.repartition(n), {"source": 1.0, "lang": 1.0, "topic": 1.0}, topics=5)[0].collect() for n in (1, 7))
+    assert {r.doc_id: r["_mix_topic"] for r in one} == {r.doc_id: r["_mix_topic"] for r in many}
+
+
+def test_columns_that_begin_with_mix_stay(spark):
+    docs = spark.createDataFrame([(k, prose(k, 30), "en", "s", k, "x") for k in range(30)], "doc_id long, text string, lang string, source string, _mix_tokens long, _MIX_topic string")
+    kept = mixing.mixed(docs, {"source": 1.0, "lang": 1.0, "topic": 1.0}, topics=2)
+    assert kept.columns == docs.columns and all(r["_mix_tokens"] == r.doc_id and r["_MIX_topic"] == "x" for r in kept.collect()) and kept.count() > 10

@@ -14,19 +14,22 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.words import ascii_words, encoder, plain_array, strings, text_slices
+from tidemark.llm.words import Coded, ascii_words, encoder, plain_array, strings, text_slices
 from tidemark.session import stage
 
 MARGINS = ("source", "lang", "topic")
 TOPICS = 8
-#: Texts that topic centres are fitted on, at most.
-TOPIC_ROWS = 4096
+#: Passes over all distinct texts that draw starting rows, each so many times the topics, and rounds that move the centres.
+SEEDINGS, DRAWN, ROUNDS = 3, 2, 6
+#: Rounds end when no centre turns by more than this (1 - cosine).
+STILL = 1e-4
 WIDTH = 256
 MISSING = "\0missing"
 SEED = 17
@@ -38,62 +41,142 @@ BOUND = 3.0
 MET = 1e-4
 
 
-def profiles(texts: pa.Array) -> np.ndarray:
-    """A unit row per text of its words' square-rooted counts, words hashed to WIDTH places; zeros without words."""
-    coded = ascii_words(texts)
+def profiles(coded: Coded, n: int) -> np.ndarray:
+    """A unit row for each of n texts of its words' square-rooted counts, words hashed to WIDTH places; zeros without words."""
     place = np.array([zlib.crc32(w.lower().strip(".,;:!?").encode()) % WIDTH for w in strings(coded.distinct)], np.int64)
-    n = len(texts)
     if not len(coded.codes):
         return np.zeros((n, WIDTH))
     counts = np.sqrt(np.bincount(coded.owner() * WIDTH + place[coded.codes], minlength=n * WIDTH).reshape(n, WIDTH).astype(np.float64))
     return counts / np.maximum(np.sqrt((counts * counts).sum(axis=1)), 1e-12)[:, None]
 
 
-def fit_centres(rows: np.ndarray, topics: int = TOPICS, rounds: int = 15) -> np.ndarray:
-    """Spherical k-means; starting rows are drawn in proportion to their distance from those drawn before."""
-    if not len(rows):
-        return np.zeros((1, WIDTH))
-    rng = np.random.default_rng(SEED)
-    centres = rows[[int(rng.integers(len(rows)))]]
-    while len(centres) < topics:
-        far = np.maximum(1 - (rows @ centres.T).max(axis=1), 0) + 1e-12
-        centres = np.vstack([centres, rows[rng.choice(len(rows), p=far / far.sum())]])
-    for _ in range(rounds):
-        at = (rows @ centres.T).argmax(axis=1)
-        for k in range(len(centres)):
-            if (at == k).any():
-                mean = rows[at == k].mean(axis=0)
-                centres[k] = mean / max(1e-12, np.sqrt((mean * mean).sum()))
-    return centres
+def _packed(rows: np.ndarray) -> np.ndarray:
+    """Profiles as bytes."""
+    return np.rint(255 * rows).astype(np.uint8)
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """A unit row per packed profile; zeros for a text without words."""
+    rows = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDTH).astype(np.float32)
+    return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1)), 1e-6)[:, None]
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1)), 1e-12)[:, None]
+
+
+def reduced(rows: np.ndarray, weights: np.ndarray, topics: int, tries: int = 16) -> np.ndarray:
+    """At most ``topics`` centres of some weighted unit rows: the best of some tries of spherical k-means from starts far apart."""
+    rng, best = np.random.default_rng(SEED), (np.inf, rows[:1])
+    for _ in range(tries):
+        centres = rows[[int(rng.choice(len(rows), p=weights / weights.sum()))]]
+        while len(centres) < min(topics, len(rows)):
+            far = np.maximum(1 - (rows @ centres.T).max(axis=1), 0) * weights
+            if far.sum() <= 1e-9 * weights.sum():
+                break
+            centres = np.vstack([centres, rows[rng.choice(len(rows), p=far / far.sum())]])
+        for _ in range(10):
+            at = (rows @ centres.T).argmax(axis=1)
+            sums = np.stack([(rows * weights[:, None])[at == k].sum(axis=0) for k in range(len(centres))])
+            centres = np.where((sums != 0).any(axis=1)[:, None], _unit(sums), centres)
+        loss = float(((1 - (rows @ centres.T).max(axis=1)) * weights).sum())
+        best = min(best, (loss, centres), key=lambda b: b[0])
+    return best[1]
+
+
+def _sums(texts: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of the profiles nearest to each centre, their number), added up by Spark: WIDTH + 1 numbers a centre reach the driver."""
+    centres, k = centres.astype(np.float32), len(centres)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, WIDTH + 1))
+        for batch in batches:
+            rows = _unpacked(batch.column(0))
+            near = np.zeros((len(rows), k), np.float32)
+            near[np.arange(len(rows)), (rows @ centres.T).argmax(axis=1)] = rows.any(axis=1)
+            total += np.column_stack([near.T @ rows, near.sum(axis=0)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], names=["at", "value"])
+
+    out = np.zeros(k * (WIDTH + 1))
+    for at, value in texts.select("profile").mapInArrow(add, "at int, value double").groupBy("at").agg(F.sum("value")).collect():
+        out[at] = value
+    out = out.reshape(k, WIDTH + 1)
+    return out[:, :WIDTH], out[:, WIDTH]
 
 
-def topic_centres(docs: DataFrame, topics: int = TOPICS, rows: int = TOPIC_ROWS) -> np.ndarray:
-    """Centres fitted on about ``rows`` / 2 texts, ``rows`` at most, drawn by hash of doc_id and text."""
-    n = docs.count()
-    picked = F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(1 << 30))
-    some = docs.select("text", picked.alias("_at")).where(F.col("_at") < int(min(1.0, rows / 2 / max(1, n)) * (1 << 30))).orderBy("_at", "text").limit(rows)
-    texts = some.select("text").toArrow().column("text")
-    return fit_centres(profiles(plain_array(texts)), topics)
+def _far_rows(texts: DataFrame, centres: np.ndarray, rows: int, seed: int) -> np.ndarray:
+    """So many profiles, drawn from all texts in proportion to their distance from the centres (all alike if there are none)."""
+    centres = centres.astype(np.float32)
+
+    def race(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = _unpacked(batch.column(0))
+            far = np.maximum(1 - (own @ centres.T).max(axis=1), 0) if len(centres) else np.ones(len(own))
+            far = np.where(own.any(axis=1), far, 0)
+            with np.errstate(divide="ignore"):
+                lot = -np.log(batch.column(1).to_numpy()) / far  # exponential race: the smallest lots are a draw in proportion
+            held = np.flatnonzero(np.isfinite(lot))
+            held = held[np.argsort(lot[held], kind="stable")[:rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(lot[held]), batch.column(0).take(pa.array(held))], names=["lot", "profile"])
+
+    chance = (F.shiftrightunsigned(F.xxhash64("key", F.lit(seed)), 11) + 1) / float(1 << 53)
+    found = texts.select("profile", chance.alias("u")).mapInArrow(race, "lot double, profile binary")
+    table = found.orderBy("lot", "profile").limit(rows).toArrow()
+    return _unpacked(plain_array(table.column("profile"))) if table.num_rows else np.zeros((0, WIDTH), np.float32)
+
+
+def topic_centres(texts: DataFrame, topics: int = TOPICS) -> np.ndarray:
+    """Centres of spherical k-means over all distinct texts, (key, profile) as a stored table, one vote each.
+
+    Starting rows are drawn from all texts in a few passes, far ones more likely, weighed by the texts nearest to
+    them and reduced to ``topics``; every round then moves the centres to the mean of all texts nearest to them.
+    """
+    drawn = np.zeros((0, WIDTH), np.float32)
+    for k in range(SEEDINGS):
+        drawn = np.vstack([drawn, _far_rows(texts, drawn, DRAWN * topics if k else 1, k)])
+    if not len(drawn):
+        return np.zeros((1, WIDTH))
+    centres = reduced(drawn.astype(np.float64), np.maximum(_sums(texts, drawn)[1], 1e-3), topics)
+    for _ in range(ROUNDS):
+        sums, held = _sums(texts, centres)
+        moved = np.where(held[:, None] > 0, _unit(sums), centres)
+        turned = 1 - (moved * centres).sum(axis=1)
+        centres = moved
+        if turned.max() < STILL:
+            break
+    return centres
 
 
-def measured(docs: DataFrame, centres: np.ndarray, vocabulary: str | None) -> DataFrame:
-    """All columns of ``docs`` with _mix_tokens (encoded length, or words without a vocabulary), _mix_topic and _mix_draw."""
-    rows = docs.withColumn("_mix_draw", F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(SEED)), 11) / float(1 << 53))
+def measured(docs: DataFrame, vocabulary: str | None) -> DataFrame:
+    """All columns of ``docs`` with _mix_tokens (encoded length, or words without a vocabulary), _mix_profile, _mix_key (a hash of the text) and _mix_draw."""
+    rows = docs.withColumn("_mix_draw", F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(SEED)), 11) / float(1 << 53)).withColumn("_mix_key", F.xxhash64("text"))
     at = rows.columns.index("text")
-    schema = T.StructType([*rows.schema.fields, T.StructField("_mix_tokens", T.LongType()), T.StructField("_mix_topic", T.IntegerType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField("_mix_tokens", T.LongType()), T.StructField("_mix_profile", T.BinaryType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in text_slices(batch.column(at)):
                 own = batch.slice(a, b - a)
                 texts = pc.fill_null(plain_array(own.column(at)), "")
-                tokens = np.diff(encoder(vocabulary).encode(texts)[0]) if vocabulary else ascii_words(texts).counts
-                topic = (profiles(texts) @ centres.T).argmax(axis=1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(tokens.astype(np.int64)), pa.array(topic)], names=[*own.schema.names, "_mix_tokens", "_mix_topic"])
+                coded = ascii_words(texts)
+                tokens = np.diff(encoder(vocabulary).encode(texts, coded)[0]) if vocabulary else coded.counts
+                packed = [row.tobytes() for row in _packed(profiles(coded, len(texts)))]
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(tokens.astype(np.int64)), pa.array(packed, pa.binary())], names=[*own.schema.names, "_mix_tokens", "_mix_profile"])
 
     return rows.mapInArrow(add, schema)
 
 
+def nearest_topic(profile: Column, centres: np.ndarray) -> Column:
+    """The centre nearest to each packed profile; only the profiles go to Python."""
+    centres = centres.astype(np.float32)
+
+    @F.pandas_udf(T.IntegerType())
+    def near(packed: pd.Series) -> pd.Series:
+        return pd.Series((_unpacked(pa.array(packed, pa.binary())) @ centres.T).argmax(axis=1).astype(np.int32))
+
+    return near(profile)
+
+
 def shares_of(at: Sequence[np.ndarray], weights: np.ndarray, sizes: Sequence[int]) -> list[np.ndarray]:
     """Sums of the cells' weights per category of each margin."""
     return [np.bincount(i, weights=weights, minlength=n).astype(float) for i, n in zip(at, sizes, strict=True)]
@@ -163,13 +246,6 @@ def rake_or_relax(at: Sequence[np.ndarray], weights: np.ndarray, targets: Sequen
     return rake_cells([at[k] for k in firm], out, [targets[k] for k in firm]) if firm else out / max(out.sum(), 1e-300)
 
 
-def rake(weights: np.ndarray, targets: Sequence[np.ndarray], *, bound: float = np.inf, rounds: int = 500, tolerance: float = 1e-10) -> np.ndarray:
-    """``rake_cells`` of a non-negative array with an axis per margin."""
-    at, out = np.nonzero(weights > 0), np.zeros(weights.shape)
-    out[at] = rake_cells(at, weights[at], targets, bound=bound, rounds=rounds, tolerance=tolerance)
-    return out
-
-
 def chances(factor: np.ndarray, raked: np.ndarray, short: float = SHORT) -> np.ndarray:
     """Draw probabilities in proportion to ``factor``, 1 in the cells of the largest factors that hold at most ``short`` of the raked weight."""
     if not factor.size:
@@ -248,7 +324,10 @@ def with_chances(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | fl
     ``_mix_`` are replaced. A document is in the sample if its draw is below its chance.
     """
     rows = docs.drop(*[c for c in docs.columns if c.startswith("_mix_")])
-    rows = stage(measured(rows, topic_centres(rows, topics), vocabulary), "measured")
+    rows = stage(measured(rows, vocabulary), "measured")
+    texts = rows.groupBy(F.col("_mix_key").alias("key")).agg(F.first("_mix_profile").alias("profile"))
+    centres = topic_centres(stage(texts, "profiles"), topics)
+    rows = rows.withColumn("_mix_topic", nearest_topic(F.col("_mix_profile"), centres)).drop("_mix_profile", "_mix_key")
     mixture = fit_mixture(rows, targets)
     return _chance(mixture, rows), mixture
 

@@ -183,15 +183,15 @@ class Encoder:
             self.old, self.young = known, {}
         return out
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, ids): text i holds ``ids[starts[i]:starts[i + 1]]`` as unsigned 32-bit ids; null is empty."""
+    def encode(self, texts: pa.Array, words: Coded | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ids): text i holds ``ids[starts[i]:starts[i + 1]]`` as unsigned 32-bit ids; null is empty. ``words`` are its ``ascii_words`` if known."""
         texts = pc.fill_null(texts, "")
         if not len(texts):
             return np.zeros(1, np.int64), np.zeros(0, "<u4")
         if self.kind == "whole":
             return _joined(self._whole(texts.to_pylist()))
         if self.kind == "dropped":
-            coded = ascii_words(texts)
+            coded = words or ascii_words(texts)
             starts, codes, parts = coded.starts, coded.codes, self._pieces(coded.distinct)
         else:
             cut = pc.split_pattern(texts, " ")

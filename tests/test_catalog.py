@@ -53,12 +53,58 @@ def test_training_separates_what_can_be_separated(spark):
     assert neutral["ai_prob"] == 50.0 and neutral["expected_r"] is None
 
 
-def test_models_are_stored_with_their_columns(spark, tmp_path):
-    rows = [(i, float(i % 7), int(i % 7 > 3), 1.0) for i in range(70)]
-    df = spark.createDataFrame(rows, "seq bigint, a double, target int, weight double")
-    voter = tr.fit_classifier(df, ["a"], ensemble=False)
-    tr.save_models(voter, None, str(tmp_path / "m"))
-    again = tr.load_models(str(tmp_path / "m"), ("logit",))
-    a = [r["p"] for r in voter.score(df).orderBy("seq").collect()]
-    b = [r["p"] for r in again.score(df).orderBy("seq").collect()]
-    assert a == pytest.approx(b)
+def labelled(spark, n, rare=None):
+    rows = [(i, float(i % 7), float(i % 3), int(i in rare if rare else i % 7 > 3), 1.0 if i % 7 > 3 else -1.0, 1.0) for i in range(n)]
+    return spark.createDataFrame(rows, "seq bigint, a double, b double, target int, realized_r double, weight double")
+
+
+def test_models_are_stored_with_votes_columns_and_expected_r(spark, tmp_path):
+    df = labelled(spark, 90)
+    models = tr.Models(tr.fit_classifier(df, ["b", "a"], rounds=3), tr.fit_expected_r(df, ["b", "a"], rounds=3), ["b", "a"])
+    tr.save_models(models, spark, str(tmp_path / "m"))
+    again = tr.load_models(spark, str(tmp_path / "m"))
+    assert again.columns == ["b", "a"] and [m[0] for m in again.voter.members] == ["boosted", "forest"] and [m[3] for m in again.voter.members] == [0.55, 0.45]
+    keep = lambda m: [(r["ai_prob"], r["expected_r"]) for r in m.score(df.drop("b")).orderBy("seq").collect()]
+    assert keep(models) == keep(again) and len({r for r, _ in keep(again)}) > 1
+
+
+def test_folds_hold_both_classes_and_rows_are_scored_by_other_folds(spark):
+    df = labelled(spark, 66, rare={5, 30, 61})
+    scored = tr.fit_with_scores(df, ["a", "b"], ensemble=False)[1].join(df, "seq").collect()
+    assert len(scored) == 66 and all(0 <= r["p"] <= 1 for r in scored)
+    assert {(r["fold"], r["target"]) for r in scored} == {(f, y) for f in range(3) for y in (0, 1)}
+
+
+def test_too_few_rows_of_a_class_leave_the_model_uncalibrated(spark, tmp_path):
+    df = labelled(spark, 66, rare={5, 30})
+    voter, scored = tr.fit_with_scores(df, ["a", "b"], ensemble=False)
+    assert voter.members[0][2] is None and {r["p"] for r in scored.collect()} == {None}
+    tr.save_models(tr.Models(voter, None, ["a", "b"]), spark, str(tmp_path / "m"))
+    again = tr.load_models(spark, str(tmp_path / "m"))
+    assert all(5 <= r["ai_prob"] <= 95 and r["expected_r"] is None for r in again.score(df).collect())
+
+
+def test_a_failed_run_leaves_the_old_champion(spark, tmp_path, monkeypatch):
+    from tidemark.catalog import learning
+    from tidemark.plans import registry as rg
+    from tidemark.session import stage
+
+    ledger = stage(tr.in_ledger_order(learning.corpus(spark, "/root/testdata/sf0.01")))
+    assert ledger.count() >= 60
+    registry = rg.Registry(spark, str(tmp_path / "registry"))
+    assert registry.champion() is None and rg.retrain_flow(ledger.limit(5), registry, 30)["gate"] == "few_rows"
+    always = lambda *_: (True, "first")
+    monkeypatch.setattr(rg, "decision", always)
+    first = rg.retrain_flow(ledger, registry, 30, rounds=2, ensemble=False)
+    assert (first["gate"], first["run"], first["promoted"]) == ("trained", 2, True) and registry.pointer()["run"] == 2
+    before = registry.champion().score(ledger.limit(0)).columns
+
+    def broken(models, spark, path):
+        models.voter.members[0][1].write().overwrite().save(f"{path}/part")
+        raise OSError("disk gone")
+
+    monkeypatch.setattr(rg, "save_models", broken)
+    with pytest.raises(OSError):
+        rg.retrain_flow(ledger, registry, 30, rounds=2, ensemble=False)
+    assert registry.pointer()["run"] == 2 and registry.champion().score(ledger.limit(0)).columns == before and registry.runs().count() == 2
+    assert {r["run_seq"] for r in registry.importances().collect()} == {2}

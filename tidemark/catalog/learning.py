@@ -18,6 +18,7 @@ from tidemark.operators import splits as sp
 from tidemark.operators.context import open_interest_changes
 from tidemark.operators.ledger import with_symbol_form
 from tidemark.plans import corpus as cp
+from tidemark.plans import registry as rg
 from tidemark.plans import training as tr
 from tidemark.session import stage, staging_root
 from tidemark.sources.store import missing_symbols
@@ -263,17 +264,61 @@ def importance_decay(spark, sf):
     return ev.decay(runs).select("feature", rd("multiplier").alias("multiplier"), flag(F.col("dropped")).alias("dropped"))
 
 
-# ------------------------------------------------------------------ training (no SQL counterpart)
+# ------------------------------------------------------------------ training
 
+LEDGER_SQL = f"{CONTEXT_SQL}, o AS (SELECT row_number() OVER (ORDER BY t, symbol) - 1 AS n, symbol, t * 1000 AS e, tb_t * 1000 AS x, (tb_r >= 0.5)::INT AS y FROM cx)"
 
-@query("train_score")
+
+@query(
+    "train_score",
+    f"""{LEDGER_SQL} SELECT n AS seq, symbol, y AS target, CAST((row_number() OVER (PARTITION BY y ORDER BY n) - 1) % CASE WHEN count(*) OVER () >= 60 THEN 3 ELSE 2 END AS INTEGER) AS fold,
+      1 AS in_bounds FROM o""",
+)
 def train_score(spark, sf):
-    """Probability and expected R of every corpus row, from models fitted on it."""
+    """Every corpus row with the fold that its out-of-fold probability comes from; models of the other folds score it."""
     frame = stage(tr.feature_frame(tr.in_ledger_order(corpus(spark, sf)), 30), "frame")
     ready = tr.weighted(frame.withColumn("idx", F.col("seq")), None)
-    voter = tr.fit_classifier(ready, rounds=10)
-    expected = tr.fit_expected_r(ready, rounds=10)
-    return tr.score(ready, voter, expected).select("seq", "symbol", "target", "ai_prob", "expected_r")
+    scored = tr.fit_with_scores(ready, rounds=10)[1]
+    prob = tr.bounded_percent(F.col("p"))
+    return frame.join(scored, "seq").select("seq", "symbol", "target", "fold", flag(prob.between(5, 95)).alias("in_bounds"))
+
+
+@query(
+    "retrain_flow",
+    f"""{LEDGER_SQL},
+      p AS (SELECT k AS run, CASE k WHEN 1 THEN 10 WHEN 2 THEN c * 3 // 5 ELSE c END AS p FROM (SELECT count(*) AS c FROM o), range(1, 4) r(k)),
+      w AS (SELECT run, p, o.*, n - greatest(0, p - 220) AS idx, count(*) OVER (PARTITION BY run) AS size, sum(y) OVER (PARTITION BY run) AS pos FROM p JOIN o ON n < p AND n >= p - 220),
+      h AS (SELECT *, least(15, greatest(5, size // 5)) AS least_test FROM w),
+      s AS (SELECT run, idx AS split_at, e - {EMBARGO} AS cutoff FROM h WHERE size - idx BETWEEN least_test AND greatest(least_test, size // 2) AND idx >= 15),
+      v AS (SELECT s.run, split_at, count(CASE WHEN idx >= split_at THEN 1 END) AS n_test, count(CASE WHEN idx < split_at AND x <= cutoff THEN 1 END) AS n_train FROM s JOIN w ON s.run = w.run GROUP BY 1, 2
+        HAVING count(DISTINCT CASE WHEN idx >= split_at THEN y END) = 2 AND count(DISTINCT CASE WHEN idx < split_at AND x <= cutoff THEN y END) = 2 AND count(CASE WHEN idx < split_at AND x <= cutoff THEN 1 END) >= 15),
+      b AS (SELECT run, max_by(n_train, split_at) AS n_train, max_by(n_test, split_at) AS n_test FROM v GROUP BY 1),
+      g AS (SELECT p.run, p.p, max(w.size) AS size, CAST(max(w.pos) AS BIGINT) AS pos, max(b.n_train) AS n_train, max(b.n_test) AS n_test,
+        CASE WHEN p.p < 30 THEN 'few_rows' WHEN max(w.size) < 20 THEN 'few_labels' WHEN max(w.pos) IN (0, max(w.size)) THEN 'one_class' WHEN max(b.n_train) IS NULL THEN 'no_split' ELSE 'trained' END AS gate
+        FROM p LEFT JOIN w ON p.run = w.run LEFT JOIN b ON b.run = p.run GROUP BY 1, 2),
+      d AS (SELECT *, gate = 'trained' AND p - coalesce((SELECT max(p) FROM g f WHERE f.run < g.run AND f.gate = 'trained' AND f.p >= 100), 0) >= 100 AS diagnosed FROM g)
+    SELECT run, gate, p AS n_ledger, CASE WHEN gate <> 'few_rows' THEN size END AS n_window, CASE WHEN gate <> 'few_rows' THEN pos END AS n_positive, CASE WHEN gate <> 'few_rows' THEN size END AS n_backtest,
+      CASE WHEN gate = 'trained' THEN n_train END AS n_train, CASE WHEN gate = 'trained' THEN n_test END AS n_test, diagnosed::INT AS diagnosed, 1 AS decided, 1 AS pointed FROM d""",
+)
+def retrain_flow(spark, sf):
+    """Three runs over growing prefixes of the ledger into one registry: what each run logged, and whether its decision and the champion follow from the log."""
+    ledger = stage(tr.in_ledger_order(corpus(spark, sf)), "ledger")
+    n = ledger.count()
+    registry = rg.Registry(spark, f"{staging_root(spark)}/registry-{uuid.uuid4().hex}")
+    pointed = []
+    for rows in (10, n * 3 // 5, n):
+        rg.retrain_flow(ledger.where(F.col("seq") < rows), registry, 30, rounds=5)
+        at = registry.pointer()
+        pointed.append((len(pointed) + 1, at["run"] if at else None))
+    runs = registry.runs()
+    side = lambda name, c: F.col(f"{name}.{c}")
+    pairs = runs.select("run", "promoted", *[side(m, a).alias(f"{s}_{b}") for m, s in (("challenger", "chal"), ("champion", "champ")) for a, b in (("ev_r", "ev"), ("precision_lift", "lift"), ("auc", "auc"))])
+    right = ev.promotion(pairs).select("run", flag((F.col("promote") & F.col("chal_auc").isNotNull()) == F.col("promoted")).alias("decided"))
+    upto = runs.select("run", "promoted").alias("a").join(runs.select(F.col("run").alias("was"), F.col("promoted").alias("won")), F.expr("won AND was <= run"), "left").groupBy("run").agg(F.max("was").alias("best"))
+    seen = spark.createDataFrame(pointed, "run bigint, champion_run bigint").join(upto, "run").select("run", flag(F.col("champion_run").eqNullSafe(F.col("best"))).alias("pointed"))
+    return runs.join(right, "run").join(seen, "run").select(
+        "run", "gate", "n_ledger", "n_window", "n_positive", "n_backtest", "n_train", "n_test", flag(F.col("diagnosed")).alias("diagnosed"), "decided", "pointed"
+    )
 
 
 @query("walk_forward_metrics")

@@ -9,16 +9,16 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.economics import label_r, realized_r, tidy
 from tidemark.functions.features import MODEL_FEATURES, with_features
 from tidemark.functions.times import exit_millis
 from tidemark.operators.blocks import with_seq
-from tidemark.operators.evaluation import decay, evaluate, promotion
-from tidemark.operators.ledger import is_closed, last_rows, with_context
-from tidemark.operators.splits import purged_folds, purged_holdout, recency_weight, source_weight, with_index
+from tidemark.operators.evaluation import evaluate
+from tidemark.operators.ledger import is_closed, with_context
+from tidemark.operators.splits import purged_folds, recency_weight, source_weight, with_index
 from tidemark.params import Execution
 from tidemark.session import stage
 
@@ -64,13 +64,15 @@ def feature_frame(ledger: DataFrame, tf_minutes: int, win_r: float = Execution.w
 class Voter:
     """Calibrated models and their votes; scoring is ``transform`` all the way."""
 
-    members: list[tuple[str, PipelineModel, PipelineModel, float]]
+    members: list[tuple[str, PipelineModel, PipelineModel | None, float]]
 
     def score(self, df: DataFrame, out: str = "p") -> DataFrame:
         total = F.lit(0.0)
         for name, model, platt, vote in self.members:
-            df = model.transform(df).withColumn("_m", F.array(_margin()))
-            df = platt.transform(df.withColumn("_margin", F.col("_m")[0]).drop(*_TEMP, "_m"))
+            df = model.transform(df)
+            if platt is not None:
+                df = df.withColumn("_m", F.array(_margin()))
+                df = platt.transform(df.withColumn("_margin", F.col("_m")[0]).drop(*_TEMP, "_m"))
             df = df.withColumn(f"_{name}", vector_to_array("probability")[1]).drop(*_TEMP, "_margin", "_cal")
             total = total + F.col(f"_{name}") * vote
         return df.withColumn(out, total).drop(*[f"_{n}" for n, *_ in self.members])
@@ -106,30 +108,48 @@ def _balanced(train: DataFrame) -> DataFrame:
     return train.withColumn("_w", F.col("weight") * share)
 
 
-def _calibrated(stages: list, train: DataFrame, folds: int) -> tuple[PipelineModel, PipelineModel]:
-    """The model on all rows, and Platt scaling fitted on out-of-fold margins."""
+def with_fold(train: DataFrame, folds: int, order: str = "seq") -> DataFrame:
+    """``fold`` 0..folds - 1 of every row: its place within its class by ``order``, dealt in turn, so that each fold holds both classes
+    whenever each has as many rows as there are folds."""
+    placed = with_seq(train.withColumnRenamed(order, "_order"), ["target"], ["_order"], {"_chunk": F.expr("_order div 65536")}, name="_place")
+    return placed.withColumn("fold", F.pmod("_place", F.lit(folds)).cast("int")).withColumnRenamed("_order", order).drop("_place")
+
+
+def _platt(margins: DataFrame) -> PipelineModel:
+    return Pipeline(stages=[
+        VectorAssembler(inputCols=["_margin"], outputCol="_cal"),
+        LogisticRegression(featuresCol="_cal", labelCol="target", weightCol="weight"),
+    ]).fit(margins)
+
+
+def _calibrated(stages: list, train: DataFrame, folds: int) -> tuple[PipelineModel, PipelineModel | None, DataFrame | None]:
+    """The model on all rows, Platt scaling fitted on margins of models that had not seen the row, and those rows with ``_margin``.
+
+    Where a class has fewer rows than there are folds, the model stays uncalibrated and no row has a margin of its own.
+    """
     pipeline = Pipeline(stages=stages)
+    least = train.groupBy("target").count().agg(F.min("count"), F.count("*")).first()
+    if least[1] < 2 or least[0] < folds:
+        return pipeline.fit(train), None, None
     parts = []
-    for k in range(folds):
-        held = F.pmod(F.xxhash64("seq"), F.lit(folds)) == k
-        fitted = pipeline.fit(train.where(~held))
-        parts.append(fitted.transform(train.where(held)).select("target", "weight", _margin().alias("_margin")))
+    for k in range(folds):  # over folds, not rows
+        fitted = pipeline.fit(train.where(F.col("fold") != k))
+        parts.append(fitted.transform(train.where(F.col("fold") == k)).withColumn("_margin", _margin()).drop(*_TEMP))
     margins = parts[0]
     for part in parts[1:]:
         margins = margins.unionByName(part)
-    platt = Pipeline(stages=[
-        VectorAssembler(inputCols=["_margin"], outputCol="_cal"),
-        LogisticRegression(featuresCol="_cal", labelCol="target", weightCol="weight"),
-    ]).fit(margins)
-    return pipeline.fit(train), platt
+    margins = stage(margins, "margins")
+    return pipeline.fit(train), _platt(margins), margins
 
 
-def fit_classifier(train: DataFrame, columns: list[str] | None = None, *, ensemble: bool = True, rounds: int = 40,
-                   seed: int = 42) -> Voter:
-    """Logistic regression, or a boosted and a bagged forest voting 0.55 to 0.45."""
+def fit_with_scores(train: DataFrame, columns: list[str] | None = None, *, ensemble: bool = True, rounds: int = 40, seed: int = 42) -> tuple[Voter, DataFrame]:
+    """Logistic regression, or a boosted and a bagged forest voting 0.55 to 0.45, and (seq, fold, p): out-of-fold probabilities of the training rows.
+
+    Without calibration ``p`` is null, since no honest score of a training row exists then.
+    """
     columns = columns or MODEL_FEATURES
-    train = _balanced(train).cache()
     folds = 3 if train.count() >= 60 else 2
+    train = stage(with_fold(_balanced(train), folds), "train")
     common = {"featuresCol": "_features", "labelCol": "target", "weightCol": "_w"}
     if not ensemble:
         kinds = [("logit", LogisticRegression(maxIter=200, regParam=0.01, **common), 1.0)]
@@ -138,11 +158,20 @@ def fit_classifier(train: DataFrame, columns: list[str] | None = None, *, ensemb
             ("boosted", GBTClassifier(maxIter=rounds, maxDepth=5, stepSize=0.065, subsamplingRate=0.82, minInstancesPerNode=4, seed=seed, **common), VOTES[0]),
             ("forest", RandomForestClassifier(numTrees=rounds, maxDepth=6, subsamplingRate=0.82, minInstancesPerNode=4, seed=seed, **common), VOTES[1]),
         ]
-    members = []
+    members, scored = [], train.select("seq", "fold").withColumn("p", F.lit(0.0))
     for name, model, vote in kinds:
-        members.append((name, *_calibrated([_assembler(columns), model], train, folds), vote))
-    train.unpersist()
-    return Voter(members)
+        fitted, platt, margins = _calibrated([_assembler(columns), model], train, folds)
+        members.append((name, fitted, platt, vote))
+        if margins is None:
+            scored = scored.withColumn("p", F.lit(None).cast("double"))
+            continue
+        own = platt.transform(margins.select("seq", "_margin")).select("seq", (vector_to_array("probability")[1] * vote).alias("_own"))
+        scored = scored.join(own, "seq").withColumn("p", F.col("p") + F.col("_own")).drop("_own")
+    return Voter(members), scored
+
+
+def fit_classifier(train: DataFrame, columns: list[str] | None = None, **how) -> Voter:
+    return fit_with_scores(train, columns, **how)[0]
 
 
 def fit_expected_r(train: DataFrame, columns: list[str] | None = None, *, rounds: int = 40, seed: int = 42) -> PipelineModel:
@@ -151,11 +180,16 @@ def fit_expected_r(train: DataFrame, columns: list[str] | None = None, *, rounds
     return Pipeline(stages=[_assembler(columns or MODEL_FEATURES), tree]).fit(train)
 
 
+def bounded_percent(p: Column) -> Column:
+    """A probability as a percentage within 5..95."""
+    return tidy(F.greatest(F.lit(5.0), F.least(F.lit(95.0), p * 100)), 1)
+
+
 def score(df: DataFrame, voter: Voter | None, expected: PipelineModel | None = None) -> DataFrame:
     """``ai_prob`` within 5..95 (50 without a model) and ``expected_r`` (null without)."""
     if voter is not None:
         df = voter.score(df, "_p")
-        df = df.withColumn("ai_prob", tidy(F.greatest(F.lit(5.0), F.least(F.lit(95.0), F.col("_p") * 100)), 1)).drop("_p")
+        df = df.withColumn("ai_prob", bounded_percent(F.col("_p"))).drop("_p")
     else:
         df = df.withColumn("ai_prob", F.lit(50.0))
     if expected is None:
@@ -164,18 +198,45 @@ def score(df: DataFrame, voter: Voter | None, expected: PipelineModel | None = N
     return scored.withColumn("expected_r", tidy(F.col("prediction"), 3)).drop("_features", "prediction")
 
 
-def save_models(voter: Voter, expected: PipelineModel | None, path: str) -> None:
-    """Model, calibration and column list go together, one folder per member."""
-    for name, model, platt, _ in voter.members:
-        model.write().overwrite().save(f"{path}/{name}/model")
-        platt.write().overwrite().save(f"{path}/{name}/platt")
-    if expected is not None:
-        expected.write().overwrite().save(f"{path}/expected_r")
+@dataclass
+class Models:
+    """What a run publishes: the voting classifier, the regression of expected R, and the columns both read."""
+
+    voter: Voter
+    expected: PipelineModel | None
+    columns: list[str]
 
+    def fitted_columns(self, df: DataFrame) -> DataFrame:
+        """``df`` with every column the models read; absent ones and nulls are 0."""
+        have = set(df.columns)
+        return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0) for c in self.columns})
 
-def load_models(path: str, names: tuple[str, ...] = ("boosted", "forest")) -> Voter:
-    votes = (1.0,) if len(names) == 1 else VOTES
-    return Voter([(n, PipelineModel.load(f"{path}/{n}/model"), PipelineModel.load(f"{path}/{n}/platt"), v) for n, v in zip(names, votes)])
+    def score(self, df: DataFrame) -> DataFrame:
+        return score(self.fitted_columns(df), self.voter, self.expected)
+
+
+def save_models(models: Models, spark: SparkSession, path: str) -> None:
+    """Models, calibration, votes and column list under one folder; the list is written last."""
+    for name, model, platt, _ in models.voter.members:
+        model.write().overwrite().save(f"{path}/{name}/model")
+        if platt is not None:
+            platt.write().overwrite().save(f"{path}/{name}/platt")
+    if models.expected is not None:
+        models.expected.write().overwrite().save(f"{path}/expected_r")
+    members = [(k, name, vote, platt is not None) for k, (name, _, platt, vote) in enumerate(models.voter.members)]
+    spark.createDataFrame(members, "k int, name string, vote double, calibrated boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/members")
+    listed = [(models.columns, models.expected is not None)]
+    spark.createDataFrame(listed, "columns array<string>, expected boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
+
+
+def load_models(spark: SparkSession, path: str) -> Models:
+    """What ``save_models`` wrote."""
+    listed = spark.read.parquet(f"{path}/columns").first()
+    members = [
+        (m["name"], PipelineModel.load(f"{path}/{m['name']}/model"), PipelineModel.load(f"{path}/{m['name']}/platt") if m["calibrated"] else None, m["vote"])
+        for m in spark.read.parquet(f"{path}/members").orderBy("k").collect()
+    ]
+    return Models(Voter(members), PipelineModel.load(f"{path}/expected_r") if listed["expected"] else None, list(listed["columns"]))
 
 
 # ------------------------------------------------------------------ flows
@@ -208,55 +269,3 @@ def cross_validate(frame: DataFrame, folds: int = 5, embargo_ms: int = EMBARGO_M
     for part in scored[1:]:
         pred = pred.unionByName(part)
     return evaluate(stage(pred, "cv"), ["fold"])
-
-
-@dataclass
-class Retrained:
-    promoted: bool
-    reason: str
-    metrics: dict
-    voter: Voter
-    expected: PipelineModel | None
-    importances: dict[str, float]
-
-
-def retrain(ledger: DataFrame, tf_minutes: int, champion: Voter | None = None, past: DataFrame | None = None,
-            embargo_ms: int = EMBARGO_MS, **fit) -> Retrained | None:
-    """One retraining run over the newest ledger rows; None when it cannot be honest.
-
-    The window is bounded (220 rows), so its counts are single-row actions.
-    ``past`` holds earlier importances (run_seq, feature, importance); features
-    that decayed away are not trained on.
-    """
-    if ledger.limit(MIN_LEDGER).count() < MIN_LEDGER:
-        return None
-    window = stage(with_index(feature_frame(last_rows(ledger, ROLLING_ROWS), tf_minutes).withColumnRenamed("seq", "id")).withColumnRenamed("id", "seq"), "window")
-    n = window.count()
-    if n < MIN_LABELLED or window.select("target").distinct().count() < 2:
-        return None
-    parts = stage(purged_holdout(window, min(HOLDOUT_ROWS, max(5, n // 5)), embargo_ms), "holdout")
-    if parts.isEmpty():
-        return None
-    gone = [] if past is None else [r["feature"] for r in decay(past).where("dropped").select("feature").collect()]
-    columns = [c for c in MODEL_FEATURES if c not in gone]
-    train = parts.where("split = 'train'")
-    train = weighted(with_index(train.drop("idx").withColumnRenamed("seq", "id")).withColumnRenamed("id", "seq"), 60)
-    fit = {"ensemble": train.count() >= ENSEMBLE_FROM, **fit}
-    test = parts.where("split = 'test'")
-    as_pred = lambda v, d: v.score(d).select(F.col("target").alias("y"), "p", F.col("realized_r").alias("r"))
-    challenger = evaluate(as_pred(fit_classifier(train, columns, **fit), test)).first()
-    holder = evaluate(as_pred(champion, test)).first() if champion is not None else None
-    get = lambda m, k: None if m is None else m[k]
-    row = [tuple(get(m, k) for m in (challenger, holder) for k in ("ev_r", "precision_lift", "auc"))]
-    spark = ledger.sparkSession
-    schema = "chal_ev double, chal_lift double, chal_auc double, champ_ev double, champ_lift double, champ_auc double"
-    verdict = promotion(spark.createDataFrame(row, schema)).first()
-    whole = weighted(window, 60)
-    final = fit_classifier(whole, columns, **fit)
-    expected = fit_expected_r(whole.withColumn("weight", source_weight()), columns)
-    metrics = {} if challenger is None else challenger.asDict()
-    return Retrained(verdict["promote"], verdict["reason"], metrics, final, expected, final.importances())
-
-
-def diagnostics_due(closed: DataFrame, last_count: int, every: int = DIAGNOSE_EVERY) -> bool:
-    return closed.count() - last_count >= every

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from tidemark.catalog import data
 from tidemark.catalog.base import query, rd, t
 from tidemark.catalog.sqltext import rd as sql_rd
+from tidemark.params import SCALP, Portfolio
 from tidemark.streaming import bars as sb
 from tidemark.streaming import lifecycle as lc
 
 
+#: Bytes of the source that one micro-batch takes, so that state held for the watermark stays small.
+PER_TRIGGER = 256 << 20
+
+
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = data.table(spark, sf, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxBytesPerTrigger", str(PER_TRIGGER)).parquet(sf)
     return raw.select(
         F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"),
         F.col("value").alias("price"), "user_id",
@@ -68,8 +73,42 @@ def order_rows(ticks: DataFrame) -> DataFrame:
     return lc.orders_and_prices(orders, prices)
 
 
-@query("stream_lifecycle")
+_X, _COOL, _SLICE = SCALP[2], Portfolio.cooldown_minutes, 60
+_TTL, _WIDTH = int(_X.ttl_minutes * lc.MINUTE), _SLICE * lc.MINUTE
+LIFECYCLE_SQL = f"""WITH RECURSIVE raw AS (SELECT event_type AS symbol, epoch_us(ts) AS u, event_id AS id, value AS v, CASE WHEN event_id % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS side FROM events),
+  z AS (SELECT CAST(floor((max(u) - {lc.MINUTE}) / {_WIDTH}.0) AS BIGINT) * {_WIDTH} AS over FROM raw),
+  every AS (SELECT symbol, u, id * 2 AS id, 'order' AS kind, NULL::DOUBLE AS price, 'o' || id AS sid, side, 10 - side AS entry, 10 - side * 8 AS sl, 10 + side * 6 AS tp, 10 - side * 7 AS lvl FROM raw WHERE id % 25 = 0
+    UNION ALL SELECT symbol, u, id * 2 + 1, 'price', v, NULL, NULL, NULL, NULL, NULL, NULL FROM raw
+    UNION ALL SELECT DISTINCT symbol, over, NULL::BIGINT, 'end', NULL::DOUBLE, NULL, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM raw, z),
+  n AS MATERIALIZED (SELECT every.*, row_number() OVER (PARTITION BY symbol ORDER BY u, id NULLS LAST) AS k FROM every, z WHERE u < over OR kind = 'end'),
+  r AS (SELECT symbol, 0::BIGINT AS k, 0::BIGINT AS u, 0 AS status, NULL::VARCHAR AS sid, NULL::DOUBLE AS side, NULL::DOUBLE AS entry, NULL::DOUBLE AS sl, NULL::DOUBLE AS tp, NULL::DOUBLE AS lvl, 0::BIGINT AS placed,
+      NULL::DOUBLE AS anchor, 0::BIGINT AS cool, NULL::VARCHAR AS gone, 0::BIGINT AS gone_u, NULL::VARCHAR AS act, NULL::DOUBLE AS px, NULL::VARCHAR AS act_sid FROM (SELECT DISTINCT symbol FROM raw)
+    UNION ALL
+    SELECT symbol, k, u, CASE act WHEN 'placed' THEN 1 WHEN 'filled' THEN 2 WHEN 'armed' THEN 3 WHEN 'structure' THEN 0 WHEN 'expired' THEN 0 WHEN 'stop' THEN 0 WHEN 'trail' THEN 0 ELSE st END,
+      CASE act WHEN 'placed' THEN nsid ELSE sid END, CASE act WHEN 'placed' THEN nside ELSE side END, CASE act WHEN 'placed' THEN nentry ELSE entry END, CASE act WHEN 'placed' THEN nsl ELSE sl END,
+      CASE act WHEN 'placed' THEN ntp ELSE tp END, CASE act WHEN 'placed' THEN nlvl ELSE lvl END, CASE act WHEN 'placed' THEN u ELSE placed END,
+      CASE act WHEN 'armed' THEN price WHEN 'ratchet' THEN best ELSE anchor END, CASE WHEN act IN ('stop', 'trail') THEN u + {int(_COOL * lc.MINUTE)} ELSE cool END, gone, gone_u,
+      act, CASE act WHEN 'placed' THEN nentry WHEN 'busy' THEN nentry WHEN 'cooldown' THEN nentry WHEN 'filled' THEN entry WHEN 'stop' THEN sl WHEN 'trail' THEN stop ELSE price END,
+      CASE WHEN act IN ('placed', 'busy', 'cooldown') THEN nsid ELSE sid END
+    FROM (SELECT *, CASE WHEN kind = 'order' THEN CASE WHEN st <> 0 THEN 'busy' WHEN u < cool THEN 'cooldown' ELSE 'placed' END WHEN kind = 'price' THEN CASE st
+          WHEN 1 THEN CASE WHEN side * price < side * lvl THEN 'structure' WHEN side * price <= side * entry THEN 'filled' WHEN u - placed > {_TTL} THEN 'expired' END
+          WHEN 2 THEN CASE WHEN side * price <= side * sl THEN 'stop' WHEN side * (tp - entry) > 0 AND side * (price - entry) / (side * (tp - entry)) >= {_X.activation} THEN 'armed' END
+          WHEN 3 THEN CASE WHEN side * price <= side * stop THEN 'trail' ELSE 'ratchet' END END END AS act
+      FROM (SELECT *, best - side * greatest(best * {_X.trail_pct} / 100, 1.0 * {_X.trail_atr}) AS stop
+        FROM (SELECT r.symbol, n.k, n.u, n.kind, n.price, n.sid AS nsid, n.side AS nside, n.entry AS nentry, n.sl AS nsl, n.tp AS ntp, n.lvl AS nlvl, r.sid, r.side, r.entry, r.sl, r.tp, r.lvl, r.placed, r.anchor, r.cool,
+            CASE WHEN r.status = 1 AND n.u // {_WIDTH} * {_WIDTH} >= r.placed + {_TTL} THEN 0 ELSE r.status END AS st,
+            CASE WHEN r.status = 1 AND n.u // {_WIDTH} * {_WIDTH} >= r.placed + {_TTL} THEN r.sid END AS gone, r.placed + {_TTL} AS gone_u,
+            CASE WHEN r.side > 0 THEN greatest(r.anchor, n.price) ELSE least(r.anchor, n.price) END AS best FROM r JOIN n ON n.symbol = r.symbol AND n.k = r.k + 1))))
+  SELECT symbol, gone_u // 1000000 AS t, gone AS sid, 'CANCELLED' AS event, NULL::DOUBLE AS price, 'expired' AS reason FROM r WHERE gone IS NOT NULL
+  UNION ALL SELECT symbol, u // 1000000, act_sid, CASE act WHEN 'placed' THEN 'PLACED' WHEN 'busy' THEN 'REFUSED' WHEN 'cooldown' THEN 'REFUSED' WHEN 'filled' THEN 'FILLED' WHEN 'armed' THEN 'ARMED'
+      WHEN 'structure' THEN 'CANCELLED' WHEN 'expired' THEN 'CANCELLED' ELSE 'CLOSED' END, px,
+    CASE act WHEN 'busy' THEN 'busy' WHEN 'cooldown' THEN 'cooldown' WHEN 'structure' THEN 'structure' WHEN 'expired' THEN 'expired' WHEN 'stop' THEN 'Stop Loss Hit' WHEN 'trail' THEN 'Trailing Stop Hit' END
+  FROM r WHERE act IS NOT NULL AND act <> 'ratchet'"""
+
+
+@query("stream_lifecycle", LIFECYCLE_SQL)
 def stream_lifecycle(spark, sf):
-    """Lifecycle events; the tests compare it with a walk through the same rows."""
-    out = sb.drain(lc.lifecycle(order_rows(event_stream(spark, sf))), "lifecycle")
+    """Lifecycle events of all slices that the watermark has passed."""
+    rows = order_rows(event_stream(spark, sf))
+    out = sb.drain(lc.lifecycle(rows, _X, _COOL, slice_minutes=_SLICE), "lifecycle")
     return out.select("symbol", t(), "sid", "event", "price", "reason")

@@ -19,7 +19,7 @@ from tidemark.operators.geometry import atr_barriers
 from tidemark.session import stage
 
 KEYS = ("symbol",)
-SHORT_SERIES, FIRST_BUCKET, BUCKET_GROWTH, LARGEST_BUCKET = 2048, 128, 4, 16384
+FIRST_BUCKET, BUCKET_GROWTH, LARGEST_BUCKET = 512, 4, 16384
 
 # Reasons an exit search reports.
 STOP_HIT, TRAIL_HIT, DATA_END = "Stop Loss Hit", "Trailing Stop Hit", "Open at data end"
@@ -198,7 +198,7 @@ def _zones(bars: DataFrame, size: int, longest: int) -> tuple[DataFrame, int]:
 
 
 def trailing_exits(
-    signals: DataFrame, bars: DataFrame, longest: int, *, id_col: str = "sid", first_bucket: int | None = None,
+    signals: DataFrame, bars: DataFrame, longest: int, *, id_col: str = "sid", first_bucket: int = FIRST_BUCKET,
     largest_bucket: int = LARGEST_BUCKET,
 ) -> DataFrame:
     """(id, exit_price, exit_reason, bars_held) of every signal with a forward bar.
@@ -207,14 +207,12 @@ def trailing_exits(
     (null = percent of the anchor). ``longest`` is the longest series in rows.
 
     A round walks each open signal to the end of its bucket of bars. Most exits
-    come soon, so long series start with small buckets that grow fourfold up to
+    come soon, so the search starts with small buckets that grow fourfold up to
     ``largest_bucket`` rows, which bounds an array. Signals still open then skip
     ahead over buckets whose range touches neither stop nor activation price, on
     levels of ever wider buckets, so even an exit at the far end of a series is
     found in a number of rounds that grows with the logarithm of its distance.
     """
-    if first_bucket is None:
-        first_bucket = SHORT_SERIES if longest <= SHORT_SERIES else FIRST_BUCKET
     long = is_long("direction")
     reach = F.when(long, F.col("entry") + (F.col("tp") - F.col("entry")) * F.col("activation")).otherwise(
         F.col("entry") - (F.col("entry") - F.col("tp")) * F.col("activation")

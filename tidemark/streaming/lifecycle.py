@@ -2,14 +2,16 @@
 
 A symbol holds at most one order. A resting order is cancelled when price breaks
 its level, filled when price touches it, or expired after its time to live, in
-that order of precedence; without a further price it expires by an event-time timer. An open position is closed at its stop, or its trail
+that order of precedence; without a further price it expires by the watermark. An open position is closed at its stop, or its trail
 is armed near the target, follows the best price and closes on the retrace.
 After a close the symbol cools down and refuses new orders.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,9 +39,9 @@ def orders_and_prices(orders: DataFrame, prices: DataFrame) -> DataFrame:
     return both.select(*names)
 
 
-def advance(s: dict, row, x: Execution, cooldown: float) -> list[tuple]:
+def advance(s: dict, row: Line, x: Execution, cooldown: float) -> list[tuple]:
     """Apply one row to one symbol's state; returns (event, price, reason) items."""
-    now = int(row.ts.value // 1000) if hasattr(row.ts, "value") else int(row.ts)
+    now = row.ts
     if row.kind == "order":
         if s.get("status"):
             return [("REFUSED", row.entry, "busy", row.sid)]
@@ -83,69 +85,138 @@ def _clear(s: dict) -> None:
     s["status"] = None
 
 
+class Line(NamedTuple):
+    """One waiting row; ``ts`` in microseconds."""
+
+    ts: int
+    id: int
+    kind: str
+    price: float | None
+    sid: str | None
+    direction: str | None
+    entry: float | None
+    sl: float | None
+    tp: float | None
+    atr: float | None
+    level: float | None
+
+
 class OrderBook(StatefulProcessor):
-    """State of one symbol: its order or position and the end of its cooldown."""
+    """State of one symbol: its order or position, the end of its cooldown, and rows that wait for the watermark.
+
+    Rows wait in slices of event time. Once the watermark has passed a slice's end its rows are applied in the order
+    of time and id, one slice after the other, so the result does not depend on how rows were spread over micro-batches
+    and no more than one slice is held at a time. A resting order that no price decides expires at the first slice boundary
+    after its time to live. Rows of slices that are over are late: prices are dropped, orders refused.
+    """
 
-    def __init__(self, x: Execution, cooldown: float):
-        self.x, self.cooldown = x, cooldown
+    def __init__(self, x: Execution, cooldown: float, slice_minutes: float):
+        self.x, self.cooldown, self.slice = x, cooldown, int(slice_minutes * MINUTE)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.book = handle.getValueState("book", STATE)
+        self.waiting = handle.getMapState("waiting", "slice BIGINT", "lines STRING")
+        self.done = handle.getValueState("done", "upto BIGINT, timer BIGINT")
 
-    def expiry_ms(self, state: dict) -> int:
-        return (state["placed"] + int(self.x.ttl_minutes * MINUTE)) // 1000 + 1
+    def _marks(self) -> tuple[int, int]:
+        """(microsecond up to which slices are over, the timer set for the next one or 0)."""
+        return tuple(int(v) for v in self.done.get()) if self.done.exists() else (-(1 << 62), 0)
+
+    def _awake_at(self, boundary: int, upto: int, timer: int) -> None:
+        """See that a timer fires at or before ``boundary``."""
+        at = boundary // 1000
+        if not timer or at < timer:
+            self.handle.registerTimer(at)
+            timer = at
+        self.done.update((upto, timer))
+
+    def _after(self, moment: int) -> int:
+        """The first slice boundary at or after a moment."""
+        return -(-moment // self.slice) * self.slice
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = dict(zip(FIELDS, self.book.get())) if self.book.exists() else {}
-        for name, value in list(state.items()):
-            if isinstance(value, float) and value != value:
-                state[name] = None
-        # A micro-batch may deliver a symbol's rows in any order.
-        batch = pd.concat(list(rows)).sort_values(["ts", "id"], kind="stable")
-        batch = batch.astype(object).where(batch.notna(), None)
-        out = []
-        for row in batch.itertuples(index=False):
-            for event, price, reason, sid in advance(state, row, self.x, self.cooldown):
-                out.append((key[0], row.ts, sid, event, price, reason))
-        self.book.update(tuple(state.get(name) for name in FIELDS))
-        if state.get("status") == "PENDING":
-            # A symbol without further prices still lets its order expire, once the watermark passes.
-            self.handle.registerTimer(self.expiry_ms(state))
-        if out:
-            yield pd.DataFrame(out, columns=["symbol", "ts", "sid", "event", "price", "reason"])
+        upto, timer = self._marks()
+        soonest, late = None, []
+        for frame in rows:  # as they arrive; a symbol's rows are never put together
+            ts = frame["ts"].astype("datetime64[us]").astype("int64")
+            frame = frame[list(Line._fields)].assign(ts=ts).astype(object).where(frame[list(Line._fields)].notna(), None)
+            for number, part in frame.groupby(ts // self.slice):
+                begin = int(number) * self.slice
+                if begin < upto:
+                    late += [(key[0], pd.Timestamp(r.ts, unit="us"), r.sid, "REFUSED", r.entry, "late") for r in part.itertuples(index=False) if r.kind == "order"]
+                    continue
+                lines = "\n".join(json.dumps(tuple(r)) for r in part.itertuples(index=False))
+                at = (int(number),)
+                if self.waiting.containsKey(at):
+                    lines = self.waiting.getValue(at)[0] + "\n" + lines
+                self.waiting.updateValue(at, (lines,))
+                soonest = begin + self.slice if soonest is None else min(soonest, begin + self.slice)
+        if soonest is not None:
+            self._awake_at(soonest, upto, timer)
+        if late:
+            yield _events(late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto, timer = self._marks()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000 // self.slice * self.slice
+        if passed <= upto:
+            return
         state = dict(zip(FIELDS, self.book.get())) if self.book.exists() else {}
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        if state.get("status") == "PENDING" and self.expiry_ms(state) <= at:
-            out = [(key[0], pd.Timestamp(at, unit="ms"), state["sid"], "CANCELLED", None, "expired")]
-            _clear(state)
+        state = {k: None if isinstance(v, float) and v != v else v for k, v in state.items()}
+        numbers = sorted(int(n[0]) for n in self.waiting.keys())
+        for number in [n for n in numbers if (n + 1) * self.slice <= passed]:
+            out = self._expired(key, state, number * self.slice)
+            lines = sorted(Line(*json.loads(x)) for x in self.waiting.getValue((number,))[0].split("\n"))
+            self.waiting.removeKey((number,))
+            for row in lines:
+                out += [(key[0], pd.Timestamp(row.ts, unit="us"), sid, event, price, reason) for event, price, reason, sid in advance(state, row, self.x, self.cooldown)]
+            if out:
+                yield _events(out)
+        out = self._expired(key, state, passed)
+        if out:
+            yield _events(out)
+        if not state.get("status") and (state.get("cool_until") or 0) <= passed:
+            self.book.clear()  # nothing rests, nothing cools down
+            state = {}
+        else:
             self.book.update(tuple(state.get(name) for name in FIELDS))
-            yield pd.DataFrame(out, columns=["symbol", "ts", "sid", "event", "price", "reason"]).astype({"price": "float64"})
+        rest = [(n + 1) * self.slice for n in numbers if (n + 1) * self.slice > passed]
+        if state.get("status") == "PENDING":
+            rest.append(self._after(self._expiry(state)))
+        elif state and not state.get("status"):
+            rest.append(self._after(state["cool_until"]))
+        self.done.update((passed, 0))
+        if rest:
+            self._awake_at(min(rest), passed, 0)
+
+    def _expiry(self, state: dict) -> int:
+        return state["placed"] + int(self.x.ttl_minutes * MINUTE)
+
+    def _expired(self, key, state: dict, boundary: int) -> list[tuple]:
+        """The event of a resting order whose time was over at a slice boundary."""
+        if state.get("status") != "PENDING" or self._expiry(state) > boundary:
+            return []
+        _clear(state)
+        return [(key[0], pd.Timestamp(self._expiry(state), unit="us"), state["sid"], "CANCELLED", None, "expired")]
 
     def close(self) -> None:
         pass
 
 
-def lifecycle(rows: DataFrame, x: Execution = SCALP[2], cooldown: float = Portfolio.cooldown_minutes, delay: str = "1 minute") -> DataFrame:
-    """Lifecycle events of a stream shaped like ``ROWS``; sets the RocksDB store."""
+def _events(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["symbol", "ts", "sid", "event", "price", "reason"]).astype({"price": "float64"})
+
+
+def lifecycle(rows: DataFrame, x: Execution = SCALP[2], cooldown: float = Portfolio.cooldown_minutes, delay: str = "1 minute", slice_minutes: float = 1) -> DataFrame:
+    """Lifecycle events of a stream shaped like ``ROWS``; sets the RocksDB store.
+
+    Limit the source per trigger (``maxBytesPerTrigger``), so that what waits for the watermark stays small.
+    """
     spark = rows.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return (
         rows.withWatermark("ts", delay)
         .groupBy("symbol")
-        .transformWithStateInPandas(OrderBook(x, cooldown), OUTPUT, "Append", "EventTime")
+        .transformWithStateInPandas(OrderBook(x, cooldown, slice_minutes), OUTPUT, "Append", "EventTime")
     )
-
-
-def polled_prices(ticks: DataFrame, cadence: str = "35 seconds") -> DataFrame:
-    """Last price per symbol and polling interval.
-
-    Collapses a busy symbol's ticks before they are shuffled to its state. Meant
-    for ``foreachBatch`` or batch input, where it aggregates partially.
-    """
-    w = F.window("ts", cadence)
-    return ticks.groupBy("symbol", w.alias("w")).agg(
-        F.max_by(F.struct("ts", "id", "price"), F.struct("ts", "id")).alias("v")
-    ).select("symbol", "v.*")

@@ -200,3 +200,28 @@ def test_batches_look_back_by_rows_on_sparse_bars(spark, tmp_path):
     for r in seen[1]:
         for n in names:
             assert r[n] == want[r["ts"]][n] if n == "market_regime" else r[n] == pytest.approx(want[r["ts"]][n])
+
+
+def test_a_batch_that_comes_again_adds_nothing(spark, tmp_path):
+    from tidemark.plans.signals import bar_features
+
+    rows = walk(300, 9)
+    compute = lambda b: bar_features(b, "5m").select("symbol", "ts", "volume_ma")
+    run = sb.signal_batches(spark, str(tmp_path / "hist"), sb.batch_sink(str(tmp_path / "found")), compute, "5m")
+    parts = [bar_frame(spark, rows[:280]), bar_frame(spark, rows[280:])]
+    for epoch in (0, 1, 1, 0):
+        run(parts[epoch], epoch)
+    found = spark.read.parquet(str(tmp_path / "found"))
+    assert found.count() == 300 == found.select("symbol", "ts").distinct().count()
+    assert spark.read.parquet(str(tmp_path / "hist")).count() == 300
+
+
+def test_late_and_repeated_rows_are_counted(spark, tmp_path):
+    parts = [[("a", at(0)), ("b", at(90)), ("a", at(1))], [("b", at(90))], [("c", at(2)), ("d", at(3)), ("e", at(95))]]
+    src = tmp_path / "s"
+    for part in parts:
+        spark.createDataFrame(part, "signal_hash string, ts timestamp").coalesce(1).write.mode("append").parquet(str(src))
+        time.sleep(1.1)
+    stream = spark.readStream.schema("signal_hash string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(src))
+    rows, counts = sb.counted_drain(sb.unique_signals(stream, "30 minutes"), "u")
+    assert counts == {"rows_in": 7, "rows_out": 3, "rows_late": 2, "rows_duplicate": 2} and {r.signal_hash for r in rows.collect()} == {"a", "b", "e"}

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import data
-from tidemark.catalog.base import query, rd, t
+from tidemark.catalog.base import flag, query, rd, t
+from tidemark.catalog.market import PATTERNS
 from tidemark.catalog.sqltext import rd as sql_rd
 from tidemark.params import SCALP, Portfolio
+from tidemark.plans import signals as sig
+from tidemark.session import staging_root
 from tidemark.streaming import bars as sb
 from tidemark.streaming import lifecycle as lc
 
@@ -112,3 +117,68 @@ def stream_lifecycle(spark, sf):
     rows = order_rows(event_stream(spark, sf))
     out = sb.drain(lc.lifecycle(rows, _X, _COOL, slice_minutes=_SLICE), "lifecycle")
     return out.select("symbol", t(), "sid", "event", "price", "reason")
+
+
+# ------------------------------------------------------------------ late rows and incremental signals
+
+
+def in_files(parts: list[DataFrame], name: str, spark: SparkSession) -> DataFrame:
+    """A stream that takes one part after the other, each as a micro-batch."""
+    folder = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    for part in parts:  # a handful of parts; files are taken in the order of their times
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+COUNTS_SQL = """WITH e AS (SELECT event_type AS symbol, epoch_ms(ts) AS m, event_id AS id FROM events), top AS (SELECT max(m) AS m, count(*) AS n FROM e),
+  late AS (SELECT * FROM e WHERE id % 50 = 0 AND m < (SELECT m FROM top) - 86400000),
+  bars AS (SELECT symbol, m // 3600000 AS h FROM e GROUP BY 1, 2), hashes AS (SELECT DISTINCT symbol, m // 300000 AS f FROM e)
+SELECT 'bars' AS stream, top.n + 1 + (SELECT count(*) FROM late) AS rows_in, (SELECT count(*) FROM bars WHERE (h + 1) * 3600000 <= top.m - 600000) AS rows_out,
+  (SELECT count(*) FROM (SELECT DISTINCT symbol, m // 3600000 FROM late)) AS rows_late, 0::BIGINT AS rows_duplicate FROM top
+UNION ALL SELECT 'signals', top.n + 1 + (SELECT count(*) FROM late), (SELECT count(*) FROM hashes), (SELECT count(*) FROM late), top.n + 1 - (SELECT count(*) FROM hashes) FROM top"""
+
+
+@query("stream_counts", COUNTS_SQL)
+def stream_counts(spark, sf):
+    """Rows in, out, dropped as late and as duplicates, of two streams to which old ticks come again after the watermark has passed them."""
+    ticks = data.raw_ticks(spark, sf).select("symbol", "ts", "id", "price")
+    newest = ticks.agg(F.max("ts").alias("ts")).first()["ts"]
+    again = ticks.orderBy(F.desc("ts"), F.desc("id")).limit(1)
+    old = ticks.where((F.col("id") % 50 == 0) & (F.unix_millis("ts") < F.unix_millis(F.lit(newest)) - 86_400_000))
+    bucket = (F.floor(F.unix_seconds("ts") / 300) * 300).cast("string")
+    counts = []
+    for name in ("bars", "signals"):
+        stream = in_files([ticks, again, old], name, spark)
+        if name == "bars":
+            out = sb.stream_bars(stream, "1h", "10 minutes")
+        else:
+            out = sb.unique_signals(stream.withColumn("signal_hash", F.concat_ws("_", "symbol", bucket)), "1 hour")
+        counts.append((name, *sb.counted_drain(out, name)[1].values()))
+    return spark.createDataFrame(counts, "stream string, rows_in long, rows_out long, rows_late long, rows_duplicate long")
+
+
+@query(
+    "stream_signals",
+    f"""{PATTERNS} SELECT symbol, t, volume_spike, displacement, bull_fvg::INT AS bull_fvg, bear_fvg::INT AS bear_fvg, market_regime, 1::BIGINT AS times FROM pat
+      WHERE volume_spike + displacement + bull_fvg::INT + bear_fvg::INT >= 2""",
+)
+def stream_signals(spark, sf):
+    """Bars with two confluences or more, found batch by batch as bars come in; one batch comes a second time and adds nothing."""
+    bars = data.walk_bars(spark, sf, "1h")
+    first, last = (x.timestamp() for x in bars.agg(F.min("ts"), F.max("ts")).first())
+    cuts = [first - 1] + [first + (last - first) * k / 4 for k in (2, 3)] + [last]
+    seconds = F.unix_seconds("ts")
+    parts = [bars.where((seconds > int(a)) & (seconds <= int(b))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    base = f"{staging_root(spark)}/signals-{uuid.uuid4().hex}"
+
+    def setups(slice_: DataFrame) -> DataFrame:
+        found = sig.entry_features(slice_, "1h")
+        flags = {c: flag(F.col(c)) for c in ("bull_fvg", "bear_fvg")}
+        found = found.withColumns(flags).select("symbol", "ts", "volume_spike", "displacement", *flags, "market_regime")
+        return found.where("volume_spike + displacement + bull_fvg + bear_fvg >= 2")
+
+    run = sb.signal_batches(spark, f"{base}/history", sb.batch_sink(f"{base}/found"), setups, "1h", rows=420)
+    sb.drain_batches(in_files(parts, "bars", spark), "signals", run)
+    run(parts[1], 1)
+    found = spark.read.parquet(f"{base}/found").drop("batch")
+    return found.groupBy(*[c for c in found.columns]).agg(F.count("*").alias("times")).withColumn("t", F.unix_seconds("ts")).drop("ts")

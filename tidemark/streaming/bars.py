@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.times import tf_minutes
 from tidemark.operators.bars import tick_order
+from tidemark.operators.context import fresh_enough
 from tidemark.session import staging_root
 
 
@@ -55,8 +56,6 @@ def fresh_context(rows: DataFrame, context: DataFrame, by: list[str], ttl_second
 
     ``context`` holds ``by`` and, per series, ``<name>`` and ``<name>_ts``.
     """
-    from tidemark.operators.context import fresh_enough
-
     joined = rows.join(context, by, "left")
     keep = [c for c in joined.columns if c not in ttl_seconds and c not in {f"{n}_ts" for n in ttl_seconds}]
     return joined.select(
@@ -66,6 +65,14 @@ def fresh_context(rows: DataFrame, context: DataFrame, by: list[str], ttl_second
 
 def drain(stream: DataFrame, name: str, *, mode: str = "append") -> DataFrame:
     """Run the stream over everything available and read what it wrote."""
+    return counted_drain(stream, name, mode=mode)[0]
+
+
+def counted_drain(stream: DataFrame, name: str, *, mode: str = "append") -> tuple[DataFrame, dict[str, int]]:
+    """What ``drain`` reads, and the rows that went in, came out, were dropped as late and as duplicates.
+
+    Stateful operators count what reaches them: an aggregation's late rows are its partial results, one per task and group.
+    """
     spark = stream.sparkSession
     base = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
     q = (
@@ -73,16 +80,40 @@ def drain(stream: DataFrame, name: str, *, mode: str = "append") -> DataFrame:
         .trigger(availableNow=True).start(f"{base}/rows")
     )
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    rows, steps = spark.read.schema(stream.schema).parquet(f"{base}/rows"), q.recentProgress
+    states = [s for p in steps for s in p.stateOperators]
+    counts = {
+        "rows_in": sum(p.numInputRows for p in steps),
+        "rows_out": rows.count(),
+        "rows_late": sum(s.numRowsDroppedByWatermark for s in states),
+        "rows_duplicate": sum(int(s.customMetrics.get("numDroppedDuplicateRows", 0)) for s in states),
+    }
+    return rows, counts
+
+
+def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps every batch in a folder of its own number, so that a batch that comes again replaces itself."""
+
+    def write(rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    return write
+
+
+def drain_batches(stream: DataFrame, name: str, run: Callable[[DataFrame, int], None]) -> None:
+    """Hand everything available to ``run``, a micro-batch at a time."""
+    checkpoint = f"{staging_root(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    q = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
 
 
 def signal_batches(
     spark: SparkSession, history_path: str, sink: Callable[[DataFrame, int], None], compute: Callable[[DataFrame], DataFrame],
     tf: str, rows: int = 251,
 ) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: append new bars, recompute touched symbols.
+    """A ``foreachBatch`` function: store new bars, recompute touched symbols.
 
-    A touched symbol gets its last ``rows`` bars before the batch, however far back
+    A batch's bars are stored under its number, so a batch that comes again adds nothing. A touched symbol gets its last ``rows`` bars before the batch, however far back
     they lie. The history lies in day partitions; a batch reads those of its
     look-back span, and earlier ones only while a touched symbol has too few bars.
     Results for the new bars go to the sink.
@@ -94,7 +125,7 @@ def signal_batches(
         held = batch.persist()
         try:
             schema = batch.schema
-            held.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(history_path)
+            held.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{history_path}/batch={epoch}")
             new = held.select("symbol", "ts").distinct()
             touched = held.groupBy("symbol").agg(F.min("ts").alias("_first"))
             first = touched.agg(F.min(F.to_date("_first"))).first()[0]

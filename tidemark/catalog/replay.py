@@ -128,10 +128,14 @@ METRIC_SQL = f"""count(*) AS n_trades, {sql_rd('avg(CASE WHEN pnl > 0 THEN 1.0::
 
 @query(
     "replay_metrics",
-    f"""{FILLED} SELECT symbol, {METRIC_SQL.replace('final', 'max_by(equity, seq)').replace('AS max_by(equity, seq)_equity', 'AS final_equity').replace('bars_held::DOUBLE', '(walk_bars + fill)::DOUBLE')} FROM tr GROUP BY symbol""",
+    f"""{FILLED} SELECT symbol, {METRIC_SQL.replace('final', 'max_by(equity, seq)').replace('AS max_by(equity, seq)_equity', 'AS final_equity').replace('bars_held::DOUBLE', '(walk_bars + fill)::DOUBLE')}, any_value(coalesce(u.n, 0)) AS unfilled_limit_orders
+    FROM tr LEFT JOIN (SELECT f0.symbol AS sym, count(*) AS n FROM f0 WHERE f0.id NOT IN (SELECT id FROM f2)
+      AND NOT EXISTS (SELECT 1 FROM tk WHERE tk.symbol = f0.symbol AND f0.seq >= tk.seq AND f0.seq < tk.free) GROUP BY 1) u ON u.sym = tr.symbol GROUP BY symbol""",
 )
 def replay_metrics(spark, sf):
-    return replay.replay_metrics(replayed(spark, sf))
+    found, bars = replay_inputs(spark, sf)
+    trades, unfilled = replay.simulate_counted(found, bars, EXECUTION, label=False)
+    return replay.replay_metrics(trades, EXECUTION, unfilled)
 
 
 GRID_SQL = f"""{full_signals(35, swing=True)},

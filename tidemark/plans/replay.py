@@ -84,15 +84,50 @@ def simulate(
     ``bars`` are numbered bars (symbol, ts, seq, high, low, close); signals carry
     the same ``seq``.
     """
+    done = stage(resolved(_prepared(signals, bars, x, mode), bars, x), "resolved")
+    taken = take_in_turn(_occupying(done), TRADE_KEYS, block=block).drop("pos", "free")
+    return _booked(taken, bars, x, label, profit_atr, stop_atr)
+
+
+def simulate_counted(
+    signals: DataFrame, bars: DataFrame, x: Execution = Execution(), *, label: bool = True, profit_atr: float | None = None,
+    stop_atr: float | None = None, block: int = CHAIN_BLOCK,
+) -> tuple[DataFrame, DataFrame]:
+    """Trades as from ``simulate`` with limit entries, and (symbol, unfilled_limit_orders).
+
+    An order counts as unfilled if it was placed while the symbol was flat and price never reached it. Such orders join
+    the chain of positions as candidates that free their symbol with the next bar, so they are met exactly when flat and
+    change no trade.
+    """
+    ready = _prepared(signals, bars, x, "limit")
+    fills = stage(ready, "fills")
+    done = _occupying(stage(resolved(fills, bars, x), "resolved"))
+    slim = [*TRADE_KEYS, "sid", F.col("seq").alias("pos"), "free"]
+    missed = with_sid(signals).join(fills.select("sid"), "sid", "left_anti").withColumn("free", F.col("seq") + 1)
+    both = stage(done.select(*slim, F.lit(False).alias("missed")).unionByName(missed.select(*slim, F.lit(True).alias("missed"))), "orders")
+    met = stage(take_in_turn(both, TRADE_KEYS, block=block), "met")
+    taken = done.drop("pos", "free").join(met.where("not missed").select("sid"), "sid", "left_semi")
+    unfilled = met.where("missed").groupBy(*TRADE_KEYS).agg(F.count("*").alias("unfilled_limit_orders"))
+    return _booked(taken, bars, x, label, profit_atr, stop_atr), unfilled
+
+
+def _prepared(signals: DataFrame, bars: DataFrame, x: Execution, mode: str) -> DataFrame:
+    """Filled rows with their trail."""
     rows = filled(with_sid(signals), bars, x, mode)
     rows = rows.withColumn("trail_pct", F.lit(x.trail_pct)).withColumn("activation", F.lit(x.activation))
-    rows = rows.withColumn("trail_dist", trail_gap(x))
-    done = stage(resolved(rows, bars, x), "resolved")
+    return rows.withColumn("trail_dist", trail_gap(x))
+
+
+def _occupying(done: DataFrame) -> DataFrame:
+    """Resolved rows with the position they take and the one that they free."""
     freed = F.when(F.col("exit_reason") == DATA_END, F.lit(NEVER)).otherwise(
         F.col("seq") + F.greatest(F.lit(1), F.col("bars_held")) + 1
     )
-    cands = done.withColumn("pos", F.col("seq")).withColumn("free", freed)
-    taken = take_in_turn(cands, TRADE_KEYS, block=block).drop("pos", "free")
+    return done.withColumn("pos", F.col("seq")).withColumn("free", freed)
+
+
+def _booked(taken: DataFrame, bars: DataFrame, x: Execution, label: bool, profit_atr: float | None, stop_atr: float | None) -> DataFrame:
+    """Taken rows with labels, compounded equity and drawdown."""
     if label:
         geometry = label_geometry(taken, profit_atr, stop_atr)
         tb = first_touch(geometry, bars, x.label_bars)
@@ -116,8 +151,12 @@ def with_label_end(trades: DataFrame, bars: DataFrame) -> DataFrame:
     return trades.join(ends, "symbol").withColumn("_at", at).join(clock, ["symbol", "_at"], "left").drop("_at", "_last")
 
 
-def replay_metrics(trades: DataFrame, x: Execution = Execution()) -> DataFrame:
-    return metrics(trades, TRADE_KEYS, ["seq"], x.start_balance)
+def replay_metrics(trades: DataFrame, x: Execution = Execution(), unfilled: DataFrame | None = None) -> DataFrame:
+    """Metrics per symbol with trades; with the orders of ``simulate_counted`` also how many were never filled."""
+    out = metrics(trades, TRADE_KEYS, ["seq"], x.start_balance)
+    if unfilled is None:
+        return out
+    return out.join(unfilled, TRADE_KEYS, "left").withColumn("unfilled_limit_orders", F.coalesce("unfilled_limit_orders", F.lit(0).cast("long")))
 
 
 # ------------------------------------------------------------------ grid

@@ -3,9 +3,11 @@ import zlib
 from itertools import accumulate
 
 import numpy as np
+import pytest
 
 from tests.llm.util import documents, prose, rows
 from tidemark.llm import sharding
+from tidemark.session import stage
 
 
 def fewest(sizes, capacity):
@@ -49,8 +51,8 @@ def test_documents_in_shards(spark):
     want = [(r[0], r[1]) for r in rows(300)]
     sizes = check(sharding.shard_documents(documents(spark, 300), shards=5).collect(), want, 5)
     assert max(sizes.values()) < 1.1 * sum(sizes.values()) / 5
-    few = check(sharding.shard_documents(documents(spark, 300), shards=5, resolution=64).collect(), want, 5)
-    assert max(few.values()) <= max(sizes.values()) + sum(sizes.values()) / 64
+    few = check(sharding.shard_documents(documents(spark, 300), shards=5, resolution=8).collect(), want, 5)
+    assert max(few.values()) == max(sizes.values())
     assert sharding.shard_documents(documents(spark).limit(0)).count() == 0
 
 
@@ -63,3 +65,25 @@ def test_a_group_with_a_third_of_all_bytes(spark):
     assert len(rest) == 7 and max(rest) < 1.15 * min(rest)
     plan = sharding.shard_documents(docs, shards=8)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("resolution", [8, 500])
+def test_known_ends_are_enough_at_any_resolution(spark, resolution):
+    """Some ends, looked at closer where borders may fall, give the optimum of all ends."""
+    rng = np.random.default_rng(resolution)
+    for sizes, shards in ((rng.integers(1, 2000, 4000), 7), (rng.integers(1, 2000, 6000) * (rng.random(6000) > 0.02) + 1, 24), (np.append(rng.integers(1, 9, 500), 700), 3), (np.ones(40, int), 24)):
+        ends = [int(e) for e in np.cumsum(sizes)]
+        table = stage(spark.createDataFrame([(e, int(b)) for e, b in zip(ends, sizes, strict=True)], "end long, bytes long"))
+        known = sharding.known_ends(table, shards, resolution)
+        assert set(known) <= set(ends)
+        assert sharding.smallest_capacity(known, shards) == sharding.smallest_capacity(ends, shards)
+    few = sharding.known_ends(table.where("false"), 3, resolution)
+    assert few == []
+
+
+def test_few_of_many_ends_reach_the_driver(spark):
+    sizes = np.random.default_rng(1).integers(1, 5000, 60_000)
+    ends = [int(e) for e in np.cumsum(sizes)]
+    table = stage(spark.createDataFrame([(e, int(b)) for e, b in zip(ends, sizes, strict=True)], "end long, bytes long"))
+    known = sharding.known_ends(table, 24, 1024)
+    assert len(known) < 10_000 and sharding.smallest_capacity(known, 24) == sharding.smallest_capacity(ends, 24)

@@ -17,7 +17,7 @@ from tidemark.session import stage
 
 SHARDS = 24
 OVERHEAD = 8
-#: Group ends known to the search: runs of neighbouring groups below this share of all bytes count as one atom.
+#: Pieces in which the search looks at group ends at a time; it looks closer where the borders may fall until nothing is left open.
 RESOLUTION = 1 << 16
 
 
@@ -66,15 +66,57 @@ def cuts(ends: list[int], shards: int) -> list[int]:
     return out
 
 
+def border_ranges(known: list[int], shards: int, low: int, high: int) -> list[tuple[int, int]]:
+    """Ranges (after, upto) that hold every border of greedy walks with capacities from ``low`` to ``high``; known ends are some of the group ends."""
+    out, first, last = [], 0, 0
+    for _ in range(shards):
+        k = bisect_right(known, first + low)
+        first, last = known[k - 1] if k else first, min(last + high, known[-1])
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], last)
+        else:
+            out.append((first, last))
+    return out
+
+
+def known_ends(groups: DataFrame, shards: int, resolution: int = RESOLUTION) -> list[int]:
+    """Enough of the cumulative sizes ``end`` for ``smallest_capacity`` over them to be that over all.
+
+    ``groups`` is a stored table. First come the outermost ends of ``resolution`` pieces of all bytes. A capacity found
+    with some of the ends exceeds the smallest by no more than the widest stretch with ends unknown, since borders can
+    move down to known ones. That leaves narrow ranges in which borders can fall, which are cut into pieces in turn, until
+    no end in them is unknown. At most two numbers a piece and round reach the driver. The ranges add up the doubt of
+    all borders before them, so there are 4 x ``shards`` ** 2 pieces at least; every round then halves the doubt.
+    """
+    resolution = max(resolution, 4 * shards**2)
+    total = groups.agg(F.coalesce(F.max("end"), F.lit(0))).first()[0]
+    if not total:
+        return []
+    known, ranges, largest = {total}, [(0, total)], groups.agg(F.max("bytes")).first()[0]
+    while True:
+        inside = F.lit(False)
+        for after, upto in ranges:  # at most one a shard
+            inside = inside | ((F.col("end") > after) & (F.col("end") <= upto))
+        width = max(1, sum(upto - after for after, upto in ranges) // resolution)
+        pieces = groups.where(inside).groupBy(F.expr(f"end div {width}").alias("piece"))
+        found = pieces.agg(F.min("end").alias("a"), F.max("end").alias("b"), F.count("*").alias("n")).collect()
+        known |= {r["a"] for r in found} | {r["b"] for r in found}
+        unknown = max((r["b"] - r["a"] for r in found if r["n"] > 2), default=0)
+        ends = sorted(known)
+        if not unknown:
+            return ends
+        high = smallest_capacity(ends, shards)
+        ranges = border_ranges(ends, shards, max(largest, -(-total // shards), high - unknown), high)
+
+
 def shard_documents(docs: DataFrame, *, shards: int = SHARDS, overhead: int = OVERHEAD, resolution: int = RESOLUTION) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for every document.
 
     ``size`` is the UTF-8 bytes of the text plus ``overhead``; a null text counts and groups as an
     empty one. ``slot`` numbers a shard's documents from 0: group by group, inside a group in input
     order. A null doc_id stays null and its groups come first; repeated rows are rows of their own.
-    Only doc_id and text are read. With at most ``resolution`` groups the largest shard is the
-    optimum; beyond, it exceeds it by at most 1/``resolution`` of all bytes. What reaches the driver
-    is one number per atom, ``resolution`` at most, and fewer groups than ``shards`` above an even share.
+    Only doc_id and text are read. The largest shard is the optimum at any number of groups (those above an even share
+    aside). What reaches the driver is bounded by ``resolution``, and fewer groups than ``shards`` above an even share.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
@@ -100,9 +142,7 @@ def shard_documents(docs: DataFrame, *, shards: int = SHARDS, overhead: int = OV
 
     heavy = [bytes(r[0]) for r in ordered.where("heavy").select("digest", "bytes", "first").orderBy(F.col("bytes").desc(), "first").collect()]  # fewer than shards
     spare = max(1, shards - len(heavy))
-    light_total = ordered.where("not heavy").agg(F.coalesce(F.max("end"), F.lit(0))).first()[0]
-    atom = F.floor(F.col("end").cast("decimal(38,0)") * resolution / max(1, light_total))
-    ends = sorted(r[0] for r in ordered.where("not heavy").groupBy(atom.alias("atom")).agg(F.max("end").alias("end")).select("end").collect())
+    ends = known_ends(ordered.where("not heavy").select("end", "bytes"), spare, resolution)
     borders = cuts(ends, spare)
 
     shard = F.lit(0)

@@ -21,13 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.words import Coded, ascii_words, encoder, plain_array, strings, text_slices
+from tidemark.llm.words import Coded, ascii_words, encoder, plain_array, text_slices
 from tidemark.session import stage
 
 MARGINS = ("source", "lang", "topic")
 TOPICS = 8
 #: Passes over all distinct texts that draw starting rows, each so many times the topics, and rounds that move the centres.
-SEEDINGS, DRAWN, ROUNDS = 3, 2, 6
+SEEDINGS, DRAWN, ROUNDS = 3, 2, 4
 #: Rounds end when no centre turns by more than this (1 - cosine).
 STILL = 1e-4
 WIDTH = 256
@@ -43,7 +43,8 @@ MET = 1e-4
 
 def profiles(coded: Coded, n: int) -> np.ndarray:
     """A unit row for each of n texts of its words' square-rooted counts, words hashed to WIDTH places; zeros without words."""
-    place = np.array([zlib.crc32(w.lower().strip(".,;:!?").encode()) % WIDTH for w in strings(coded.distinct)], np.int64)
+    plain = pc.utf8_trim(pc.utf8_lower(coded.distinct), ".,;:!?").cast(pa.binary()).to_pylist()
+    place = np.fromiter(map(zlib.crc32, plain), np.int64, len(plain)) % WIDTH
     if not len(coded.codes):
         return np.zeros((n, WIDTH))
     counts = np.sqrt(np.bincount(coded.owner() * WIDTH + place[coded.codes], minlength=n * WIDTH).reshape(n, WIDTH).astype(np.float64))
@@ -57,7 +58,8 @@ def _packed(rows: np.ndarray) -> np.ndarray:
 
 def _unpacked(column: pa.Array) -> np.ndarray:
     """A unit row per packed profile; zeros for a text without words."""
-    rows = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDTH).astype(np.float32)
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else [0, 0]
+    rows = np.frombuffer(column.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]].reshape(-1, WIDTH).astype(np.float32)
     return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1)), 1e-6)[:, None]
 
 

@@ -69,13 +69,14 @@ def test_stages_do_what_they_say(spark, tables):
 CONTRACTS = {
     "op1": "doc_id piece start length ids_crc32 sequence_id offset", "op3": "query_id rank vec_id score", "op4": "doc_id held_out score predicted",
     "op5": "doc_id start n_tokens ids_crc32", "op6": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
-    "op7": "doc_id fingerprint component_id", "op8": "doc_id size text_crc32 law shard slot grown_shard", "op9": "doc_id held_out score predicted",
+    "op11": "anchor_id positive_id rank negative_id positive_score negative_score", "op12": "doc_id n_features weight score rank",
+    "op13": "doc_id n_words n_base first_word last_word base_labels labels score", "op7": "doc_id fingerprint component_id", "op8": "doc_id size text_crc32 law shard slot grown_shard", "op9": "doc_id held_out score predicted",
 }
 
 
 def test_registered_queries_return_their_columns(spark):
     queries = entry.queries()
-    assert "pipeline" in queries and sorted(int(n[2:].split("_")[0]) for n in queries if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert "pipeline" in queries and sorted(int(n[2:].split("_")[0]) for n in queries if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
     for name in ("op5_binary_tokens", "op7_simhash", "op8_sharding"):
         found = queries[name](spark, "/root/testdata/sf0.001")
         assert set(CONTRACTS[name[:3]].split()) <= set(found.columns)

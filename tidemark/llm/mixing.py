@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.words import Coded, ascii_words, encoder, plain_array, text_slices
+from tidemark.llm.words import ascii_words, encoder, plain_array, text_slices
 from tidemark.session import stage
 
 MARGINS = ("source", "lang", "topic")
@@ -41,14 +41,13 @@ BOUND = 3.0
 MET = 1e-4
 
 
-def profiles(coded: Coded, n: int) -> np.ndarray:
-    """A unit row for each of n texts of its words' square-rooted counts, words hashed to WIDTH places; zeros without words."""
-    plain = pc.utf8_trim(pc.utf8_lower(coded.distinct), ".,;:!?").cast(pa.binary()).to_pylist()
-    place = np.fromiter(map(zlib.crc32, plain), np.int64, len(plain)) % WIDTH
-    if not len(coded.codes):
-        return np.zeros((n, WIDTH))
-    counts = np.sqrt(np.bincount(coded.owner() * WIDTH + place[coded.codes], minlength=n * WIDTH).reshape(n, WIDTH).astype(np.float64))
-    return counts / np.maximum(np.sqrt((counts * counts).sum(axis=1)), 1e-12)[:, None]
+def profiles(starts: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """A unit row per text, ``codes[starts[i]:starts[i + 1]]``, of its codes' square-rooted counts, codes hashed to WIDTH places; zeros without codes."""
+    n = len(starts) - 1
+    place = (codes.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(24)
+    at = np.repeat(np.arange(n) * WIDTH, np.diff(starts)) + place
+    counts = np.sqrt(np.bincount(at, minlength=n * WIDTH).reshape(n, WIDTH).astype(np.float32))
+    return _unit(counts)
 
 
 def _packed(rows: np.ndarray) -> np.ndarray:
@@ -149,6 +148,13 @@ def topic_centres(texts: DataFrame, topics: int = TOPICS) -> np.ndarray:
     return centres
 
 
+def _word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, codes) of the texts' words, a code being a checksum of the lower-cased word without closing marks."""
+    coded = ascii_words(texts)
+    plain = pc.utf8_trim(pc.utf8_lower(coded.distinct), ".,;:!?").cast(pa.binary()).to_pylist()
+    return coded.starts, np.fromiter(map(zlib.crc32, plain), np.int64, len(plain))[coded.codes]
+
+
 def measured(docs: DataFrame, vocabulary: str | None) -> DataFrame:
     """All columns of ``docs`` with _mix_tokens (encoded length, or words without a vocabulary), _mix_profile, _mix_key (a hash of the text) and _mix_draw."""
     rows = docs.withColumn("_mix_draw", F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(SEED)), 11) / float(1 << 53)).withColumn("_mix_key", F.xxhash64("text"))
@@ -160,9 +166,9 @@ def measured(docs: DataFrame, vocabulary: str | None) -> DataFrame:
             for a, b in text_slices(batch.column(at)):
                 own = batch.slice(a, b - a)
                 texts = pc.fill_null(plain_array(own.column(at)), "")
-                coded = ascii_words(texts)
-                tokens = np.diff(encoder(vocabulary).encode(texts, coded)[0]) if vocabulary else coded.counts
-                packed = [row.tobytes() for row in _packed(profiles(coded, len(texts)))]
+                starts, codes = encoder(vocabulary).encode(texts) if vocabulary else _word_codes(texts)
+                tokens = np.diff(starts)
+                packed = [row.tobytes() for row in _packed(profiles(starts, codes))]
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(tokens.astype(np.int64)), pa.array(packed, pa.binary())], names=[*own.schema.names, "_mix_tokens", "_mix_profile"])
 
     return rows.mapInArrow(add, schema)

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import ledger as led
 from tidemark.operators import splits as sp
-from tidemark.plans.admission import admit
+from tidemark.params import Portfolio
+from tidemark.plans.admission import admit, admit_in_turn
 from tidemark.sources import store
 
 ROW = "seq bigint, symbol string, status string, pnl double"
@@ -108,6 +109,59 @@ def test_admission_limits(spark):
     assert out == {1: "symbol", 2: "ok", 3: "symbol", 5: "heat"}
 
 
+def walked_admission(rows, balance, p, max_open):
+    """One walk over all scans, a list of open positions at hand."""
+    out, books = {}, {}
+    scans = sorted({(r["account"] or "", r["scan"]) for r in rows if r["scan"] is not None})
+    for account, scan in scans:
+        here = [r for r in rows if (r["account"] or "", r["scan"]) == (account, scan)]
+        for r in sorted(here, key=lambda r: (-r["confidence"], r["rank"]))[:3]:
+            book = books[account] = [x for x in books.get(account, []) if x["until"] is None or x["until"] > scan]
+            risk, alt = abs(r["entry"] - r["sl"]) * r["qty"], not r["symbol"].startswith("BTC")
+            if len(book) >= max_open:
+                why = "max open"
+            elif any(x["symbol"] == r["symbol"] for x in book):
+                why = "symbol"
+            elif sum(x["direction"] == r["direction"] for x in book) >= p.per_direction:
+                why = "direction"
+            elif alt and sum(x["alt"] for x in book) >= p.alts:
+                why = "alts"
+            elif sum(x["risk"] for x in book) + risk > balance * p.heat_pct / 100:
+                why = "heat"
+            else:
+                why = "ok"
+                book.append({**r, "alt": alt, "risk": risk})
+            out[r["seq"]] = why
+    return out
+
+
+EVOLVING = "scan bigint, seq bigint, rank bigint, symbol string, direction string, entry double, sl double, qty double, confidence bigint, until bigint, account string"
+
+
+@pytest.mark.parametrize(("hold", "span"), [(300, 1000), (2000, 400), (None, 3000)])
+def test_accepted_positions_count_in_later_scans(spark, hold, span):
+    rng = np.random.default_rng(5)
+    names = ["BTCUSDT", "AAAUSDT", "BBBUSDT", "CCCUSDT", "DDDUSDT", "EEEUSDT", "FFFUSDT", "GGGUSDT"]
+    rows = []
+    for i in range(500):
+        scan = None if i % 90 == 0 else int(rng.integers(0, 120)) * 100
+        until = None if hold is None and i % 40 == 0 else scan and scan + int(rng.integers(0, hold or 900))
+        rows.append((scan, i, i, names[int(rng.integers(0, 8))], "LONG" if rng.random() < 0.6 else "SHORT", 100.0, float(rng.integers(97, 100)),
+                     float(rng.integers(1, 4)), int(rng.integers(60, 64)), until, [None, "a", "b", "a"][i % 4]))
+    p = Portfolio(per_direction=3, alts=3)
+    df = spark.createDataFrame(rows, EVOLVING)
+    got = {r["seq"]: r["verdict"] for r in admit_in_turn(df, "scan", "until", 300.0, p, 5, by=["account"], span=span).collect()}
+    assert got == walked_admission([dict(zip(df.columns, r, strict=True)) for r in rows], 300.0, p, 5)
+    assert set(got.values()) >= {"ok", "symbol", "direction", "alts", "heat"}
+
+
+def test_evolving_admission_of_nothing(spark):
+    none = spark.createDataFrame([], EVOLVING)
+    assert admit_in_turn(none, "scan", "until", 100.0).collect() == []
+    one = spark.createDataFrame([(100, 1, 1, "BTCUSDT", "LONG", 100.0, 99.0, 1.0, 60, None, "a")], EVOLVING).withColumn("money", F.lit(10.0))
+    assert [r["verdict"] for r in admit_in_turn(one, "scan", "until", "money").collect()] == ["heat"]
+
+
 def test_reconcile_and_backfill(spark):
     trades = spark.createDataFrame(
         [(1, "BTC/USDT:USDT", "OPEN", "LONG", 100.0, 104.0, 2.0), (2, "ETH/USDT:USDT", "OPEN", "SHORT", 100.0, 97.0, 2.0), (3, "SOL/USDT:USDT", "OPEN", "LONG", 1.0, 2.0, 1.0)],

@@ -12,7 +12,7 @@ from tidemark.functions import economics as eco
 from tidemark.functions.symbols import fresh_symbols
 from tidemark.operators import ledger as led
 from tidemark.params import Portfolio
-from tidemark.plans.admission import admit
+from tidemark.plans.admission import admit, admit_in_turn
 from tidemark.plans.corpus import backfill
 from tidemark.sources.store import latest_values
 
@@ -182,6 +182,30 @@ def admission(spark, sf):
     return out.select("scan", "seq", "place", "verdict")
 
 
+_BOOK = Portfolio(per_direction=4, alts=6)
+EVOLVING_SQL = f"""WITH RECURSIVE {LEDGER_SQL}, d AS (SELECT *, o_custkey % 2 AS account, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS scan FROM led),
+  r AS (SELECT *, row_number() OVER (PARTITION BY account, scan ORDER BY confidence DESC, seq) AS place FROM d),
+  n AS MATERIALIZED (SELECT account, scan, place, seq, symbol, direction, scan + (1 + seq % 5) * 86400 AS until, abs(entry - sl) * qty AS risk, NOT ({MAJOR_SQL}) AS alt,
+      row_number() OVER (PARTITION BY account ORDER BY scan, place) AS k FROM r WHERE place <= 3),
+  f AS (SELECT account, 0::BIGINT AS k, NULL::BIGINT AS scan, NULL::BIGINT AS seq, 0::BIGINT AS place, NULL::VARCHAR AS verdict,
+      []::STRUCT(until BIGINT, symbol VARCHAR, direction VARCHAR, risk DOUBLE, alt BOOLEAN)[] AS book FROM (SELECT DISTINCT account FROM n)
+    UNION ALL
+    SELECT account, k, scan, seq, place, v, CASE WHEN v = 'ok' THEN list_append(held, {{'until': until, 'symbol': symbol, 'direction': direction, 'risk': risk, 'alt': alt}}) ELSE held END
+    FROM (SELECT *, CASE WHEN len(held) >= 6 THEN 'max open' WHEN len(list_filter(held, lambda x: x.symbol = h.symbol)) > 0 THEN 'symbol'
+        WHEN len(list_filter(held, lambda x: x.direction = h.direction)) >= {_BOOK.per_direction} THEN 'direction' WHEN alt AND len(list_filter(held, lambda x: x.alt)) >= {_BOOK.alts} THEN 'alts'
+        WHEN coalesce(list_sum(list_transform(held, lambda x: x.risk)), 0) + risk > 1000 * 5.0 / 100 THEN 'heat' ELSE 'ok' END AS v
+      FROM (SELECT n.*, list_filter(f.book, lambda x: x.until > n.scan) AS held FROM f JOIN n ON n.account = f.account AND n.k = f.k + 1) h))"""
+
+
+@query("admission_book", f"{EVOLVING_SQL} SELECT account, scan, seq, CAST(place AS INT) AS place, verdict FROM f WHERE k > 0")
+def admission_book(spark, sf):
+    """Two accounts over all days, positions held one to five days: what a scan accepts counts in the next ones."""
+    df = ledger(spark, sf).withColumn("scan", F.unix_seconds(F.date_trunc("day", "ts"))).withColumn("rank", F.col("seq"))
+    df = df.withColumn("until", F.col("scan") + (1 + F.col("seq") % 5) * 86400).withColumn("account", F.col("o_custkey") % 2)
+    out = admit_in_turn(df, "scan", "until", 1000.0, _BOOK, 6, by=["account"], span=128 * 86400)
+    return out.select("account", "scan", "seq", "place", "verdict")
+
+
 @query(
     "daily_pnl",
     f"WITH {CLOSED_SQL} SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day, {sql_rd('sum(pnl)', 4)} AS pnl, count(*) AS trades FROM cl GROUP BY 1",

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.words import ascii_words, plain_array, strings, text_slices
+from tidemark.llm.words import ascii_words, lean, plain_array, strings, text_slices
 
 STATISTICS = (
     "log_words", "word_length", "symbols", "exclaims", "capitals", "digits", "stops", "distinct", "repeated", "same_lines", "top_word", "line_words", "log_longest",
@@ -208,6 +208,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, *, column: str = "quality", rows:
     sample = F.broadcast(label_sample(labels, column, rows).select(F.col("doc_id").alias("_id"), "label"))
     joined = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(sample, "_id")
 
+    @lean
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in text_slices(batch.column(2)):
@@ -230,6 +231,7 @@ def with_score(docs: DataFrame, model: AdditiveModel, *, name: str = "score", ke
     at = kept.columns.index("text")
     fields = list(kept.schema.fields) + ([] if keep_from is not None else [T.StructField(name, T.DoubleType())])
 
+    @lean
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in text_slices(batch.column(at)):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.words import Coded, ascii_words, plain_array, strings, text_slices
+from tidemark.llm.words import Coded, ascii_words, lean, plain_array, strings, text_slices
 from tidemark.session import stage
 
 ORDER = 5
@@ -281,6 +281,7 @@ def count_runs(docs: DataFrame, sample: DataFrame) -> DataFrame:
     known = F.broadcast(sample.select(F.col("doc_id").alias("_id"), kind.alias("kind")))
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(known, "_id", "left").select("text", "kind")
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, levels, counts, held = [], [], [], 0
 
@@ -300,7 +301,7 @@ def count_runs(docs: DataFrame, sample: DataFrame) -> DataFrame:
                 levels.append(found["levels"])
                 counts.append(found["counts"])
                 held += len(found["key"])
-                if held > 2 * len(keys[0]) + 300_000:
+                if held > 2 * len(keys[0]) + 100_000:
                     one = merged()
                     keys, levels, counts, held = [one[0]], [one[1]], [one[2]], len(one[0])
         if keys:
@@ -340,6 +341,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, *, column: str = "toxic", class_r
     fresh = F.broadcast(known.where("part = 'curve'").select(F.col("doc_id").alias("_id"), "label"))
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(fresh, "_id").select("_id", "label", "text")
 
+    @lean
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in text_slices(batch.column(2), SLICE):
@@ -367,6 +369,7 @@ def with_score(docs: DataFrame, model: ToxicityModel, *, name: str = "score", ke
     fields = list(kept.schema.fields) + ([] if keep_below is not None else [T.StructField(name, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in text_slices(batch.column(at), SLICE):

@@ -6,10 +6,11 @@ looked at once; per-text figures are then array sums over the piece codes.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -232,3 +233,23 @@ def _joined(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and vocabulary."""
     return Encoder(path)
+
+
+def let_go() -> None:
+    """Give back what a reused worker holds of earlier steps: encoders with their pieces, and memory that Arrow and the C library keep."""
+    encoder.cache_clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """An Arrow step that encodes nothing and starts with the memory of earlier steps given back."""
+
+    @functools.wraps(step)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        yield from step(batches)
+
+    return run

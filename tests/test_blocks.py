@@ -137,3 +137,30 @@ def test_asof_pieces_hold_like_many_rows_of_one_dense_day(spark):
     for pieces in (1, 40):
         got = asof_join(asks, {"r": ticks}, ["k"], pieces=pieces).select("id", "r.v").collect()
         assert sorted((r["id"], r["v"]) for r in got) == [(n, n // 3) for n in range(0, 900_000, 9_000)]
+
+
+def test_asof_small_and_large_series_agree(spark):
+    """Several pages per key, equal times across pages, keys and times that are null, strings and null values."""
+    rng = np.random.default_rng(8)
+    points = [(k, int(s), n, f"v{n}" if n % 7 else None, float(n)) for k in "xy" for n, s in enumerate(np.sort(rng.integers(0, 300, 1500)))]
+    points += [(None, 5, 1, "no", 0.0), ("x", None, 1, "no", 0.0)]
+    series = spark.createDataFrame(points, "k string, s long, n long, w string, v double").select("k", F.timestamp_seconds("s").alias("ts"), "n", "w", "v")
+    asked = [(i, k, int(s)) for i, (k, s) in enumerate((k, s) for k in ("x", "y", "z", None) for s in range(-2, 303, 5))] + [(9999, "x", None)]
+    asks = spark.createDataFrame(asked, "id long, k string, s long").select("id", "k", F.timestamp_seconds("s").alias("ts"))
+    take = lambda **how: sorted(map(tuple, asof_join(asks, {"r": series}, ["k"], tie="n", **how).select("id", "r.n", "r.w", "r.v").collect()))
+    got = take()
+    assert got == take(small=0) == take(pieces=9)
+    times = {k: [(s, n) for kk, s, n, *_ in points if kk == k and s is not None] for k in "xy"}
+    want = {i: max(((p, n) for p, n in times.get(k, []) if s is not None and p <= s), default=(0, None))[1] for i, k, s in asked}
+    assert {r[0]: r[1] for r in got} == want and len(got) == len(asked)
+
+
+def test_asof_moves_the_left_side_only_for_large_series(spark):
+    series = spark.range(500).select(F.lit("x").alias("k"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("v"))
+    asks = spark.range(50).select("id", F.lit("x").alias("k"), F.timestamp_seconds(F.col("id") * 9).alias("ts"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    found = asof_join(asks, {"r": series}, ["k"])
+    assert "RepartitionByExpression" not in plan(found) and "Range (0, 50" in plan(found)
+    assert "Range (0, 50" not in plan(asof_join(asks, {"r": series}, ["k"], small=500 * 40))  # stored in order
+    empty = asof_global(asks, {"r": series.where("v < 0").drop("k")}).select("r").collect()
+    assert len(empty) == 50 and all(r["r"] is None for r in empty)

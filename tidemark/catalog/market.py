@@ -613,23 +613,33 @@ def edge_trigger(spark, sf):
 # ---------------------------------------------------------------- context series
 
 
-@query(
-    "asof_context",
-    """WITH f AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = 'signup'), o AS (SELECT user_id, ts, value FROM events WHERE event_type = 'view'),
+ASOF_CONTEXT_SQL = """WITH f AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = 'signup'), o AS (SELECT user_id, ts, value FROM events WHERE event_type = 'view'),
       g AS (SELECT ts, value FROM events WHERE event_type = 'error')
     SELECT c.event_id AS id, f.value AS funding, o.value AS oi, g.value AS btc FROM (SELECT * FROM events WHERE event_type IN ('click', 'purchase')) c
-      ASOF LEFT JOIN f ON f.user_id = c.user_id AND c.ts >= f.ts ASOF LEFT JOIN o ON o.user_id = c.user_id AND c.ts >= o.ts ASOF LEFT JOIN g ON c.ts >= g.ts""",
-)
-def asof_context(spark, sf):
+      ASOF LEFT JOIN f ON f.user_id = c.user_id AND c.ts >= f.ts ASOF LEFT JOIN o ON o.user_id = c.user_id AND c.ts >= o.ts ASOF LEFT JOIN g ON c.ts >= g.ts"""
+
+
+def with_context_series(spark, sf, **how) -> DataFrame:
     ticks = data.raw_ticks(spark, sf)
     only = lambda kind, *cols: ticks.where(F.col("symbol") == kind).select(*cols, "ts", F.col("price").alias("value"))
     left = ticks.where(F.col("symbol").isin("click", "purchase")).select("id", "user_id", "ts")
     out = multi_context(
-        left, {"funding": only("signup", "user_id"), "oi": only("view", "user_id")}, {"btc": only("error")}, ["user_id"]
+        left, {"funding": only("signup", "user_id"), "oi": only("view", "user_id")}, {"btc": only("error")}, ["user_id"], **how
     )
     return out.select("id", *[F.col(f"{c}.value").alias(c) for c in ("funding", "oi", "btc")])
 
 
+@query("asof_context", ASOF_CONTEXT_SQL)
+def asof_context(spark, sf):
+    return with_context_series(spark, sf)
+
+
+@query("asof_context_pieces", ASOF_CONTEXT_SQL)
+def asof_context_pieces(spark, sf):
+    """The same with all rows in one ordered table, as for series of any size."""
+    return with_context_series(spark, sf, small=0)
+
+
 @query(
     "oi_change",
     f"""WITH p AS (SELECT user_id, event_id, ts, CASE WHEN value > 2 THEN value END AS v FROM events),

@@ -10,6 +10,7 @@ from tests.bars_util import START, bar_frame, walk
 from tidemark.operators.bars import to_bars
 from tidemark.params import SCALP
 from tidemark.streaming import bars as sb
+from tidemark.streaming import cooling
 from tidemark.streaming import lifecycle as lc
 
 def replay(spark, rows, tmp_path, files=1, shuffled=False, **kw):
@@ -225,3 +226,48 @@ def test_late_and_repeated_rows_are_counted(spark, tmp_path):
     stream = spark.readStream.schema("signal_hash string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(src))
     rows, counts = sb.counted_drain(sb.unique_signals(stream, "30 minutes"), "u")
     assert counts == {"rows_in": 7, "rows_out": 3, "rows_late": 2, "rows_duplicate": 2} and {r.signal_hash for r in rows.collect()} == {"a", "b", "e"}
+
+
+def test_context_changed_between_batches_is_seen(spark, tmp_path):
+    rows, context, base = "id long, symbol string, ts timestamp", "symbol string, series string, ts timestamp, value double", str(tmp_path)
+    batches = [
+        ([("A", "f", at(0), 1.0), ("A", "g", at(0), 5.0)], [(1, "A", at(4)), (2, "B", at(4)), (3, "A", None)]),
+        ([("A", "f", at(6), 2.0), ("B", "f", at(1), 3.0)], [(4, "A", at(8)), (5, "B", at(8)), (6, None, at(8))]),
+        ([], [(7, "A", at(12)), (8, "A", at(30))]),
+    ]
+    run = sb.context_batches(lambda: spark.read.schema(context).parquet(f"{base}/context"), ["symbol"], {"f": 360.0, "g": 300.0}, sb.batch_sink(f"{base}/found"))
+    for points, asked in batches:
+        spark.createDataFrame(points, context).write.mode("append").parquet(f"{base}/context")
+        spark.createDataFrame(asked, rows).write.mode("append").parquet(f"{base}/rows")
+        sb.drain_batches(spark.readStream.schema(rows).parquet(f"{base}/rows"), "c", run, checkpoint=f"{base}/checkpoint")
+    got = {r["id"]: (r["f"], r["g"]) for r in spark.read.parquet(f"{base}/found").collect()}
+    nothing = (None, None)
+    assert got == {1: (1.0, 5.0), 2: nothing, 3: nothing, 4: (2.0, None), 5: nothing, 6: nothing, 7: (2.0, None), 8: nothing}
+
+
+def test_cooldown_refuses_entries_and_its_state_goes(spark, tmp_path):
+    rng = random.Random(3)
+    exits = [(s, at(m + rng.random())) for s in "ABC" for m in rng.sample(range(0, 3000), 14)] + [("E", at(500)), ("E", at(501)), (None, at(9))]
+    entries = [(s, at(rng.random() * 3000), f"{s}{k}") for s in "ABCD" for k in range(80)] + [("E", at(620), "e"), ("E", at(621), "at the end"), ("E", at(500), "with the exit"), (None, at(9), "none")]
+    base, late = str(tmp_path), at(20_000)
+    for side, rows, schema in (("in", entries, "symbol string, ts timestamp, id string"), ("out", exits, "symbol string, exit_time timestamp")):
+        rows = sorted(rows, key=lambda r: r[1])
+        end = [("Z", late, "end")] if side == "in" else [("Z", late)]
+        for part in (rows[: len(rows) // 2], rows[len(rows) // 2 :], end, end):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{base}/{side}")
+            time.sleep(0.05)
+    read = lambda side, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/{side}")
+    got = {}
+    for refused in (True, False):
+        out = cooling.decided_entries(read("in", "symbol string, ts timestamp, id string"), read("out", "symbol string, exit_time timestamp"), "1 day", refused=refused, minutes=120)
+        q = out.writeStream.format("parquet").option("checkpointLocation", f"{base}/c{refused}").trigger(availableNow=True).start(f"{base}/o{refused}")
+        q.awaitTermination()
+        got[refused] = sorted(r["id"] for r in spark.read.schema(out.schema).parquet(f"{base}/o{refused}").collect() if r["id"] != "end")
+        for op in range(2):
+            left = spark.read.format("statestore").option("operatorId", op)
+            left = left.option("joinSide", "left").load(f"{base}/c{refused}") if op == 0 else left.load(f"{base}/c{refused}")
+            assert {r["key"][0] for r in left.select("key").collect()} <= {"Z"}
+    hit = lambda s, t: any(x == s and e <= t < e + dt.timedelta(minutes=120) for x, e in exits)
+    known = [r for r in entries if r[0]]
+    assert got[True] == sorted(i for s, t, i in known if hit(s, t)) and got[False] == sorted(i for s, t, i in known if not hit(s, t))
+    assert "with the exit" in got[True] and "e" in got[True] and "at the end" in got[False] and len(got[True]) > 20

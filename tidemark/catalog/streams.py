@@ -15,6 +15,7 @@ from tidemark.params import SCALP, Portfolio
 from tidemark.plans import signals as sig
 from tidemark.session import staging_root
 from tidemark.streaming import bars as sb
+from tidemark.streaming import cooling
 from tidemark.streaming import lifecycle as lc
 
 
@@ -182,3 +183,50 @@ def stream_signals(spark, sf):
     run(parts[1], 1)
     found = spark.read.parquet(f"{base}/found").drop("batch")
     return found.groupBy(*[c for c in found.columns]).agg(F.count("*").alias("times")).withColumn("t", F.unix_seconds("ts")).drop("ts")
+
+
+@query(
+    "stream_freshness",
+    """WITH e AS (SELECT *, epoch_us(ts) AS u FROM events), cut AS (SELECT (min(u) + max(u)) // 2 AS m FROM e),
+      c AS (SELECT user_id, max_by(value, u) FILTER (u < m) AS f0, max(u) FILTER (u < m) AS t0, max_by(value, u) AS f1, max(u) AS t1 FROM e, cut WHERE event_type = 'signup' GROUP BY 1)
+    SELECT event_id AS id, CASE WHEN u < m THEN CASE WHEN u - t0 <= 86400000000 THEN f0 END WHEN u - t1 <= 86400000000 THEN f1 END AS funding
+    FROM e CROSS JOIN cut LEFT JOIN c USING (user_id) WHERE event_type = 'click'""",
+)
+def stream_freshness(spark, sf):
+    """Clicks that come in two halves and meet the signups stored by then."""
+    ticks = data.raw_ticks(spark, sf)
+    u = F.unix_micros(F.col("ts").cast("timestamp"))
+    middle = sum(ticks.agg(F.min(u), F.max(u)).first()) // 2
+    base = f"{staging_root(spark)}/freshness-{uuid.uuid4().hex}"
+    points = ticks.where("symbol = 'signup'").select("user_id", F.lit("funding").alias("series"), "ts", F.col("price").alias("value"))
+    clicks = ticks.where("symbol = 'click'").select("id", "user_id", "ts")
+    run = sb.context_batches(lambda: spark.read.schema(points.schema).parquet(f"{base}/context"), ["user_id"], {"funding": 86400.0}, sb.batch_sink(f"{base}/found"))
+    for half in (u < middle, u >= middle):
+        points.where(half).write.mode("append").parquet(f"{base}/context")
+        clicks.where(half).write.mode("append").parquet(f"{base}/clicks")
+        stream = spark.readStream.schema(clicks.schema).option("maxBytesPerTrigger", str(PER_TRIGGER)).parquet(f"{base}/clicks")
+        sb.drain_batches(stream, "freshness", run, checkpoint=f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/found").select("id", "funding")
+
+
+@query(
+    "stream_cooldown",
+    f"""WITH e AS (SELECT event_id AS id, user_id, event_type, epoch_us(ts) AS u FROM events),
+      seen AS (SELECT least(max(u) FILTER (event_type = 'click'), max(u) FILTER (event_type = 'purchase')) - 3600000000 AS upto FROM e),
+      n AS (SELECT id, user_id, u FROM e, seen WHERE event_type = 'click' AND u <= upto)
+    SELECT id, CASE WHEN EXISTS (SELECT 1 FROM e x WHERE x.event_type = 'purchase' AND x.user_id = n.user_id AND x.u <= n.u AND x.u > n.u - {int(_COOL * lc.MINUTE)}) THEN 1 ELSE 0 END AS refused FROM n""",
+)
+def stream_cooldown(spark, sf):
+    """Which clicks a purchase of the user in the cooldown before them refuses, of those that the watermark has surely passed."""
+    ticks = data.raw_ticks(spark, sf)
+    u = F.unix_micros(F.col("ts").cast("timestamp"))
+    upto = min(ticks.where(F.col("symbol") == kind).agg(F.max(u)).first()[0] for kind in ("click", "purchase")) - 3600 * 1_000_000
+    out = None
+    for refused in (False, True):
+        stream = event_stream(spark, sf)
+        entries = stream.where("symbol = 'click'").select(F.col("user_id").alias("symbol"), "ts", "id")
+        exits = event_stream(spark, sf).where("symbol = 'purchase'").select(F.col("user_id").alias("symbol"), F.col("ts").alias("exit_time"))
+        rows = sb.drain(cooling.decided_entries(entries, exits, "10 minutes", refused=refused, minutes=_COOL), "cooldown")
+        rows = rows.where(F.unix_micros("ts") <= upto).select("id", flag(F.lit(refused)).alias("refused"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

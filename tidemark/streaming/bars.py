@@ -9,7 +9,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.times import tf_minutes
+from tidemark.functions.times import micros, tf_minutes
 from tidemark.operators.bars import tick_order
 from tidemark.operators.context import fresh_enough
 from tidemark.session import staging_root
@@ -63,6 +63,32 @@ def fresh_context(rows: DataFrame, context: DataFrame, by: list[str], ttl_second
     )
 
 
+def context_batches(
+    read: Callable[[], DataFrame], by: list[str], ttl_seconds: dict[str, float], sink: Callable[[DataFrame, int], None], ts: str = "ts"
+) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: join each micro-batch with the context as it is then.
+
+    ``read`` opens the context, rows of ``by``, series, ts and value that are only ever appended, and is called for every
+    micro-batch, so that points added between two batches count in the second. Only points that can still be fresh for a row of the
+    batch are read. Per key and series the newest one counts; past its time to live it reads null, as for rows without a time or key.
+    """
+    longest = int(max(ttl_seconds.values()) * 1_000_000)
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        held = batch.persist()
+        try:
+            first = held.agg(F.min(micros(F.col(ts)))).first()[0]
+            alive = F.col("ts") >= F.timestamp_micros(F.lit(first - longest)) if first is not None else F.lit(False)
+            points = read().where(F.col("series").isin(*ttl_seconds) & alive)
+            of = {n: F.when(F.col("series") == n, F.col("ts")) for n in ttl_seconds}
+            newest = points.groupBy(*by).agg(*[c for n, at in of.items() for c in (F.max_by("value", at).alias(n), F.max(at).alias(f"{n}_ts"))])
+            sink(fresh_context(held, newest, by, ttl_seconds, ts), epoch)
+        finally:
+            held.unpersist()
+
+    return run
+
+
 def drain(stream: DataFrame, name: str, *, mode: str = "append") -> DataFrame:
     """Run the stream over everything available and read what it wrote."""
     return counted_drain(stream, name, mode=mode)[0]
@@ -100,9 +126,9 @@ def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def drain_batches(stream: DataFrame, name: str, run: Callable[[DataFrame, int], None]) -> None:
-    """Hand everything available to ``run``, a micro-batch at a time."""
-    checkpoint = f"{staging_root(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def drain_batches(stream: DataFrame, name: str, run: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> None:
+    """Hand everything available to ``run``, a micro-batch at a time; with the checkpoint of an earlier call, what is new since then."""
+    checkpoint = checkpoint or f"{staging_root(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
     q = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 

@@ -214,19 +214,33 @@ def overfit_gap(spark, sf):
     return out.select("model", rd("gap").alias("gap"), flag(F.col("overfit")).alias("overfit"))
 
 
-@query(
-    "mean_importance",
-    f"""WITH p AS (SELECT l_returnflag || l_linestatus AS model, 'f' || (l_suppkey % 20) AS feature, avg(l_tax) AS v FROM lineitem GROUP BY 1, 2)
-    SELECT feature, {sql_rd('avg(v)')} AS importance FROM p GROUP BY 1""",
-)
-def mean_importance(spark, sf):
+IMPORTANCE_SQL = f"""p AS (SELECT l_returnflag || l_linestatus AS model, 'f' || (l_suppkey % 60) AS feature, avg(l_tax) AS v FROM lineitem GROUP BY 1, 2),
+  m AS (SELECT feature, {sql_rd('avg(v)')} AS importance FROM p GROUP BY 1)"""
+
+
+def feature_importances(spark, sf, features: int) -> DataFrame:
     per = data.table(spark, sf, "lineitem").groupBy(
-        F.concat("l_returnflag", "l_linestatus").alias("model"), F.concat(F.lit("f"), F.col("l_suppkey") % 20).alias("feature")
+        F.concat("l_returnflag", "l_linestatus").alias("model"), F.concat(F.lit("f"), F.col("l_suppkey") % features).alias("feature")
     ).agg(F.avg("l_tax").alias("v"))
     models = per.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("feature", "v"))).alias("importances"))
     return ev.mean_importance(models).select("feature", rd("importance").alias("importance"))
 
 
+@query("mean_importance", f"WITH {IMPORTANCE_SQL.replace('% 60', '% 20')} SELECT * FROM m")
+def mean_importance(spark, sf):
+    return feature_importances(spark, sf, 20)
+
+
+@query(
+    "feature_extremes",
+    f"""WITH {IMPORTANCE_SQL} SELECT * FROM (SELECT feature, importance, 'top' AS side FROM m ORDER BY importance DESC, feature LIMIT 10)
+    UNION ALL SELECT * FROM (SELECT feature, importance, 'bottom' AS side FROM m ORDER BY importance, feature DESC LIMIT 10)""",
+)
+def feature_extremes(spark, sf):
+    """The ten features of highest and of lowest mean importance."""
+    return led.extremes(feature_importances(spark, sf, 60), "importance", "feature", 10).select("feature", "importance", "side")
+
+
 @query(
     "aligned_columns",
     f"WITH {LEDGER_SQL} SELECT 0.0::DOUBLE AS absent, qty, coalesce(pnl, 0) AS pnl, seq::DOUBLE AS seq FROM led",
